@@ -1,4 +1,381 @@
-"""The queries of the engine and the SQL that checks them."""
+"""The queries of the engine over the test tables, and the SQL that checks them.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The corpus is ``chunks``, one row of each id (the first loaded). A chunk's vector is the row of ``embeddings`` that its
+id's hash picks, since the tables have no vectors of chunks; a question's is picked by its number.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from folivane.functions import text as T
+from folivane.operators import answer, blocks, chunking, evaluate, index, ingest, search
+from folivane.settings import DEFAULT
+from folivane.sources.tables import table
+
+QID = 7
+QUESTION = "Which bearing and which lubricant need the annual inspection, and where is the spare rotor kept?"
+TOP = 5
+
+
+def _corpus(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "chunks", "id", "doc_id", "page", "kind", "text", "heading", "image_path", "ingested_at")
+    return rows.groupBy("id").agg(F.min_by(F.struct("doc_id", "page", "kind", "text", "heading", "image_path"), "ingested_at").alias("c")).select("id", "c.*")
+
+
+def _golden(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "golden").select(F.col("item_id").alias("qid"), "question", "expect_page", "expect_kind", "doc_id")
+
+
+def _vector_no(id_, n):
+    return F.pmod(F.conv(F.substring(F.md5(id_), 1, 8), 16, 10).cast("long"), n)
+
+
+def _vectors(spark: SparkSession, base: str, corpus: DataFrame) -> DataFrame:
+    vec = table(spark, base, "embeddings", "vec_id", "embedding")
+    n = vec.agg(F.count("*").alias("vectors"))
+    numbered = corpus.select("id", "kind").join(F.broadcast(n)).select("id", "kind", _vector_no(F.col("id"), F.col("vectors")).alias("vec_id"))
+    return numbered.join(vec, "vec_id").select("id", "kind", F.col("embedding").alias("vector"))
+
+
+def _asked(spark: SparkSession, base: str, asked: DataFrame) -> DataFrame:
+    vec = table(spark, base, "embeddings", "vec_id", "embedding")
+    n = vec.agg(F.count("*").alias("vectors"))
+    return asked.join(F.broadcast(n)).withColumn("vec_id", F.pmod("qid", "vectors")).join(vec, "vec_id").select("qid", "question", F.col("embedding").alias("vector"))
+
+
+def _question(spark: SparkSession) -> DataFrame:
+    return search.questions(spark, [(QID, QUESTION)])
+
+
+def _hits(spark: SparkSession, base: str, asked: DataFrame, top_text: int = 0, top_images: int = 0) -> DataFrame:
+    corpus = _corpus(spark, base)
+    return search.hybrid(index.keyword_index(corpus), _vectors(spark, base, corpus), asked, corpus, top_text, top_images)
+
+
+def tokenize_stats(spark: SparkSession, base: str) -> DataFrame:
+    toks = _corpus(spark, base).select("kind", T.tokens(T.keyword_text(F.col("heading"), F.col("text"))).alias("t"))
+    return toks.groupBy("kind").agg(F.count("*").alias("chunks"), F.sum(F.size("t")).alias("tokens"), F.round(F.avg(F.size("t")), 6).alias("avg_tokens"))
+
+
+def bm25_vocab(spark: SparkSession, base: str) -> DataFrame:
+    return index.keyword_index(_corpus(spark, base)).vocab.select("tok", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_topk(spark: SparkSession, base: str) -> DataFrame:
+    return search.bm25(index.keyword_index(_corpus(spark, base)), _question(spark), DEFAULT.candidates).select("id", "score", "rank")
+
+
+def dense_topk(spark: SparkSession, base: str) -> DataFrame:
+    vectors = _vectors(spark, base, _corpus(spark, base))
+    return search.dense(vectors, _asked(spark, base, _question(spark)), DEFAULT.candidates).select("id", "score", "rank")
+
+
+def dense_topk_kind(spark: SparkSession, base: str) -> DataFrame:
+    vectors = _vectors(spark, base, _corpus(spark, base))
+    return search.dense(vectors, _asked(spark, base, _question(spark)), DEFAULT.candidates, kind="image").select("id", "score", "rank")
+
+
+def rrf_fusion(spark: SparkSession, base: str) -> DataFrame:
+    corpus = _corpus(spark, base)
+    lists = {"dense": search.dense(_vectors(spark, base, corpus), _asked(spark, base, _question(spark)), DEFAULT.candidates), "bm25": search.bm25(index.keyword_index(corpus), _question(spark), DEFAULT.candidates)}
+    return search.fuse(lists).select("id", F.round("score", 6).alias("score"), F.array_join("found_by", "+").alias("found_by"), "dense_rank", "bm25_rank")
+
+
+def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
+    hits = _hits(spark, base, _asked(spark, base, _question(spark)))
+    return hits.select("id", "kind", F.round("score", 6).alias("score"), F.array_join("found_by", "+").alias("found_by"), "kind_rank")
+
+
+def page_route(spark: SparkSession, base: str) -> DataFrame:
+    pages = ingest.latest(table(spark, base, "page_transcripts", "page_key", "markdown", "transcribed_at"), "page_key", "transcribed_at")
+    return pages.select("page_key", T.route(F.col("markdown")).alias("route"))
+
+
+def _pages(spark: SparkSession, base: str) -> DataFrame:
+    return ingest.latest(table(spark, base, "page_transcripts"), "page_key", "transcribed_at")
+
+
+def heading_sections(spark: SparkSession, base: str) -> DataFrame:
+    s = chunking.sections(_pages(spark, base), "page_key", "markdown")
+    return s.select(F.col("key").alias("page_key"), "section", "heading", F.size(T.split_words(F.col("body"))).alias("n_words"))
+
+
+def chunk_windows(spark: SparkSession, base: str) -> DataFrame:
+    c = chunking.chunk_pages(_pages(spark, base), "page_key", "markdown", 120, 20)
+    return c.select(F.col("key").alias("page_key"), "idx", "heading", F.md5("text").alias("text_md5"))
+
+
+def transcript_chunks(spark: SparkSession, base: str) -> DataFrame:
+    pages = _pages(spark, base)
+    both = chunking.page_chunks(pages).unionByName(ingest.transcribed_pages(pages))
+    return both.select("id", "kind", F.md5("text").alias("text_md5"), "heading")
+
+
+def figure_texts(spark: SparkSession, base: str) -> DataFrame:
+    return ingest.transcribed_pages(_pages(spark, base)).select("id", "text", "heading")
+
+
+def dedup_first_seen(spark: SparkSession, base: str) -> DataFrame:
+    images = _corpus(spark, base).where("kind = 'image'")
+    return ingest.first_seen(images, "doc_id", F.md5("text"), ["page", "id"]).select("id", "doc_id", "page")
+
+
+def slug(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "manifests", "source").distinct().select("source", T.slug(F.regexp_replace("source", r"\.[^.]*$", "")).alias("slug"))
+
+
+def point_id(spark: SparkSession, base: str) -> DataFrame:
+    return index.points(_corpus(spark, base).select("id")).select("id", "point_id")
+
+
+def kind_counts(spark: SparkSession, base: str) -> DataFrame:
+    return _corpus(spark, base).groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind")
+
+
+def doc_catalog(spark: SparkSession, base: str) -> DataFrame:
+    m = ingest.latest(table(spark, base, "manifests"), "doc_id", "loaded_at")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return m.select("doc_id", "source", "pages", F.col("chunk_count").alias("chunks"), zero("images"), zero("vision_pages")).orderBy("doc_id")
+
+
+def document_totals(spark: SparkSession, base: str) -> DataFrame:
+    return ingest.totals(_corpus(spark, base))
+
+
+def page_profile(spark: SparkSession, base: str) -> DataFrame:
+    pages = _pages(spark, base).select("doc_id", F.col("markdown").alias("text"), F.coalesce(F.size("figures"), F.lit(0)).alias("images"))
+    return ingest.profile(pages)
+
+
+def _results(spark: SparkSession, base: str, mode: str) -> tuple[DataFrame, DataFrame]:
+    corpus, golden = _corpus(spark, base), _golden(spark, base)
+    asked = _asked(spark, base, golden)
+    if mode == "bm25":
+        hits = search.bm25(index.keyword_index(corpus), golden, 2 * TOP)
+    elif mode == "dense":
+        hits = search.dense(_vectors(spark, base, corpus), asked, 2 * TOP)
+    else:
+        hits = evaluate.texts_then_images(_hits(spark, base, asked, TOP, TOP))
+    return hits.select("qid", "id", "rank").join(corpus.select("id", "page", "doc_id"), "id"), golden
+
+
+def eval_hit_mrr(spark: SparkSession, base: str) -> DataFrame:
+    return evaluate.metrics(evaluate.first_match(*_results(spark, base, "bm25")), "bm25")
+
+
+def eval_strict(spark: SparkSession, base: str) -> DataFrame:
+    return evaluate.metrics(evaluate.first_match(*_results(spark, base, "bm25"), strict=True), "bm25-strict")
+
+
+def eval_compare(spark: SparkSession, base: str) -> DataFrame:
+    out = None
+    for mode in ("dense", "bm25", "hybrid"):
+        one = evaluate.metrics(evaluate.first_match(*_results(spark, base, mode)), mode)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def golden_sample(spark: SparkSession, base: str) -> DataFrame:
+    return evaluate.stratified_sample(_corpus(spark, base), 40, F.md5(F.concat("id", F.lit("#7")))).select("id", "kind")
+
+
+def _asked_hits(spark: SparkSession, base: str) -> DataFrame:
+    corpus = _corpus(spark, base)
+    hits = _hits(spark, base, _asked(spark, base, _question(spark)))
+    return hits.drop("kind").join(corpus, "id").withColumn("question", F.lit(QUESTION))
+
+
+def build_prompt(spark: SparkSession, base: str) -> DataFrame:
+    return answer.prompts(_asked_hits(spark, base), "Answer from the excerpts.").select("prompt")
+
+
+def diagram_context(spark: SparkSession, base: str) -> DataFrame:
+    return answer.diagram_context(_asked_hits(spark, base)).select("context")
+
+
+def shaped_answers(spark: SparkSession, base: str) -> DataFrame:
+    hits = _asked_hits(spark, base)
+    said = spark.createDataFrame([(QID, " See IMAGE-1. ", ["image-1 "], None, "gemini-fake", True)], "qid long, answer string, used_image_ids array<string>, used_pages array<int>, model string, attached boolean")
+    return answer.shaped(said, hits)
+
+
+def answer_pages(spark: SparkSession, base: str) -> DataFrame:
+    log = ingest.latest(table(spark, base, "query_log", "request_id", "used_pages", "used_image_ids", "received_at"), "request_id", "received_at")
+    return log.select("request_id", F.array_join(answer.used_pages(F.col("used_pages"), F.lit(None).cast("array<int>")), ",").alias("pages"), F.array_join(answer.cited_labels(F.col("used_image_ids")), ",").alias("cited"))
+
+
+def draw_intent(spark: SparkSession, base: str) -> DataFrame:
+    log = ingest.latest(table(spark, base, "query_log", "request_id", "question", "answer", "received_at"), "request_id", "received_at")
+    both = F.concat_ws(" ", "question", "answer")
+    return log.select("request_id", T.wants_drawing(both).alias("draws"))
+
+
+def dot_check(spark: SparkSession, base: str) -> DataFrame:
+    log = ingest.latest(table(spark, base, "query_log", "request_id", "answer", "received_at"), "request_id", "received_at")
+    made = F.concat(F.lit("```dot\ndigraph {"), F.coalesce("answer", F.lit("")), F.lit("}\n```"))
+    return log.select("request_id", T.looks_like_dot(made).alias("fits"), F.md5(T.clean_dot(made)).alias("cleaned_md5"))
+
+
+def retry_hint(spark: SparkSession, base: str) -> DataFrame:
+    log = table(spark, base, "query_log", "request_id").distinct()
+    said = F.when(F.col("request_id") % 2 == 0, F.concat(F.lit("429 Please retry in "), F.col("request_id") / 10, F.lit("s."))).otherwise("no quota")
+    return log.select("request_id", T.retry_seconds(said, 30).alias("seconds"))
+
+
+def embedding_texts(spark: SparkSession, base: str) -> DataFrame:
+    return _corpus(spark, base).select("id", F.md5(T.embedding_text(F.col("heading"), F.col("text"))).alias("text_md5"))
+
+
+def image_urls(spark: SparkSession, base: str) -> DataFrame:
+    return _corpus(spark, base).where("kind = 'image'").select("id", T.artifact_url(F.col("image_path"), "artifacts").alias("url"))
+
+
+def upsert_points(spark: SparkSession, base: str) -> DataFrame:
+    """The first load of each id, then all second loads on top."""
+    rows = table(spark, base, "chunks", "id", "doc_id", "ingested_at")
+    times = rows.groupBy("id", "doc_id").agg(F.min("ingested_at").alias("first"), F.max("ingested_at").alias("last"))
+    old = index.points(times.select("id", "doc_id", F.col("first").alias("ingested_at")))
+    new = index.points(times.where(F.col("last") > F.col("first")).select("id", "doc_id", F.col("last").alias("ingested_at")))
+    return index.upsert(old, new).select("point_id", "id", "ingested_at")
+
+
+def cache_misses(spark: SparkSession, base: str) -> DataFrame:
+    """Pages with chunks but without a transcript."""
+    pages = _corpus(spark, base).select("doc_id", "page").distinct()
+    return pages.join(table(spark, base, "page_transcripts", "doc_id", "page"), ["doc_id", "page"], "left_anti")
+
+
+def markdown_blocks(spark: SparkSession, base: str) -> DataFrame:
+    return blocks.markdown_blocks(_pages(spark, base), "page_key", "markdown")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        tokenize_stats, bm25_vocab, bm25_topk, dense_topk, dense_topk_kind, rrf_fusion, hybrid_search, page_route, heading_sections, chunk_windows, transcript_chunks, figure_texts, dedup_first_seen, slug, point_id,
+        kind_counts, doc_catalog, document_totals, page_profile, eval_hit_mrr, eval_strict, eval_compare, golden_sample, build_prompt, diagram_context, shaped_answers, answer_pages, draw_intent, dot_check, retry_hint,
+        embedding_texts, image_urls, upsert_points, cache_misses, markdown_blocks,
+    )
+}
+
+# --- SQL -------------------------------------------------------------------------------------------------------------
+
+_CORPUS = "corpus AS (SELECT id, doc_id, page, kind, text, heading, image_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at) AS n FROM chunks) WHERE n = 1)"
+_TOKS = "toks AS (SELECT id, kind, list_filter(regexp_extract_all(lower(coalesce(heading, '') || ' ' || coalesce(text, '')), '[a-z0-9_]+'), lambda t: length(t) > 1) AS t FROM corpus)"
+_INDEX = f"""{_CORPUS}, {_TOKS},
+postings AS (SELECT id, tok, count(*) AS tf, any_value(len) AS len FROM (SELECT id, unnest(t) AS tok, length(t) AS len FROM toks) GROUP BY id, tok),
+totals AS (SELECT count(*) AS n, avg(length(t)) AS avgdl FROM toks),
+raws AS (SELECT tok, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM (SELECT tok, count(*) AS df FROM postings GROUP BY tok), totals),
+vocab AS (SELECT tok, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
+_ONE = f"asked AS (SELECT {QID}::BIGINT AS qid, '{QUESTION}' AS question)"
+_ALL = "asked AS (SELECT item_id AS qid, question FROM golden)"
+
+
+def _bm25(asked: str, limit: int) -> str:
+    return f"""{_INDEX}, {asked},
+words AS (SELECT qid, tok, count(*) AS times FROM (SELECT qid, unnest(list_filter(regexp_extract_all(lower(question), '[a-z0-9_]+'), lambda t: length(t) > 1)) AS tok FROM asked) GROUP BY 1, 2),
+sparse_all AS (SELECT qid, id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 6) AS score FROM postings JOIN words USING (tok) JOIN vocab USING (tok), totals GROUP BY 1, 2),
+sparse AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sparse_all WHERE score > 0) WHERE rank <= {limit})"""
+
+
+def _dense(limit: int, where: str = "") -> str:
+    return f"""vectors AS (SELECT id, kind, embedding::DOUBLE[] AS v FROM (SELECT id, kind, ('0x' || substr(md5(id), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM corpus) JOIN embeddings USING (vec_id)),
+asked_v AS (SELECT qid, embedding::DOUBLE[] AS q FROM (SELECT qid, qid % (SELECT count(*) FROM embeddings) AS vec_id FROM asked) JOIN embeddings USING (vec_id)),
+dense AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(list_cosine_similarity(v, q), 6) AS score FROM vectors, asked_v {where})) WHERE rank <= {limit})"""
+
+
+_FUSED = """fused AS (SELECT qid, id, sum(1::DOUBLE / (60 + rank)) AS score, max(d) AS dense_rank, max(s) AS bm25_rank, concat_ws('+', CASE WHEN max(d) IS NOT NULL THEN 'dense' END, CASE WHEN max(s) IS NOT NULL THEN 'bm25' END) AS found_by
+    FROM (SELECT qid, id, rank, rank AS d, NULL AS s FROM dense UNION ALL SELECT qid, id, rank, NULL, rank FROM sparse) GROUP BY 1, 2)"""
+
+
+def _quota(texts: int, images: int) -> str:
+    return f"""hits AS (SELECT * FROM (SELECT f.*, c.kind, row_number() OVER (PARTITION BY qid, kind ORDER BY round(score, 9) DESC, dense_rank ASC NULLS LAST, bm25_rank ASC NULLS LAST) AS kind_rank FROM fused f JOIN corpus c USING (id))
+    WHERE kind_rank <= CASE kind WHEN 'text' THEN {texts} WHEN 'image' THEN {images} ELSE 0 END)"""
+
+
+_HYBRID = f"{_bm25(_ONE, 40)}, {_dense(40)}, {_FUSED}, {_quota(8, 3)}"
+
+
+def _metrics(mode: str, results: str, strict: bool = False) -> str:
+    doc = " AND r.doc_id = g.doc_id" if strict else ""
+    return f"""SELECT '{mode}' AS mode, count(*) AS n, count(rank) AS hits, round(coalesce(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END), 0), 6) AS hit_rate, round(coalesce(avg(coalesce(1::DOUBLE / rank, 0)), 0), 6) AS mrr,
+    round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END) FILTER (WHERE expect_kind = 'image'), 6) AS image_hit_rate, count(*) FILTER (WHERE expect_kind = 'image') AS image_questions
+    FROM (SELECT g.item_id, g.expect_kind, min(r.rank) AS rank FROM golden g LEFT JOIN (SELECT x.qid, x.rank, c.page, c.doc_id FROM ({results}) x JOIN corpus c USING (id)) r ON r.qid = g.item_id AND r.page = g.expect_page{doc} GROUP BY 1, 2)"""
+
+
+_PAGES = "pages AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY transcribed_at DESC) AS n FROM page_transcripts) WHERE n = 1)"
+_LOG = "log AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY received_at DESC) AS n FROM query_log) WHERE n = 1)"
+_BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')"
+
+
+_SECTIONS = rf"""{_PAGES}, tidy AS (SELECT page_key, regexp_replace(regexp_replace(coalesce(markdown, ''), '(^|[^\n])(#{{1,6}} [A-Z0-9])', '\1' || chr(10) || chr(10) || '\2', 'g'), '(^|[^\n])(```)', '\1' || chr(10) || '\2', 'g') AS md FROM pages),
+lines AS (SELECT page_key, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM (SELECT page_key, regexp_split_to_array(md, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM tidy)),
+marked AS (SELECT *, regexp_matches(line, '^{_BLANKS}*#') AS is_head FROM lines),
+counted AS (SELECT *, sum(is_head::INT) OVER (PARTITION BY page_key ORDER BY line_no)::INT AS section FROM marked),
+sections AS (SELECT page_key, section, coalesce(max(CASE WHEN is_head THEN {_strip("regexp_replace(line, '^#+', '')")} END), '') AS heading, {_strip("string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT is_head)")} AS body
+    FROM counted GROUP BY 1, 2 HAVING count(*) FILTER (WHERE NOT is_head) > 0),
+worded AS (SELECT *, list_filter(regexp_split_to_array(body, '{_BLANKS}+'), lambda w: w <> '') AS words FROM sections)"""
+
+
+def _windows(size: int, step: int) -> str:
+    return f"""windows AS (SELECT page_key, row_number() OVER (PARTITION BY page_key ORDER BY section, k) - 1 AS idx, heading, array_to_string(words[k * {step} + 1 : k * {step} + {size}], ' ') AS text
+    FROM (SELECT *, unnest(range(0, greatest(ceil((length(words) - {size}) / {step}::DOUBLE), 0)::BIGINT + 1)) AS k FROM worded WHERE length(words) >= 4))"""
+
+
+_FIGURES = f"""shown AS (SELECT page_key, doc_id, page, coalesce(page_summary, '') AS summary, figures, markdown, coalesce(array_to_string(list_transform(figures, lambda f: {_strip("array_to_string(list_filter([coalesce(f.caption, ''), coalesce(f.description, '')], lambda p: p <> ''), chr(10))")}), chr(10) || chr(10)), '') AS told FROM pages),
+page_images AS (SELECT doc_id || ':p' || page || ':i0' AS id, CASE WHEN summary <> '' OR told <> '' THEN array_to_string(list_filter([summary, told], lambda p: p <> ''), chr(10) || chr(10)) ELSE array_to_string(list_filter(regexp_split_to_array(coalesce(markdown, ''), '{_BLANKS}+'), lambda w: w <> '')[1:120], ' ') END AS text,
+    CASE WHEN length(figures) > 0 THEN coalesce(figures[1].caption, '') ELSE summary END AS heading FROM shown)"""
+_BODY = "left(coalesce(text, ''), 1800)"
+_HITS = f"{_HYBRID}, told AS (SELECT h.kind_rank, h.score, h.found_by, c.* FROM hits h JOIN corpus c USING (id))"
+_RULE = "'" + "=" * 60 + "'"
+
+SQL = {
+    "tokenize_stats": f"WITH {_CORPUS}, {_TOKS} SELECT kind, count(*) AS chunks, sum(length(t))::BIGINT AS tokens, round(avg(length(t)), 6) AS avg_tokens FROM toks GROUP BY kind",
+    "bm25_vocab": f"WITH {_INDEX} SELECT tok, df, round(idf, 6) AS idf FROM vocab",
+    "bm25_topk": f"WITH {_bm25(_ONE, 40)} SELECT id, score, rank::INT AS rank FROM sparse",
+    "dense_topk": f"WITH {_CORPUS}, {_ONE}, {_dense(40)} SELECT id, score, rank::INT AS rank FROM dense",
+    "dense_topk_kind": f"""WITH {_CORPUS}, {_ONE}, {_dense(40, "WHERE kind = 'image'")} SELECT id, score, rank::INT AS rank FROM dense""",
+    "rrf_fusion": f"WITH {_bm25(_ONE, 40)}, {_dense(40)}, {_FUSED} SELECT id, round(score, 6) AS score, found_by, dense_rank::INT AS dense_rank, bm25_rank::INT AS bm25_rank FROM fused",
+    "hybrid_search": f"WITH {_HYBRID} SELECT id, kind, round(score, 6) AS score, found_by, kind_rank::INT AS kind_rank FROM hits",
+    "page_route": f"WITH {_PAGES} SELECT page_key, CASE WHEN length({_strip(chr(99) + 'oalesce(markdown, ' + chr(39) * 2 + ')')}) >= 200 THEN 'text' ELSE 'vision' END AS route FROM pages",
+    "heading_sections": f"WITH {_SECTIONS} SELECT page_key, section, heading, length(words)::INT AS n_words FROM worded",
+    "chunk_windows": f"WITH {_SECTIONS}, {_windows(120, 100)} SELECT page_key, idx::INT AS idx, heading, md5(text) AS text_md5 FROM windows",
+    "transcript_chunks": f"WITH {_SECTIONS}, {_windows(700, 620)}, {_FIGURES} SELECT p.doc_id || ':p' || p.page || ':t' || idx AS id, 'text' AS kind, md5(w.text) AS text_md5, heading FROM windows w JOIN pages p USING (page_key) UNION ALL SELECT id, 'image', md5(text), heading FROM page_images",
+    "figure_texts": f"WITH {_PAGES}, {_FIGURES} SELECT id, text, heading FROM page_images",
+    "dedup_first_seen": f"WITH {_CORPUS} SELECT id, doc_id, page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, md5(text) ORDER BY page, id) AS n FROM corpus WHERE kind = 'image') WHERE n = 1",
+    "slug": r"SELECT DISTINCT source, regexp_replace(regexp_replace(lower(regexp_replace(source, '\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM manifests",
+    "point_id": f"""WITH {_CORPUS} SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex((('0x' || substr(h, 17, 1))::INT & 3) | 8)) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
+        FROM (SELECT id, sha1(unhex('6f1c9d0e3f5a4b2e9a770d5b1c2e3f40') || encode(id)) AS h FROM corpus)""",
+    "kind_counts": f"WITH {_CORPUS} SELECT kind, count(*) AS n FROM corpus GROUP BY kind",
+    "doc_catalog": "SELECT doc_id, source, pages, chunk_count AS chunks, coalesce(images, 0) AS images, coalesce(vision_pages, 0) AS vision_pages FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC) AS n FROM manifests) WHERE n = 1",
+    "document_totals": f"WITH {_CORPUS} SELECT doc_id, count(DISTINCT page) AS pages, count(*) FILTER (WHERE kind = 'image') AS images, count(*) AS chunk_count FROM corpus GROUP BY doc_id",
+    "page_profile": f"""WITH {_PAGES}, per AS (SELECT doc_id, count(*) AS pages, sum(length({_strip("coalesce(markdown, '')")}))::BIGINT AS chars, sum(coalesce(length(figures), 0))::BIGINT AS images FROM pages GROUP BY doc_id)
+        SELECT doc_id, pages, chars, images, round(chars / pages, 6) AS avg_chars, round(images * 4.5::DOUBLE / 60, 6) AS vision_minutes, CASE WHEN chars / pages < 300 THEN 'vision' ELSE 'text' END AS verdict FROM per""",
+    "eval_hit_mrr": f"WITH {_bm25(_ALL, 10)} {_metrics('bm25', 'SELECT qid, id, rank FROM sparse')}",
+    "eval_strict": f"WITH {_bm25(_ALL, 10)} {_metrics('bm25-strict', 'SELECT qid, id, rank FROM sparse', True)}",
+    "eval_compare": f"""WITH {_bm25(_ALL, 40)}, {_dense(40)}, {_FUSED}, {_quota(5, 5)}, listed AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY kind DESC, kind_rank) AS rank FROM hits)
+        {_metrics('dense', 'SELECT qid, id, rank FROM dense WHERE rank <= 10')} UNION ALL {_metrics('bm25', 'SELECT qid, id, rank FROM sparse WHERE rank <= 10')} UNION ALL {_metrics('hybrid', 'SELECT qid, id, rank FROM listed')}""",
+    "golden_sample": f"""WITH {_CORPUS}, n AS (SELECT count(*) FILTER (WHERE kind = 'text') AS t, count(*) FILTER (WHERE kind = 'image') AS i FROM corpus)
+        SELECT id, kind FROM (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY md5(id || '#7'), id) AS r FROM corpus), n WHERE r <= CASE kind WHEN 'image' THEN least(i, 10) WHEN 'text' THEN least(t, 40 - least(i, 10)) END""",
+    "build_prompt": f"""WITH {_HITS} SELECT array_to_string(['Answer from the excerpts.', '', {_RULE}, 'TEXT EXCERPTS', {_RULE},
+        (SELECT coalesce(string_agg(chr(10) || '[T' || kind_rank || '] page ' || page || ' - ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) ORDER BY kind_rank), '(none)') FROM told WHERE kind = 'text'), '', {_RULE}, 'FIGURES', {_RULE},
+        (SELECT coalesce(string_agg(chr(10) || '[IMAGE-' || kind_rank || '] page ' || page || ' - ' || coalesce(nullif(heading, ''), 'figure') || chr(10) || 'Description: ' || {_BODY}, chr(10) ORDER BY kind_rank), '(none)') FROM told WHERE kind = 'image'),
+        '', {_RULE}, 'QUESTION: {QUESTION}', {_RULE}, '', '{answer.CLOSING}'], chr(10)) AS prompt""",
+    "diagram_context": f"""WITH {_HITS} SELECT coalesce(string_agg('[page ' || page || '] ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) || chr(10) ORDER BY kind_rank), '(no relevant text found)') AS context FROM told WHERE kind = 'text' AND kind_rank <= 6""",
+    "answer_pages": f"WITH {_LOG} SELECT request_id, array_to_string(list_sort(list_distinct(coalesce(used_pages, []))), ',') AS pages, array_to_string(list_transform(coalesce(used_image_ids, []), lambda x: upper(trim(x))), ',') AS cited FROM log",
+    "draw_intent": f"""WITH {_LOG} SELECT request_id, regexp_matches(concat_ws(' ', question, answer), '{T.DRAW_WORDS}') AS draws FROM log""",
+    "dot_check": f"""WITH {_LOG}, made AS (SELECT request_id, '```dot' || chr(10) || 'digraph {{' || coalesce(answer, '') || '}}' || chr(10) || '```' AS s FROM log)
+        SELECT request_id, length(s) - length(replace(s, '{{', '')) = length(s) - length(replace(s, '}}', '')) AS fits, md5(substr(s, 8, length(s) - 11)) AS cleaned_md5 FROM made""",
+    "retry_hint": "SELECT DISTINCT request_id, CASE WHEN request_id % 2 = 0 THEN least(request_id / 10::DOUBLE + 2, 120) ELSE 30 END AS seconds FROM query_log",
+    "embedding_texts": f"""WITH {_CORPUS}, h AS (SELECT id, {_strip("coalesce(heading, '')")} AS head, coalesce(text, '') AS body FROM corpus) SELECT id, md5(CASE WHEN head <> '' THEN {_strip("head || chr(10) || body")} ELSE body END) AS text_md5 FROM h""",
+    "image_urls": rf"""WITH {_CORPUS} SELECT id, CASE WHEN p LIKE '%..%' OR p = '' THEN NULL WHEN p LIKE 'artifacts/%' THEN '/artifacts/' || substr(p, 11) WHEN p LIKE '/%' THEN NULL ELSE '/artifacts/' || p END AS url FROM (SELECT id, replace(image_path, '\', '/') AS p FROM corpus WHERE kind = 'image')""",
+    "upsert_points": """WITH last AS (SELECT id, max(ingested_at) AS ingested_at FROM chunks GROUP BY id, doc_id)
+        SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex((('0x' || substr(h, 17, 1))::INT & 3) | 8)) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id, id, ingested_at
+        FROM (SELECT *, sha1(unhex('6f1c9d0e3f5a4b2e9a770d5b1c2e3f40') || encode(id)) AS h FROM last)""",
+    "cache_misses": f"WITH {_CORPUS} SELECT DISTINCT doc_id, page FROM corpus c WHERE NOT EXISTS (SELECT 1 FROM page_transcripts p WHERE p.doc_id = c.doc_id AND p.page = c.page)",
+}
