@@ -47,36 +47,40 @@ INVISIBLE, ONE, MANY = _tables()
 _TABLE = {ord(c): None for c in INVISIBLE} | {ord(k): v for k, v in (ONE | MANY).items()}
 _ODD = re.compile("[" + re.escape(INVISIBLE + "".join(ONE) + "".join(MANY)) + "̀-ͯ]")
 _OTHER = re.compile("[Ͱ-ϿЀ-ԯ]")
-_TOKEN = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
+_TOKEN = re.compile(r"[^\W\d_]+")
+
+
+_SURE_L = re.compile("[" + "".join(c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in TO_CYRILLIC) + "À-ɏ]")
+_SURE_C = re.compile("[" + "".join(chr(n) for n in range(0x400, 0x530) if chr(n) not in TO_LATIN) + "]")
+_SURE_G = re.compile("[" + "".join(chr(n) for n in range(0x370, 0x400) if chr(n) not in TO_LATIN) + "]")
 
 
 def _script(word: str) -> str:
     """The alphabet that a word's unmistakable letters belong to: L, C, G, or '' if all its letters are ambiguous."""
-    latin = any(c not in TO_CYRILLIC and _LATIN.match(c) for c in word)
-    cyr = any(c not in TO_LATIN and "Ѐ" <= c <= "ԯ" for c in word)
-    greek = any(c not in TO_LATIN and "Ͱ" <= c <= "Ͽ" for c in word)
-    return "L" if latin and not cyr else "C" if cyr and not latin else "G" if greek and not latin and not cyr else "L" if latin else ""
+    return "L" if _SURE_L.search(word) else "C" if _SURE_C.search(word) else "G" if _SURE_G.search(word) else ""
 
 
 def one_alphabet(line: str) -> str:
     """``line`` with each word's look-alike letters put into the word's own alphabet. A word of ambiguous letters only
     becomes Latin unless a word next to it is unmistakably of another alphabet."""
-    if not _OTHER.search(line):
+    if not _OTHER.search(line) or not _LATIN.search(line):
         return line
-    scripts = [_script(w) for w in _TOKEN.findall(line)]
+    told = _TOKEN.findall(line)
     at = -1
 
     def fix(m: re.Match) -> str:
         nonlocal at
         at += 1
-        w, s = m.group(), scripts[at]
-        if not _OTHER.search(w) or s == "G":
+        w = m.group()
+        if w.isascii() or not _OTHER.search(w):
+            return w
+        s = _script(w)
+        if s == "G":
             return w
         if s == "C":
             return "".join(TO_CYRILLIC.get(c, c) for c in w)
-        beside = scripts[max(0, at - 1) : at] + scripts[at + 1 : at + 2]
-        if s == "L" or "C" not in beside and "G" not in beside:
+        if s == "L" or not {_script(x) for x in told[max(0, at - 1) : at] + told[at + 1 : at + 2]} & {"C", "G"}:
             return "".join(TO_LATIN.get(c, c) for c in w)
         return w
 
@@ -87,6 +91,12 @@ def canonical(text: str) -> str:
     """The canonical form described above, for use inside Python operators."""
     if text.isascii():
         return text
+    try:
+        text.encode("latin-1")
+        if "\xa0" not in text and "\xad" not in text:
+            return text
+    except UnicodeEncodeError:
+        pass
     if _ODD.search(text):
         text = unicodedata.normalize("NFC", text.translate(_TABLE))
     if _OTHER.search(text):
