@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from folivane.functions.text import figure_text, split_words, strip, text_or_empty
 from folivane.settings import DEFAULT, MANIFEST, Settings
@@ -30,7 +31,7 @@ def spans_to_markdown(spans: DataFrame, settings: Settings = DEFAULT) -> DataFra
     return both.select(*page, F.array_join(F.col("l.text"), "\n").alias("markdown"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def flat_colour_ratio(pixels: pd.Series) -> pd.Series:
     """The share of an image's most frequent colour; pixels as bytes of three channels each."""
     import numpy as np
