@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folivane.functions.text import keyword_text, point_id, tokens
+from folivane.plans.storage import cut
 from folivane.settings import DEFAULT, Settings
 
 
@@ -20,10 +21,14 @@ class KeywordIndex:
 
 
 def keyword_index(chunks: DataFrame, settings: Settings = DEFAULT) -> KeywordIndex:
-    """Index of ``chunks`` (id, heading, text). Idf below zero becomes epsilon times the mean idf of all words."""
+    """Index of ``chunks`` (id, heading, text). Idf below zero becomes epsilon times the mean idf of all words.
+
+    The postings are computed once and kept, since the vocabulary and every search read them.
+    """
     toks = chunks.select("id", tokens(keyword_text(F.col("heading"), F.col("text"))).alias("toks"))
-    postings = toks.select("id", F.size("toks").alias("len"), F.explode("toks").alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    totals = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
+    postings = cut(toks.select("id", F.size("toks").alias("len"), F.explode("toks").alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
+    count, words = chunks.agg(F.count("*").alias("n")), postings.agg(F.sum("tf").alias("words"))
+    totals = count.join(F.broadcast(words)).select("n", (F.coalesce("words", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl"))  # one row each
     df = postings.groupBy("tok").agg(F.count("*").alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     told = df.join(F.broadcast(totals.select("n"))).select("tok", "df", raw.alias("raw"))  # one row
