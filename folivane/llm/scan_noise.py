@@ -1,8 +1,10 @@
 """Problem 3: noise in text from scanned pages, and the text repaired into continuous paragraphs.
 
 Words of the whole corpus are counted and grouped by the skeleton of their glyphs, in which forms that scanning confuses
-are equal; a rare form whose group has a far more frequent one that it can be misread from is a misread one, where it
-stands in running text of a scanned page (other words of its line are the context; codes and lone tokens aren't words). Words at line ends are joined if the joined form is the one in use. Digits are
+are equal; a rare form that stands mostly in scanned items and whose group has a far more frequent one that it can be
+misread from is a misread one, where it stands in running text of a scanned page (other words of its line are the context;
+codes and lone tokens aren't words). A form is rare by one ratio at all counts: by its occurrences, or by its documents, so
+that one document that misreads a word throughout doesn't make its form frequent. Words at line ends are joined if the joined form is the one in use. Digits are
 masked and glyphs put into skeletons to tell the printed title and chapter lines by the document's name.
 """
 
@@ -21,9 +23,10 @@ from folivane.plans.sizing import maybe_broadcast
 from folivane.plans.storage import cut
 from folivane.sources.tables import table
 
-#: How much more frequent the right form must be than a form of up to FEW occurrences, than a more frequent one, and how
-#: often it must occur.
-RATIO, FEW, RATIO_MANY, LEAST_RIGHT = 12, 2, 150, 8
+#: How much more frequent the right form must be, in occurrences or in documents, whatever the counts are.
+RATIO = 12
+#: The share of a misread form's occurrences that stand in scanned items, at least.
+SCANNED = 0.5
 #: Misread forms up to which they are given to all tasks; beyond, the words of scanned lines are joined with them.
 MOST_SUSPECTS = 200_000
 #: The longest word that is looked at; longer runs of letters and digits are no words.
@@ -42,6 +45,7 @@ for _right, _wrong in _PAIRS:
     _BY_FIRST.setdefault(_right[0], []).append((_right, _wrong))
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _WORD = re.compile(r"[^\W_]+")
+_HALVES = re.compile(rf"[^\W_]+[{HYPHENS[1:]}-][^\S\n]*\n\s*[^\W_]+")
 _STROKE_TABLE = {ord(k): v for k, v in STROKES.items()}
 
 
@@ -177,10 +181,12 @@ def _broken(lines: list[str], role: list[str]) -> Iterator[tuple[int, int, str,
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): words in lower case, compounds with their hyphens; parts of compounds count as words too."""
-    n: Counter = Counter()
+    """(word, n, scanned): words in lower case, compounds with their hyphens, and how many of them stand in scanned items;
+    parts of compounds count as words too, the halves of a word over a line end of a scanned item don't."""
+    clean: Counter = Counter()
+    scanned: Counter = Counter()
 
-    def give() -> pa.RecordBatch:
+    def lower(n: Counter) -> Counter:
         low: Counter = Counter()
         for w, c in n.items():
             w = w.lower()
@@ -192,20 +198,45 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         low[p] += c
             elif len(w) <= LONGEST:
                 low[w] += c
-        return pa.RecordBatch.from_arrays([pa.array(list(low), pa.string()), pa.array(list(low.values()), pa.int64())], ["word", "n"])
+        return low
+
+    def give() -> pa.RecordBatch:
+        own = lower(scanned)
+        n = lower(clean)
+        n.update(own)
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([own[w] for w in n], pa.int64())], ["word", "n", "scanned"])
 
     for batch in batches:
         for t in batch.column(0).to_pylist():
-            n.update(_TOKEN.findall(t))
-        if len(n) > 1 << 20:
+            if "\n" in t and is_scanned(t.split("\n")):
+                scanned.update(_TOKEN.findall(_HALVES.sub("\n", t)))
+            else:
+                clean.update(_TOKEN.findall(t))
+        if len(clean) + len(scanned) > 1 << 20:
             yield give()
-            n.clear()
+            clean.clear()
+            scanned.clear()
     yield give()
 
 
+def _documents(words):
+    """(word, doc) of the texts that hold one of ``words``; of all words, if it is None."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value if words is not None else None
+        for batch in batches:
+            out: dict[tuple[str, str], None] = {}
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = set(_WORD.findall(t.lower()))
+                out.update(((w, doc), None) for w in (own if known is None else own & known) if len(w) <= LONGEST)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([d for _, d in out], pa.string())], ["word", "doc"])
+
+    return run
+
+
 def _skeletons(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([skeleton(w) for w in batch.column(0).to_pylist()], pa.string()), batch.column(0), batch.column(1)], ["skeleton", "word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([skeleton(w) for w in batch.column(0).to_pylist()], pa.string()), *batch.columns], ["skeleton", *batch.schema.names])
 
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,18 +246,37 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(items: DataFrame) -> DataFrame:
-    """(word, n) over all texts of ``items``."""
-    return items.where("value IS NOT NULL").select("value").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n, scanned) over all texts of ``items``, of which each key stands there once."""
+    return items.where("value IS NOT NULL").select("value").mapInArrow(_count, "word string, n long, scanned long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("scanned").alias("scanned"))
+
+
+def documents_of(items: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, docs): in how many documents of ``items`` each of ``words`` stands. An item without one is its own."""
+    small = words.limit(MOST_SUSPECTS + 1).count() <= MOST_SUSPECTS
+    known = items.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in words.select("word").collect())) if small else None
+    seen = items.select(F.coalesce(F.col("doc_id"), F.concat(F.lit("\0"), "item_key")).alias("doc"), "value").mapInArrow(_documents(known), "word string, doc string")
+    told = seen if small else seen.join(words.select("word"), "word", "left_semi")
+    return told.distinct().groupBy("word").agg(F.count("*").alias("docs"))
 
 
-def misread_forms(words: DataFrame) -> DataFrame:
+def misread_forms(words: DataFrame, items: DataFrame) -> DataFrame:
     """(word, right): forms with the frequent form of their skeleton group that they are misread from."""
-    told = words.where("length(word) >= 3 AND NOT contains(word, '-') AND word RLIKE '[^0-9]'").mapInArrow(_skeletons, "skeleton string, word string, n long")
+    told = words.where("length(word) >= 3 AND NOT contains(word, '-') AND word RLIKE '[^0-9]'").mapInArrow(_skeletons, "skeleton string, word string, n long, scanned long")
     told = cut(told)
     # Of a group, the three most frequent forms: enough for any of them to be the right one.
-    best = told.where(F.col("n") >= LEAST_RIGHT).where("NOT word RLIKE '[0-9]'").groupBy("skeleton").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), False), 1, 3).alias("best"))
-    pairs = told.join(best, "skeleton").select("word", "n", F.explode("best").alias("b")).where(F.col("b.n") >= F.when(F.col("n") <= FEW, RATIO).otherwise(RATIO_MANY) * F.col("n")).select("word", F.col("b.word").alias("right"), F.col("b.n").alias("right_n"))
-    sure = pairs.mapInArrow(_confirm, "word string, right string, right_n long")
+    best = told.where(F.col("n") >= RATIO).where("NOT word RLIKE '[0-9]'").groupBy("skeleton").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), False), 1, 3).alias("best"))
+    pairs = told.where(F.col("scanned") >= SCANNED * F.col("n")).join(best, "skeleton").select("word", F.explode("best").alias("b"), "n").select("word", F.col("b.word").alias("right"), F.col("b.n").alias("right_n"), "n").where("word <> right")
+    pairs = cut(pairs.mapInArrow(_confirm, "word string, right string, right_n long, n long"))
+    rare = F.col("right_n") >= RATIO * F.col("n")
+    # A form that isn't rare by its occurrences may still be by its documents.
+    open_ = pairs.where(~rare)
+    asked = cut(open_.select("word").union(open_.select("right")).distinct())
+    if asked.isEmpty():
+        sure = pairs
+    else:
+        docs = maybe_broadcast(cut(documents_of(items, asked)), 80)
+        by_docs = open_.join(docs, "word").join(docs.select(F.col("word").alias("right"), F.col("docs").alias("right_docs")), "right").where(F.col("right_docs") >= RATIO * F.col("docs"))
+        sure = pairs.where(rare).unionByName(by_docs.select(*pairs.columns))
     return sure.groupBy("word").agg(F.max(F.struct("right_n", "right")).alias("r")).select("word", "r.right")
 
 
@@ -275,6 +325,15 @@ def items(spark: SparkSession, base: str) -> DataFrame:
     return chunks.unionByName(pages)
 
 
+def once(items: DataFrame) -> DataFrame:
+    """Each key of ``items`` once; only the rows of keys that occur again are moved."""
+    keys = ["item_table", "item_key"]
+    given = items.where("value IS NOT NULL AND item_key IS NOT NULL").select(*keys, "doc_id", "page", "value")
+    again = maybe_broadcast(cut(given.groupBy(*keys).count().where("count > 1").select(*keys)), 120)
+    first = given.join(again, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct("value", "doc_id", "page")).alias("r")).select(*keys, "r.doc_id", "r.page", "r.value")
+    return given.join(again, keys, "left_anti").unionByName(first)
+
+
 def noise(items: DataFrame) -> DataFrame:
     """(item_table, item_key, line_no, noise, word, right) of each noisy line of ``items``, whose columns are item_table,
     item_key, doc_id, page, value; word and right tell what was misread or broken.
@@ -287,9 +346,9 @@ def noise(items: DataFrame) -> DataFrame:
 
 def _rows(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
     """What _lines gives, the words' counts, the misread forms, and whether these are few."""
-    given = items.where("value IS NOT NULL AND item_key IS NOT NULL")
+    given = once(items)
     words = cut(vocabulary(given))
-    forms = cut(misread_forms(words))
+    forms = cut(misread_forms(words, given))
     small = forms.limit(MOST_SUSPECTS + 1).count() <= MOST_SUSPECTS
     suspects = items.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in forms.select("word").collect())) if small else None
     rows = given.select("item_table", "item_key", "doc_id", "page", "value").mapInArrow(_lines(suspects), "item_table string, item_key string, line_no int, noise string, word string, other string")

@@ -72,6 +72,26 @@ def test_scan_noise(spark):
     assert scan_noise.noise(df.where("false")).count() == 0
 
 
+def test_misread_at_every_size(spark):
+    clean = "The container rests beside the corridor and the operators rotate the handle. " * 2
+    scan = "The {} rests beside the corridor and the operators\nwalk along the northern corridor until the {}\nstands beside the wall of the station and they\nrest there."
+    rows = [(f"k{i}", f"d{i % 30}", clean) for i in range(60)]
+    # Misread three times in 123; in one row that comes again; throughout a document with a third of the rows.
+    rows += [(f"r{i}", f"s{i}", scan.format("handle", "r0tate")) for i in range(3)] + [("a", "s9", scan.format("handle", "operat0rs"))] * 20
+    rows += [(f"m{i}", "hot", scan.format("contairier", "handle")) for i in range(30)]
+
+    def misread(rows):
+        df = frame(spark, [("chunks", k, d, 1, v) for k, d, v in rows], "item_table string, item_key string, doc_id string, page int, value string")
+        return {(r.item_key, r.line_no) for r in scan_noise.noise(df).where("noise = 'misread'").collect()}
+
+    want = {("r0", 2), ("r1", 2), ("r2", 2), ("a", 2)} | {(f"m{i}", 1) for i in range(30)}
+    assert misread(rows) == want
+    copies = [(f"{k}-{c}", f"{d}-{c}", v) for c in range(4) for k, d, v in rows]
+    assert misread(copies) == {(f"{k}-{c}", n) for c in range(4) for k, n in want}
+    # A word of its own stands in clean text too.
+    assert ("r0", 2) not in misread([*rows, *((f"o{i}", f"e{i}", "The r0tate rests.") for i in range(4))])
+
+
 def test_confusable():
     assert scan_noise.confusable("narrow", "riarrow") and scan_noise.confusable("delivers", "dehvers") and scan_noise.confusable("system", "5y5tem")
     assert not scan_noise.confusable("shaft", "shatf") and not scan_noise.confusable("pump", "pump") and not scan_noise.confusable("pump", "dump")
