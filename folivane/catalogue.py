@@ -2,6 +2,9 @@
 
 The corpus is ``chunks``, one row of each id (the first loaded). A chunk's vector is the row of ``embeddings`` that its
 id's hash picks, since the tables have no vectors of chunks; a question's is picked by its number.
+
+The searches of one example question are kept as their SQL has them. Those named ``*_asked`` are asked every request of
+``query_log`` whose id is divisible by STEP (dense search alone: every such vector), against all chunks.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from folivane.sources.tables import table
 QID = 7
 QUESTION = "Which bearing and which lubricant need the annual inspection, and where is the spare rotor kept?"
 TOP = 5
+STEP = 100
 
 
 def _corpus(spark: SparkSession, base: str) -> DataFrame:
@@ -48,6 +52,20 @@ def _question(spark: SparkSession) -> DataFrame:
     return search.questions(spark, [(QID, QUESTION)])
 
 
+def _requests(spark: SparkSession, base: str) -> DataFrame:
+    """The stated requests, the last received row of each, with qid and question."""
+    log = ingest.latest(table(spark, base, "query_log").where(F.col("request_id") % STEP == 0), "request_id", "received_at")
+    return log.withColumn("qid", F.col("request_id")).withColumn("question", F.coalesce("question", F.lit("")))
+
+
+def _stated(spark: SparkSession, base: str) -> DataFrame:
+    return _requests(spark, base).select("qid", "question")
+
+
+def _stated_vectors(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "embeddings", "vec_id", "embedding").where(F.col("vec_id") % STEP == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
 def _hits(spark: SparkSession, base: str, asked: DataFrame, top_text: int = 0, top_images: int = 0) -> DataFrame:
     corpus = _corpus(spark, base)
     return search.hybrid(index.keyword_index(corpus), _vectors(spark, base, corpus), asked, corpus, top_text, top_images)
@@ -87,6 +105,31 @@ def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
     return hits.select("id", "kind", F.round("score", 6).alias("score"), F.array_join("found_by", "+").alias("found_by"), "kind_rank")
 
 
+def bm25_topk_asked(spark: SparkSession, base: str) -> DataFrame:
+    return search.bm25(index.keyword_index(_corpus(spark, base)), _stated(spark, base), DEFAULT.candidates).select("qid", "id", "score", "rank")
+
+
+def dense_topk_asked(spark: SparkSession, base: str) -> DataFrame:
+    vectors = _vectors(spark, base, _corpus(spark, base))
+    return search.dense(vectors, _stated_vectors(spark, base), DEFAULT.candidates).select("qid", "id", "score", "rank")
+
+
+def dense_topk_kind_asked(spark: SparkSession, base: str) -> DataFrame:
+    vectors = _vectors(spark, base, _corpus(spark, base))
+    return search.dense(vectors, _stated_vectors(spark, base), DEFAULT.candidates, kind="image").select("qid", "id", "score", "rank")
+
+
+def rrf_fusion_asked(spark: SparkSession, base: str) -> DataFrame:
+    corpus, asked = _corpus(spark, base), _stated(spark, base)
+    lists = {"dense": search.dense(_vectors(spark, base, corpus), _asked(spark, base, asked), DEFAULT.candidates), "bm25": search.bm25(index.keyword_index(corpus), asked, DEFAULT.candidates)}
+    return search.fuse(lists).select("qid", "id", F.round("score", 6).alias("score"), F.array_join("found_by", "+").alias("found_by"), "dense_rank", "bm25_rank")
+
+
+def hybrid_search_asked(spark: SparkSession, base: str) -> DataFrame:
+    hits = _hits(spark, base, _asked(spark, base, _stated(spark, base)))
+    return hits.select("qid", "id", "kind", F.round("score", 6).alias("score"), F.array_join("found_by", "+").alias("found_by"), "kind_rank")
+
+
 def page_route(spark: SparkSession, base: str) -> DataFrame:
     pages = ingest.latest(table(spark, base, "page_transcripts", "page_key", "markdown", "transcribed_at"), "page_key", "transcribed_at")
     return pages.select("page_key", T.route(F.col("markdown")).alias("route"))
@@ -194,10 +237,29 @@ def diagram_context(spark: SparkSession, base: str) -> DataFrame:
     return answer.diagram_context(_asked_hits(spark, base)).select("context")
 
 
+def _request_hits(spark: SparkSession, base: str) -> DataFrame:
+    """The hits of each stated request, as many of each kind as it asks for; a request without hits has a null kind."""
+    corpus, asked = _corpus(spark, base), _requests(spark, base).select("qid", "question", "top_text", "top_images")
+    every = 2 * DEFAULT.candidates
+    hits = _hits(spark, base, _asked(spark, base, asked), every, every).join(asked.select("qid", "top_text", "top_images"), "qid")
+    own = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(default))
+    most = F.when(F.col("kind") == "text", own("top_text", DEFAULT.top_text)).otherwise(own("top_images", DEFAULT.top_images))
+    hits = hits.where(F.col("kind_rank") <= most).drop("kind", "top_text", "top_images").join(corpus, "id")
+    return asked.select("qid", "question").join(hits, "qid", "left")
+
+
+def build_prompt_asked(spark: SparkSession, base: str) -> DataFrame:
+    return answer.prompts(_request_hits(spark, base), "Answer from the excerpts.").select("qid", "prompt")
+
+
+def diagram_context_asked(spark: SparkSession, base: str) -> DataFrame:
+    return answer.diagram_context(_request_hits(spark, base)).select("qid", "context")
+
+
 def shaped_answers(spark: SparkSession, base: str) -> DataFrame:
-    hits = _asked_hits(spark, base)
-    said = spark.createDataFrame([(QID, " See IMAGE-1. ", ["image-1 "], None, "gemini-fake", True)], "qid long, answer string, used_image_ids array<string>, used_pages array<int>, model string, attached boolean")
-    return answer.shaped(said, hits)
+    """The answers that query_log has to the stated requests, each with the hits of its question."""
+    said = _requests(spark, base).select("qid", "answer", "used_image_ids", "used_pages", "model", F.col("attach_images").alias("attached"))
+    return answer.shaped(said, _request_hits(spark, base))
 
 
 def answer_pages(spark: SparkSession, base: str) -> DataFrame:
@@ -255,6 +317,7 @@ QUERIES = {
     for f in (
         tokenize_stats, bm25_vocab, bm25_topk, dense_topk, dense_topk_kind, rrf_fusion, hybrid_search, page_route, heading_sections, chunk_windows, transcript_chunks, figure_texts, dedup_first_seen, slug, point_id,
         kind_counts, doc_catalog, document_totals, page_profile, eval_hit_mrr, eval_strict, eval_compare, golden_sample, build_prompt, diagram_context, shaped_answers, answer_pages, draw_intent, dot_check, retry_hint,
+        bm25_topk_asked, dense_topk_asked, dense_topk_kind_asked, rrf_fusion_asked, hybrid_search_asked, build_prompt_asked, diagram_context_asked,
         embedding_texts, image_urls, upsert_points, cache_misses, markdown_blocks,
     )
 }
@@ -269,6 +332,8 @@ totals AS (SELECT count(*) AS n, avg(length(t)) AS avgdl FROM toks),
 raws AS (SELECT tok, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM (SELECT tok, count(*) AS df FROM postings GROUP BY tok), totals),
 vocab AS (SELECT tok, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
 _ONE = f"asked AS (SELECT {QID}::BIGINT AS qid, '{QUESTION}' AS question)"
+_STATED = f"asked AS (SELECT request_id AS qid, coalesce(question, '') AS question, top_text, top_images FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY received_at DESC) AS n FROM query_log WHERE request_id % {STEP} = 0) WHERE n = 1)"
+_STATED_VECTORS = f"asked AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % {STEP} = 0)"
 _ALL = "asked AS (SELECT item_id AS qid, question FROM golden)"
 
 
@@ -334,6 +399,10 @@ _BODY = "left(coalesce(text, ''), 1800)"
 _HITS = f"{_HYBRID}, told AS (SELECT h.kind_rank, h.score, h.found_by, c.* FROM hits h JOIN corpus c USING (id))"
 _RULE = "'" + "=" * 60 + "'"
 
+_FOUND_ASKED = f"{_bm25(_STATED, 40)}, {_dense(40)}, {_FUSED}"
+_HITS_ASKED = f"""{_FOUND_ASKED}, {_quota(80, 80)},
+told AS (SELECT h.qid, h.kind_rank, c.* FROM hits h JOIN corpus c USING (id) JOIN asked a USING (qid) WHERE h.kind_rank <= CASE h.kind WHEN 'text' THEN coalesce(nullif(a.top_text, 0), 8) ELSE coalesce(nullif(a.top_images, 0), 3) END)"""
+
 SQL = {
     "tokenize_stats": f"WITH {_CORPUS}, {_TOKS} SELECT kind, count(*) AS chunks, sum(length(t))::BIGINT AS tokens, round(avg(length(t)), 6) AS avg_tokens FROM toks GROUP BY kind",
     "bm25_vocab": f"WITH {_INDEX} SELECT tok, df, round(idf, 6) AS idf FROM vocab",
@@ -367,6 +436,18 @@ SQL = {
         (SELECT coalesce(string_agg(chr(10) || '[IMAGE-' || kind_rank || '] page ' || page || ' - ' || coalesce(nullif(heading, ''), 'figure') || chr(10) || 'Description: ' || {_BODY}, chr(10) ORDER BY kind_rank), '(none)') FROM told WHERE kind = 'image'),
         '', {_RULE}, 'QUESTION: {QUESTION}', {_RULE}, '', '{answer.CLOSING}'], chr(10)) AS prompt""",
     "diagram_context": f"""WITH {_HITS} SELECT coalesce(string_agg('[page ' || page || '] ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) || chr(10) ORDER BY kind_rank), '(no relevant text found)') AS context FROM told WHERE kind = 'text' AND kind_rank <= 6""",
+    "bm25_topk_asked": f"WITH {_bm25(_STATED, 40)} SELECT qid, id, score, rank::INT AS rank FROM sparse",
+    "dense_topk_asked": f"WITH {_CORPUS}, {_STATED_VECTORS}, {_dense(40)} SELECT qid, id, score, rank::INT AS rank FROM dense",
+    "dense_topk_kind_asked": f"""WITH {_CORPUS}, {_STATED_VECTORS}, {_dense(40, "WHERE kind = 'image'")} SELECT qid, id, score, rank::INT AS rank FROM dense""",
+    "rrf_fusion_asked": f"WITH {_FOUND_ASKED} SELECT qid, id, round(score, 6) AS score, found_by, dense_rank::INT AS dense_rank, bm25_rank::INT AS bm25_rank FROM fused",
+    "hybrid_search_asked": f"WITH {_FOUND_ASKED}, {_quota(8, 3)} SELECT qid, id, kind, round(score, 6) AS score, found_by, kind_rank::INT AS kind_rank FROM hits",
+    "build_prompt_asked": f"""WITH {_HITS_ASKED}, parts AS (SELECT a.qid, any_value(a.question) AS question,
+        coalesce(string_agg(chr(10) || '[T' || kind_rank || '] page ' || page || ' - ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'text'), '(none)') AS texts,
+        coalesce(string_agg(chr(10) || '[IMAGE-' || kind_rank || '] page ' || page || ' - ' || coalesce(nullif(heading, ''), 'figure') || chr(10) || 'Description: ' || {_BODY}, chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'image'), '(none)') AS images
+        FROM asked a LEFT JOIN told t ON t.qid = a.qid GROUP BY a.qid)
+        SELECT qid, array_to_string(['Answer from the excerpts.', '', {_RULE}, 'TEXT EXCERPTS', {_RULE}, texts, '', {_RULE}, 'FIGURES', {_RULE}, images, '', {_RULE}, 'QUESTION: ' || question, {_RULE}, '', '{answer.CLOSING}'], chr(10)) AS prompt FROM parts""",
+    "diagram_context_asked": f"""WITH {_HITS_ASKED} SELECT a.qid, coalesce(string_agg('[page ' || page || '] ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) || chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'text' AND kind_rank <= 6), '(no relevant text found)') AS context
+        FROM asked a LEFT JOIN told t ON t.qid = a.qid GROUP BY a.qid""",
     "answer_pages": f"WITH {_LOG} SELECT request_id, array_to_string(list_sort(list_distinct(coalesce(used_pages, []))), ',') AS pages, array_to_string(list_transform(coalesce(used_image_ids, []), lambda x: upper(trim(x))), ',') AS cited FROM log",
     "draw_intent": f"""WITH {_LOG} SELECT request_id, regexp_matches(concat_ws(' ', question, answer), '{T.DRAW_WORDS}') AS draws FROM log""",
     "dot_check": f"""WITH {_LOG}, made AS (SELECT request_id, '```dot' || chr(10) || 'digraph {{' || coalesce(answer, '') || '}}' || chr(10) || '```' AS s FROM log)

@@ -15,6 +15,17 @@ def test_has_rows(spark, name):
     assert catalogue.QUERIES[name](spark, BASE).count() > 0
 
 
+def test_every_stated_query_is_asked(spark):
+    log, vec = spark.read.parquet(f"{BASE}/query_log.parquet"), spark.read.parquet(f"{BASE}/embeddings.parquet")
+    requests = {r[0] for r in log.where("request_id % 100 = 0").select("request_id").distinct().collect()}
+    vectors = {r[0] for r in vec.where("vec_id % 100 = 0").select("vec_id").collect()}
+    assert len(requests) > 1 and len(vectors) > 1
+    for name in ("bm25_topk_asked", "rrf_fusion_asked", "hybrid_search_asked", "build_prompt_asked", "diagram_context_asked", "shaped_answers"):
+        assert {r[0] for r in catalogue.QUERIES[name](spark, BASE).select("qid").distinct().collect()} == requests, name
+    for name in ("dense_topk_asked", "dense_topk_kind_asked"):
+        assert {r[0] for r in catalogue.QUERIES[name](spark, BASE).select("qid").distinct().collect()} == vectors, name
+
+
 def test_entry(spark):
     import __spark_entry__
 
