@@ -77,6 +77,9 @@ no puedo responder a esta pregunta
 мне нельзя отвечать на этот вопрос
 я не могу с этим помочь
 """.strip().split("\n")
+# Words of the courtesies, reasons and referrals that come with a refusal, by their beginnings; what has none of them and
+# isn't in the first person is content.
+ASIDES = "thank question request message topic subject apolog sorry regret understand appreciat honest please contact consult advis advice assist help supervisor manufacturer engineer specialist professional expert qualified policy policies rule guideline instruct permi allow danke frage bitte leider fachkraft hersteller richtlinie regel verständnis merci demande question désolé responsable règle consigne gracias pregunta favor siento consulte responsable fabricante regla norma спасибо вопрос пожалуйста извин обратитесь правил специалист"
 # End of the fixed values.
 
 FIRST_PERSON = {"i", "me", "my", "mir", "ich", "mich", "je", "m", "me", "puedo", "prefiero", "siento", "я", "мне"}
@@ -85,6 +88,7 @@ _CONTRACTED = [(re.compile(p), r) for p, r in ((r"\bcan['’]t\b|\bcannot\b", "c
 _ORDER = {w: l for l, ws in FUNCTION.items() for w in ws.split()}
 _KINDS = {l: set(ws.split()) for l, ws in FUNCTION.items()}
 _ALL = set(_ORDER)
+_ASIDE = re.compile(r"\b(?:" + "|".join(ASIDES.split()) + ")")
 _LABEL = re.compile(rf"^[\s>*_#\"“«'-]*{LABELS}\s*(?:\*\*|__)?\s*(?:[:–—]|-(?=\s))[\s*_]*", re.I)
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|\"[^\"]*\"|„[^“”]*[“”]|```.*?(?:```|$)|`[^`]*`", re.S)
 
@@ -147,25 +151,31 @@ def is_copy(question: str, answer: str) -> bool:
 _TEMPLATES = [[("" if w == "*" else w) for w in t.split()] for t in REFUSALS]
 
 
-def is_refusal(answer: str) -> bool:
-    """A clause of a short answer aligns with a refusal template; what an answer states about pages isn't one."""
-    said = _QUOTED.sub(" ", answer)
-    if len(said) > 320:
+def _refuses(c: list[str]) -> bool:
+    """A clause's tokens align with a refusal template; what an answer states about pages doesn't."""
+    if len(c) < 3 or not FIRST_PERSON & set(c) and not {"comment"} & set(c) or {"page", "pages", "seite", "seiten", "página", "páginas"} & set(c):
         return False
-    for clause in re.split(r"(?<=[.!?])\s+|;\s|\n", said):
-        c = tokens(clause)
-        if len(c) < 3 or not FIRST_PERSON & set(c) and not {"comment"} & set(c) or {"page", "pages", "seite", "seiten", "página", "páginas"} & set(c):
+    for t in _TEMPLATES:
+        sure = [w for w in t if w]
+        if contained(sure, c) < 0.5 and contained(c, sure) < 0.5:
             continue
-        for t in _TEMPLATES:
-            sure = [w for w in t if w]
-            if contained(sure, c) < 0.5 and contained(c, sure) < 0.5:
-                continue
-            n = lcs(sure, c)
-            if n >= 0.8 * len(sure) and (len(sure) > 3 or len(c) < 8):
-                return True
+        n = lcs(sure, c)
+        if n >= 0.8 * len(sure) and (len(sure) > 3 or len(c) < 8):
+            return True
     return False
 
 
+def is_refusal(answer: str) -> bool:
+    """A clause of the answer refuses, and the clauses with content aren't the greater part of it, by their tokens: what is
+    neither refused nor said in the first person nor a courtesy, a reason or a referral."""
+    clauses = [c for s in re.split(r"(?<=[.!?])\s+|;\s|\n", _QUOTED.sub(" ", answer)) if (c := tokens(s))]
+    refusing = [_refuses(c) for c in clauses]
+    if not any(refusing):
+        return False
+    content = sum(len(c) for c, no in zip(clauses, refusing) if not no and not FIRST_PERSON & set(c) and not _ASIDE.search(" ".join(c)))
+    return 2 * content <= sum(map(len, clauses))
+
+
 def language(text: str, only: bool = False) -> tuple[str, float, Counter]:
     """The language with most function words, its lead over the next, and the counts."""
     text = canonical(_QUOTED.sub(" ", text))

@@ -28,6 +28,16 @@ def test_defects(spark):
     assert answer_defects.defects(df.where("false")).count() == 0
 
 
+def test_long_refusals():
+    no = "I'm sorry, but I can't help with that request."
+    polite = "Thank you for your question about the pump beside the wall, and for telling me what the night shift saw there. I understand that the matter is urgent for all of you and that the pump should run again before the morning. "
+    reason = " Requests of this kind touch the safety rules of the station, which only the manufacturer may interpret. Please contact your supervisor or a qualified engineer, who will look at the pump together with you."
+    assert len(polite + no + reason) > 400 and answer_defects.is_refusal(polite + no + reason)
+    assert answer_defects.is_refusal(polite * 30 + no + reason * 30)
+    told = "The pump rests beside the wall after the night shift and starts again at dawn. "
+    assert answer_defects.is_refusal(no) and not answer_defects.is_refusal(told * 40 + no) and not answer_defects.is_refusal(told * 40)
+
+
 def test_lcs_and_containment():
     assert answer_defects.lcs("a b c d".split(), "b x d".split()) == 2
     assert answer_defects.contained("a b c".split(), "x a b c".split()) == 1.0
