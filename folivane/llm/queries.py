@@ -22,6 +22,8 @@ QUERIES = {
     "p8_shares": mixing.mix_shares,
     "p9_found": shared_spans.found,
     "p9_shared": shared_spans.shared,
+    "p9_stretches": shared_spans.found_places,
+    "p9_clean": shared_spans.clean,
 }
 
 SQL = {"p2_found": repeated_lines.SQL_FOUND, "p5_found": splitting.SQL_FOUND}

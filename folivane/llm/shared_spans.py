@@ -5,7 +5,8 @@ hashes are joined over all documents. Sentences longer than LONGEST are cut furt
 sentence starts are never more than LONGEST apart; any common stretch of ``least`` characters therefore holds a common
 sentence start with at least ``least - LONGEST`` common characters after it, which is the length that is hashed: no
 stretch is missed. Documents of equal text are one class from the start. Spans that several classes have are compared
-character by character to both sides. A span of more than HOT classes isn't paired at all before it is known to be long
+character by character to both sides. Last, the sentences that a span covers are taken out of every document but the first
+that has it. A span of more than HOT classes isn't paired at all before it is known to be long
 enough: its windows of ``least`` characters are hashed instead, and only equal windows meet.
 """
 
@@ -202,3 +203,92 @@ def portions(documents: DataFrame, least: int = LEAST) -> DataFrame:
     whole = (F.col("copies") > 1) & (F.col("n_chars") >= least)
     chars = F.when(whole, F.col("n_chars")).otherwise(F.coalesce("chars", F.lit(0)))
     return docs.join(copies, "class").join(cover, "class", "left").select("doc_id", F.col("class").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), chars.alias("shared_chars"), (chars / F.greatest("n_chars", F.lit(1))).alias("shared_portion"))
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """``found`` of stretches() with the overlapping parts of one stretch put together."""
+    key = ["class", "class2", "shift"]
+    parts = found.withColumn("shift", F.col("at2") - F.col("at")).withColumn("end", F.col("at") + F.col("length"))
+    before = Window.partitionBy(*key).orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1)
+    begins = parts.withColumn("new", F.coalesce((F.col("at") > F.max("end").over(before)).cast("int"), F.lit(1)))
+    numbered = begins.withColumn("run", F.sum("new").over(Window.partitionBy(*key).orderBy("at", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy(*key, "run").agg(F.min("at").alias("at"), F.max("end").alias("end"))
+    return whole.select("class", "class2", "at", (F.col("at") + F.col("shift")).alias("at2"), (F.col("end") - F.col("at")).alias("length"))
+
+
+def _sides(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(class, begin, length, other_class) of the stretches from either side, and the documents with their classes, the
+    first document of each and its copies."""
+    found = cut(merged(stretches(documents, least)))
+    sides = found.select("class", F.col("at").alias("begin"), "length", F.col("class2").alias("other_class")).unionByName(found.select("class2", F.col("at2").alias("begin"), "length", F.col("class").alias("other_class")).withColumnRenamed("class2", "class"))
+    docs = cut(classes(documents))
+    return sides, docs.join(docs.groupBy("class").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")), "class")
+
+
+def places(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, begin, length, other_class, other_doc): each stretch of at least ``least`` characters that a document has in
+    common with a class of other texts, in whole length; begin counts characters from 0. other_doc is the first document
+    of the class; all its members, which have one text, are in shared(). A text that other documents equal is one stretch
+    with its own class, whose other_doc is the first other member."""
+    sides, docs = _sides(documents, least)
+    heads = docs.select(F.col("class").alias("other_class"), F.col("head").alias("other_doc")).distinct()
+    across = docs.select("doc_id", "class").join(sides, "class").join(heads, "other_class").select("doc_id", "begin", "length", "other_class", "other_doc")
+    equal = docs.where((F.col("copies") > 1) & (F.col("n_chars") >= least))
+    second = equal.where("doc_id <> head").groupBy("class").agg(F.min("doc_id").alias("second"))
+    other = F.when(F.col("doc_id") == F.col("head"), F.col("second")).otherwise(F.col("head"))
+    whole = equal.join(second, "class").select("doc_id", F.lit(0).alias("begin"), F.col("n_chars").alias("length"), F.col("class").alias("other_class"), other.alias("other_doc"))
+    return across.unionByName(whole)
+
+
+def uncovered(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:
+    """``text`` without the sentences that lie in one of ``covered`` (begin, end) or in several that meet, and their
+    number. The blanks after a sentence may lie outside."""
+    runs: list[list[int]] = []
+    for a, b in sorted(covered):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    at = [0, *(m.end() for m in _START.finditer(text) if 0 < m.end() < len(text)), len(text)]
+    kept, removed, k = [], 0, 0
+    for a, b in zip(at, at[1:]):
+        last = a + len(text[a:b].rstrip())
+        while k < len(runs) and runs[k][1] < last:
+            k += 1
+        if last > a and k < len(runs) and runs[k][0] <= a:
+            removed += 1
+        else:
+            kept.append(text[a:b])
+    return "".join(kept), removed
+
+
+def _uncovered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            out.append(uncovered(text, [(s["begin"], s["end"]) for s in spans]) if spans and text else (text, 0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int32())], ["doc_id", "text", "removed"])
+
+
+def without_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, text, removed): each document once, without the sentences that lie in a stretch an earlier document (of
+    smaller doc_id) has too, and their number. Of equal texts of at least ``least`` characters the first keeps its own.
+    A null text stays null."""
+    sides, docs = _sides(documents, least)
+    heads = docs.select("class", "head").distinct()
+    # Of a pair of texts the one whose first document comes later loses the stretch.
+    later = sides.join(heads, "class").join(heads.select(F.col("class").alias("other_class"), F.col("head").alias("other_head")), "other_class").where("other_head < head")
+    spans = later.groupBy("class").agg(F.collect_set(F.struct("begin", (F.col("begin") + F.col("length")).alias("end"))).alias("spans"))
+    copy = (F.col("doc_id") != F.col("head")) & (F.col("n_chars") >= least)
+    all_of_it = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_chars").alias("end")))
+    lost = docs.join(spans, "class", "left").select("doc_id", F.when(copy, all_of_it).otherwise(F.col("spans")).alias("spans")).where("spans IS NOT NULL")
+    once = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    return once.join(lost, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_uncovered, "doc_id long, text string, removed int")
+
+
+def found_places(spark: SparkSession, base: str) -> DataFrame:
+    return places(table(spark, base, "documents", "doc_id", "text"))
+
+
+def clean(spark: SparkSession, base: str) -> DataFrame:
+    return without_repeats(table(spark, base, "documents", "doc_id", "text"))

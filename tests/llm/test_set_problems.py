@@ -167,6 +167,51 @@ def test_shared(spark, monkeypatch):
         shared_spans.stretches(df, 200)
 
 
+def test_stretches_and_removal(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans, "HOT", 3)
+    rng = random.Random(8)
+    sent = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)) + ". "
+    doc = lambda k: "".join(sent(rng.randint(4, 18)) for _ in range(k))
+    block, hot = doc(22), doc(9)[:420]
+    docs = [(1, doc(3) + block + doc(2)), (2, "X. " + block + doc(2)), (3, doc(2) + block[200:900] + doc(2)), (7, doc(30)), (8, "short. "), (9, "short. "), (10, None)]
+    docs += [(4, docs[1][1]), (4, docs[1][1])] + [(20 + i, doc(4) + hot + f"{i}x " + doc(3)) for i in range(5)]
+    once = {d: t for d, t in docs if t}
+
+    def longest(a, b):
+        """(begin in a, length) of the maximal common stretches of at least 400 characters."""
+        out, k = set(), 0
+        while k + 400 <= len(a):
+            j = b.find(a[k : k + 400])
+            if j < 0:
+                k += 1
+                continue
+            n = 400
+            while k + n < len(a) and j + n < len(b) and a[k + n] == b[j + n]:
+                n += 1
+            out.add((k, n))
+            k += n
+        return out
+
+    df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, class int")
+    got = {(r.doc_id, r.begin, r.length, r.other_doc) for r in shared_spans.places(df).collect()}
+    want = {(a, k, n, b) for a in once for b in once if a != b and once[a] != once[b] and b != 4 for k, n in longest(once[a], once[b])}
+    assert got == want | {(2, 0, len(once[2]), 4), (4, 0, len(once[4]), 2)} and len(block) > 800
+    rows = shared_spans.without_repeats(df).collect()
+    told = {r.doc_id: r.text for r in rows}
+    assert len(rows) == len(told) == len(once) + 1 and told[10] is None
+    assert all(told[d] == once[d] for d in (1, 7, 8, 9, 20)) and told[4] == ""
+
+    def left(d):
+        t, own = once[d], set()
+        for e in once:
+            if e < d and once[e] != t:
+                own |= {i for k, n in longest(t, once[e]) for i in range(k, k + n)}
+        at = [0, *(m.end() for m in shared_spans._START.finditer(t) if m.end() < len(t)), len(t)]
+        return "".join(t[a:b] for a, b in zip(at, at[1:]) if not set(range(a, a + len(t[a:b].rstrip()))) <= own)
+
+    assert all(told[d] == left(d) != once[d] for d in (2, 3, 21, 24))
+
+
 def test_all_queries_run(spark):
     for name, q in queries.QUERIES.items():
         assert q(spark, BASE).count() > 0, name
