@@ -263,9 +263,10 @@ def misread_forms(words: DataFrame, items: DataFrame) -> DataFrame:
     """(word, right): forms with the frequent form of their skeleton group that they are misread from."""
     told = words.where("length(word) >= 3 AND NOT contains(word, '-') AND word RLIKE '[^0-9]'").mapInArrow(_skeletons, "skeleton string, word string, n long, scanned long")
     told = cut(told)
-    # Of a group, the three most frequent forms: enough for any of them to be the right one.
-    best = told.where(F.col("n") >= RATIO).where("NOT word RLIKE '[0-9]'").groupBy("skeleton").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), False), 1, 3).alias("best"))
-    pairs = told.where(F.col("scanned") >= SCANNED * F.col("n")).join(best, "skeleton").select("word", F.explode("best").alias("b"), "n").select("word", F.col("b.word").alias("right"), F.col("b.n").alias("right_n"), "n").where("word <> right")
+    # Every form meets all of its group that occur often enough to be right for a form of one occurrence or document. The
+    # length of a form changes by two at most with each of the three confusions.
+    best = told.where(F.col("n") >= RATIO).where("NOT word RLIKE '[0-9]'").select("skeleton", F.col("word").alias("right"), F.col("n").alias("right_n"))
+    pairs = told.where(F.col("scanned") >= SCANNED * F.col("n")).join(best, "skeleton").where("word <> right AND abs(length(word) - length(right)) <= 6").select("word", "right", "right_n", "n")
     pairs = cut(pairs.mapInArrow(_confirm, "word string, right string, right_n long, n long"))
     rare = F.col("right_n") >= RATIO * F.col("n")
     # A form that isn't rare by its occurrences may still be by its documents.

@@ -102,6 +102,16 @@ def test_misread_at_every_size(spark):
     assert ("r0", 2) not in misread([*rows, *((f"o{i}", f"e{i}", "The r0tate rests.") for i in range(4))])
 
 
+def test_right_form_of_a_large_group(spark):
+    # Four forms of one skeleton; the misread one comes from the least frequent.
+    forms = {"briraris": 40, "briroris": 38, "brirolis": 36, "briralis": 30}
+    assert len({scan_noise.skeleton(w) for w in [*forms, "6rira1i5"]}) == 1 and not any(scan_noise.confusable(w, "6rira1i5") for w in list(forms)[:3])
+    rows = [(f"{w}{i}", f"d{i}", f"The pump of {w} rests.") for w, n in forms.items() for i in range(n)]
+    rows.append(("p", "d", "The container of 6rira1i5 rests beside the corridor and the operators\nwalk along the northern corridor until the handle\nstands beside the wall of the station and they\nrest there."))
+    df = frame(spark, [("chunks", k, d, 1, v) for k, d, v in rows], "item_table string, item_key string, doc_id string, page int, value string")
+    assert [(r.item_key, r.line_no, r.word, r.right) for r in scan_noise.noise(df).where("noise = 'misread'").collect()] == [("p", 1, "6rira1i5", "briralis")]
+
+
 def test_confusable():
     assert scan_noise.confusable("narrow", "riarrow") and scan_noise.confusable("delivers", "dehvers") and scan_noise.confusable("system", "5y5tem")
     assert not scan_noise.confusable("shaft", "shatf") and not scan_noise.confusable("pump", "pump") and not scan_noise.confusable("pump", "dump")
