@@ -11,9 +11,9 @@ from hashlib import blake2b
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from folivane.settings import DEFAULT
+from folivane.settings import DEFAULT, Settings
 
 
 class Provider(Protocol):
@@ -109,12 +109,18 @@ def missing(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.join(cache.where("result IS NOT NULL").select(*keys), keys, "left_anti")
 
 
+def figure_prompt(template: str, context: Column, settings: Settings = DEFAULT) -> Column:
+    """``template`` with the beginning of the text around a figure in place of ``{context}``."""
+    before, _, after = template.partition("{context}")
+    return F.concat(F.lit(before), F.substring(F.coalesce(context, F.lit("")), 1, settings.context_chars), F.lit(after))
+
+
 def ask_missing(wanted: DataFrame, cache: DataFrame, keys: list[str], ask: Callable[[str], str]) -> DataFrame:
-    """The cache with an answer for every row of ``wanted`` (keys, prompt)."""
+    """The cache with an answer for every row of ``wanted`` (keys, prompt). Prompts are asked whole."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part[keys].assign(result=part["prompt"].map(lambda p: ask(p[: DEFAULT.context_chars])))
+            yield part[keys].assign(result=part["prompt"].map(ask))
 
     new = missing(wanted, cache, keys).mapInPandas(run, wanted.select(*keys).withColumn("result", F.lit("")).schema)
     return cache.select(*keys, "result").unionByName(new)

@@ -63,6 +63,10 @@ def test_providers(spark):
     cache = spark.createDataFrame([("k1", "")], "key string, result string")
     want = spark.createDataFrame([("k1", "p"), ("k2", "p")], "key string, prompt string")
     assert sorted(map(tuple, providers.ask_missing(want, cache, ["key"], str.upper).collect())) == [("k1", ""), ("k2", "P")]
+    long = spark.createDataFrame([("k3", "p" * 4000 + " end", "c" * 2000), ("k4", None, None)], "key string, prompt string, context string")
+    assert dict(map(tuple, providers.ask_missing(long.where("key = 'k3'").select("key", "prompt"), cache, ["key"], str.upper).collect()))["k3"] == "P" * 4000 + " END"
+    told = long.select(providers.figure_prompt("Around it: {context}. Describe it.", F.col("context"))).collect()
+    assert [r[0] for r in told] == ["Around it: " + "c" * 1500 + ". Describe it.", "Around it: . Describe it."]
 
 
 def test_files(spark, tmp_path):
