@@ -1,10 +1,10 @@
 """Problem 2: lines that come back throughout one source, and texts without them.
 
-A line is parsed into a template: blanks dropped, case folded, each run of digits a wildcard slot. A template's place is
-a path in a token tree of fixed depth (source, then the leading pieces of the template between wildcards); the leaf is
-the whole template. Both are 64-bit keys. Every task grows the tree of its own lines, and the shuffle by path and leaf
-merges the trees: what is counted at a leaf are distinct (path, leaf, record) triples, so a line of a third of all
-records is aggregated before and after the shuffle and never gathered in one task.
+A line is parsed into a template: blanks dropped, case folded, each run of digits a wildcard slot. Lines are the same if
+their whole templates are, so exact hashing of templates stands in for a parse tree: no tree is grown or merged. The path
+(source, then the leading pieces of the template between wildcards) and the leaf (the whole template) are 64-bit keys.
+What is counted are distinct (path, leaf, record) triples, so a line of a third of all records is aggregated before and
+after the shuffle and never gathered in one task.
 """
 
 from __future__ import annotations
