@@ -4,8 +4,9 @@ Words of the whole corpus are counted and grouped by the skeleton of their glyph
 are equal; a rare form that stands mostly in scanned items and whose group has a far more frequent one that it can be
 misread from is a misread one, where it stands in running text of a scanned page (other words of its line are the context;
 codes and lone tokens aren't words). A form is rare by one ratio at all counts: by its occurrences, or by its documents, so
-that one document that misreads a word throughout doesn't make its form frequent. Words at line ends are joined if the joined form is the one in use. Digits are
-masked and glyphs put into skeletons to tell the printed title and chapter lines by the document's name.
+that one document that misreads a word throughout doesn't make its form frequent. Words at line ends are joined if the joined form is the one in use. Printed
+title and chapter lines are told by the words of the doc_id slug, glyphs put into skeletons and one number set aside; lines
+aren't masked and counted over a document's pages, so a title that isn't in the slug isn't found.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def _title(doc_id: str) -> list[str]:
 
 
 def is_header(line: str, title: list[str]) -> bool:
-    """The document's title, with or without chapter and number; digits masked, glyphs by skeleton."""
+    """The title in the doc_id slug, with or without chapter and number; glyphs by skeleton."""
     if len(line) > 110 or not title:
         return False
     ws = [w for w in re.split(r"[\s|–—:\-.]+", canonical(line).strip()) if _WORD.search(w)]
