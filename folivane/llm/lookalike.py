@@ -23,13 +23,14 @@ TO_CYRILLIC = dict(zip(AS_LATIN_C, CYRILLIC))
 def _tables() -> tuple[str, dict[str, str], dict[str, str]]:
     """Invisible characters; one-to-one replacements; one-to-many replacements. By Unicode's own properties."""
     invisible, one, many = "", {}, {}
-    for n in range(0x80, 0x20000):
+    # Planes 2 and 3 hold ideographs, 4 to 13 nothing, 15 and 16 private characters; plane 14 has tags and variation marks.
+    for n in (*range(0x80, 0x20000), *range(0xE0000, 0xE1000)):
         ch = chr(n)
         kind = unicodedata.category(ch)
         if kind == "Cs":
             continue
         parts = unicodedata.decomposition(ch).split()
-        if kind == "Cf" or n in (0x034F, 0x115F, 0x1160, 0x3164) or 0xFE00 <= n <= 0xFE0F:
+        if kind == "Cf" or n in (0x034F, 0x115F, 0x1160, 0x3164) or 0xFE00 <= n <= 0xFE0F or 0xE0100 <= n <= 0xE01EF:
             invisible += ch
         elif kind == "Zs":
             one[ch] = " "

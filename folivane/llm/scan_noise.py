@@ -2,11 +2,13 @@
 
 Words of the whole corpus are counted and grouped by the skeleton of their glyphs, in which forms that scanning confuses
 are equal; a rare form that stands mostly in scanned items and whose group has a far more frequent one that it can be
-misread from is a misread one, where it stands in running text of a scanned page (other words of its line are the context;
-codes and lone tokens aren't words). A form is rare by one ratio at all counts: by its occurrences, or by its documents, so
-that one document that misreads a word throughout doesn't make its form frequent. Words at line ends are joined if the joined form is the one in use. Printed
-title and chapter lines are told by the words of the doc_id slug, glyphs put into skeletons and one number set aside; lines
-aren't masked and counted over a document's pages, so a title that isn't in the slug isn't found.
+misread from is a misread one. A form is rare by one ratio at all counts: by its occurrences, by its documents (so that one
+document that misreads a word throughout doesn't make its form frequent), or by its occurrences beside the same neighbouring
+words. Of several frequent forms that can be the right one, the nearest in glyphs is chosen, and of
+those as near the one that stands most beside the same neighbours.
+Words at line ends are joined if the joined form is the one in use. Running headers are lines of a title's shape whose form
+(digits and chapter marks masked, glyphs as skeletons) comes back at page edges over a document's items; a form that stands
+once counts where the line opens its item, carries a mark or interrupts a sentence. The document's name isn't looked at.
 """
 
 from __future__ import annotations
@@ -30,8 +32,6 @@ RATIO = 12
 SCANNED = 0.5
 #: Misread forms up to which they are given to all tasks; beyond, the words of scanned lines are joined with them.
 MOST_SUSPECTS = 200_000
-#: The longest word that is looked at; longer runs of letters and digits are no words.
-LONGEST = 30
 
 # Glyph forms (right to left of each pair) that scanning confuses, in lower case.
 CONFUSED = "i=1 l=1 i=l l=i o=0 s=5 g=9 b=6 z=2 b=8 a=4 e=c c=e t=f f=t m=rn n=ri n=ii h=li d=cl u=ii w=vv li=h cl=d rn=m ri=n ii=u ii=n vv=w q=9 q=g g=q b=h h=b i=! l=| i=| m=iii k=lc t=7 u=v v=u a=o o=a y=v"
@@ -46,7 +46,12 @@ for _right, _wrong in _PAIRS:
     _BY_FIRST.setdefault(_right[0], []).append((_right, _wrong))
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _WORD = re.compile(r"[^\W_]+")
+# In scanned text a bar that touches a letter is a misread l or i.
+_SCANNED_WORD = r"(?:\|(?=[^\W\d_]))?[^\W_]+(?:\|[^\W_]+)*(?:(?<=[^\W\d_])\|)?"
+_BARRED = re.compile(_SCANNED_WORD)
+_BARRED_TOKEN = re.compile(rf"{_SCANNED_WORD}(?:-{_SCANNED_WORD})*")
 _HALVES = re.compile(rf"[^\W_]+[{HYPHENS[1:]}-][^\S\n]*\n\s*[^\W_]+")
+_ROW = re.compile(r"^\s*\|.*\|\s*$", re.M)
 _STROKE_TABLE = {ord(k): v for k, v in STROKES.items()}
 
 
@@ -57,29 +62,33 @@ def skeleton(word: str) -> str:
     return s.replace("ri", "ii").replace("a", "o").replace("y", "v")
 
 
-def confusable(right: str, wrong: str, most: int = 3) -> bool:
-    """Whether ``wrong`` comes from ``right`` by one to ``most`` of the confusions."""
+def confusable(right: str, wrong: str) -> int:
+    """The least number of the confusions, of any number, by which ``wrong`` comes from ``right``; 0 if it doesn't."""
     if sorted(right) == sorted(wrong):  # letters that changed places were mistyped, not misread
-        return False
-    todo, seen = [(0, 0, 0)], set()
-    while todo:
-        i, j, n = todo.pop()
-        if i == len(right) and j == len(wrong):
-            return n > 0
-        if i >= len(right) or (i, j, n) in seen:
-            continue
-        seen.add((i, j, n))
-        if j < len(wrong) and right[i] == wrong[j]:
-            todo.append((i + 1, j + 1, n))
-        if n < most:
-            todo += [(i + len(a), j + len(b), n + 1) for a, b in _BY_FIRST.get(right[i], ()) if right.startswith(a, i) and wrong.startswith(b, j)]
-    return False
+        return 0
+    now, seen, n = {(0, 0)}, set(), 0
+    while now:
+        then, todo = set(), list(now)
+        while todo:
+            i, j = todo.pop()
+            if (i, j) in seen:
+                continue
+            seen.add((i, j))
+            if i == len(right):
+                if j == len(wrong):
+                    return n
+                continue
+            if j < len(wrong) and right[i] == wrong[j]:
+                todo.append((i + 1, j + 1))
+            then.update((i + len(a), j + len(b)) for a, b in _BY_FIRST.get(right[i], ()) if right.startswith(a, i) and wrong.startswith(b, j))
+        now, n = then - seen, n + 1
+    return 0
 
 
 # --- what the lines of an item are -----------------------------------------------------------------------------------
 
 _ROMAN = r"[ivxlcdm]{1,7}"
-_NUMBER = r"[\dOoIlSsZBbg]{1,4}"
+_NUMBER = r"[\dOoIlSsZBbg]{1,6}"
 _PAGE = re.compile(rf"^(?:(?:page|pg|p|seite|s|página|pág|стр)\.?\s*({_NUMBER})|\[\s*({_NUMBER})\s*\]|[-–—]\s*({_NUMBER}|{_ROMAN})\s*[-–—]|({_NUMBER})\s*(?:/|of|von|de|sur)\s*{_NUMBER}|({_NUMBER})\s*\.?)$", re.I)
 _DIGIT = str.maketrans("OoIlSsZBbg", "0011552869")
 _ENDS = re.compile(r"[.!?:;…\"”»)\]|`]$")
@@ -99,29 +108,37 @@ def _number(line: str) -> int | None:
     return int(digits) if digits.isdigit() else None
 
 
-def _title(doc_id: str) -> list[str]:
-    return [w for w in re.sub(r"-\d+$", "", doc_id or "").split("-") if w]
+_CHAPTERS = {skeleton(c) for c in CHAPTER}
+_IN_SENTENCE = re.compile(r"[.!?]\s")
 
 
-def is_header(line: str, title: list[str]) -> bool:
-    """The title in the doc_id slug, with or without chapter and number; glyphs by skeleton."""
-    if len(line) > 110 or not title:
-        return False
-    ws = [w for w in re.split(r"[\s|–—:\-.]+", canonical(line).strip()) if _WORD.search(w)]
-    if ws and len(ws) > len(title) and any(skeleton(ws[0]) == skeleton(c) for c in CHAPTER):
-        ws = ws[1:]
-        if ws and len(ws) > len(title):
-            ws = ws[1:]
-    if len(ws) == len(title) + 1:
-        number = lambda w: _number(w) is not None or re.fullmatch(_ROMAN, w, re.I)
-        if skeleton(ws[-1]) != skeleton(title[-1]) and number(ws[-1]):
-            ws = ws[:-1]
-        elif number(ws[0]):
+def _is_number(word: str) -> bool:
+    return bool(re.fullmatch(_NUMBER, word)) and any(c.isdigit() for c in word) or bool(re.fullmatch(_ROMAN, word, re.I)) and len(word) > 1
+
+
+def title_form(line: str, strays: int = 0) -> tuple[str, bool] | None:
+    """(form, whether it has a chapter mark or a page number) of a line of a title's shape: no sentence, and all its words
+    of more than three letters, but for ``strays`` of them, begin with a capital. In the form digits are masked, the mark is
+    left out and glyphs are skeletons. None for other lines."""
+    s = canonical(line).strip()
+    if not s or s[-1] in ".!?:;,…" or s[0] in "#>`*•-" or s.startswith("| ") or _IN_SENTENCE.search(s):
+        return None
+    ws = [b for w in s.split() if _WORD.search(b := w.strip("–—-:.()[]"))]
+    marked = False
+    if len(ws) > 1 and skeleton(ws[0]) in _CHAPTERS:
+        ws, marked = ws[1:], True
+        if len(ws) > 1 and _is_number(ws[0]):
             ws = ws[1:]
-    if len(ws) != len(title):
-        return False
-    same = sum(skeleton(w) == skeleton(t) for w, t in zip(ws, title))
-    return same == len(title) or len(title) > 2 and same == len(title) - 1
+    if len(ws) > 1 and _is_number(ws[-1]):
+        ws, marked = ws[:-1], True
+    elif len(ws) > 1 and _is_number(ws[0]):
+        ws, marked = ws[1:], True
+    large = [w for w in ws if len(w) > 3]
+    if len(ws) < 2 and not marked or not large:
+        return None
+    if sum(not (w[0].isupper() or w[0].isdigit() or w[0] == "|") for w in large) > (strays if len(large) > 2 else 0):
+        return None
+    return " ".join(re.sub(r"\d+", "#", w) if w.isdigit() else skeleton(w) for w in ws), marked
 
 
 def is_scanned(lines: list[str]) -> bool:
@@ -138,8 +155,8 @@ def is_scanned(lines: list[str]) -> bool:
     return runs >= 2 or runs == 1 and full <= 4
 
 
-def roles(lines: list[str], title: list[str], page: int | None) -> list[str]:
-    """For each line of a scanned item: 'blank', 'running_header', 'page_number', or 'text'."""
+def roles(lines: list[str], page: int | None) -> list[str]:
+    """For each line of a scanned item: 'blank', 'title' (of a title's shape), 'page_number', or 'text'."""
     out = []
     filled = [i for i, s in enumerate(lines) if s.strip()]
     edge = {*filled[:2], *filled[-2:]}
@@ -147,90 +164,147 @@ def roles(lines: list[str], title: list[str], page: int | None) -> list[str]:
         s = s.strip()
         if not s:
             out.append("blank")
-        elif is_header(s, title):
-            out.append("running_header")
-        elif len(s) <= 20 and (n := _number(s)) is not None:
+        elif (n := _number(s)) is not None:
             bare = s.strip(" .").translate(_DIGIT).isdigit()
             beside = [lines[k].strip() for k in (i - 1, i + 1) if 0 <= k < len(lines)]
             column = any(x.isdigit() for x in beside)  # numbers below each other are data
             out.append("page_number" if not bare or i in edge and not column or page is not None and abs(n - page) <= 1 and not column else "text")
         else:
-            out.append("text")
+            out.append("title" if title_form(s, 1) else "text")
     return out
 
 
+def titles(lines: list[str], role: list[str]) -> Iterator[tuple[int, str, bool, bool, bool]]:
+    """(line, form, strict, at an edge, surely) of the lines of a title's shape. 'strict': without strays; 'at an edge':
+    among the first or last two lines that aren't blank, or beside a page number; 'surely': the line opens the item,
+    carries a mark, or interrupts a sentence."""
+    filled = [i for i, r in enumerate(role) if r != "blank"]
+    for f, i in enumerate(filled):
+        if role[i] != "title":
+            continue
+        form, marked = title_form(lines[i], 1)
+        before, after = (filled[f - 1] if f else None), (filled[f + 1] if f + 1 < len(filled) else None)
+        edge = f < 2 or f >= len(filled) - 2 or any(k is not None and role[k] == "page_number" for k in (before, after))
+        text = [k for k in filled[:f] if role[k] == "text"][-1:]
+        breaks = bool(text) and after is not None and not _ENDS.search(lines[text[0]].strip()) and lines[after].strip()[:1].islower()
+        yield i, form, title_form(lines[i]) is not None, edge, f == 0 or marked or breaks
+
+
 def _broken(lines: list[str], role: list[str]) -> Iterator[tuple[int, int, str, str, str, str]]:
-    """(line, line that goes on, first half, hyphen, second half, whole line) where a line ends in a hyphen."""
+    """(line, line that goes on, first half, hyphen, second half, whole line) where a line ends in a hyphen. The word goes on
+    in the next line of text, however far."""
+    following = [-1] * len(lines)
+    for i in range(len(lines) - 2, -1, -1):
+        following[i] = i + 1 if role[i + 1] == "text" else following[i + 1]
     for i, s in enumerate(lines):
-        if role[i] != "text":
-            continue
         s = s.rstrip()
-        if not s or s[-1] not in HYPHENS:
-            continue
-        head = re.search(r"[^\W\d_](?:[^\W_]|-)*$", s[:-1])
-        if not head:
+        if role[i] != "text" or not s or s[-1] not in HYPHENS or following[i] < 0:
             continue
-        for j in range(i + 1, min(i + 6, len(lines))):
-            if role[j] == "text":
-                tail = re.match(r"\s*([^\W_]+(?:-[^\W_]+)*)", lines[j])
-                if tail and (tail.group(1)[0].islower() or tail.group(1)[0].isdigit() or s[-2].isupper()):
-                    yield i, j, head.group(0), s[-1], tail.group(1), s
-                break
+        head = _HEAD.search(s[:-1])
+        tail = _TAIL.match(lines[following[i]])
+        if head and tail and any(c.isalpha() for c in head.group(0)) and (tail.group(1)[0].islower() or tail.group(1)[0].isdigit() or tail.group(1)[0] == "|" or s[-2].isupper()):
+            yield i, following[i], head.group(0), s[-1], tail.group(1), s
+
+
+_HEAD = re.compile(rf"(?<![^\W_]){_SCANNED_WORD}(?:-{_SCANNED_WORD})*$")
+_TAIL = re.compile(rf"\s*({_SCANNED_WORD}(?:-{_SCANNED_WORD})*)")
 
 
 # --- passes over the corpus ------------------------------------------------------------------------------------------
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n, scanned): words in lower case, compounds with their hyphens, and how many of them stand in scanned items;
-    parts of compounds count as words too, the halves of a word over a line end of a scanned item don't."""
+def _words_of(text: str) -> list[str]:
+    """The words of a scanned text in lower case; bars between the cells of a table are no letters."""
+    low = text.lower()
+    if "|" not in low:
+        return _WORD.findall(low)
+    return [w for line in low.split("\n") for w in (_WORD if _ROW.match(line) or " | " in line else _BARRED).findall(line)]
+
+
+def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of words (doc null): (word, n, scanned), in lower case, compounds with their hyphens, and how many of them stand in
+    scanned items; parts of compounds count as words too, the halves of a word over a line end of a scanned item don't.
+    Of titles: (word, the form; n, items of the document with it; scanned, those with it at an edge; sure)."""
     clean: Counter = Counter()
     scanned: Counter = Counter()
+    forms: dict[tuple[str, str], list[int]] = {}
 
     def lower(n: Counter) -> Counter:
         low: Counter = Counter()
         for w, c in n.items():
             w = w.lower()
+            low[w] += c
             if "-" in w:
-                if len(w) <= 2 * LONGEST:
-                    low[w] += c
                 for p in w.split("-"):
-                    if len(p) <= LONGEST:
-                        low[p] += c
-            elif len(w) <= LONGEST:
-                low[w] += c
+                    low[p] += c
         return low
 
     def give() -> pa.RecordBatch:
         own = lower(scanned)
         n = lower(clean)
         n.update(own)
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([own[w] for w in n], pa.int64())], ["word", "n", "scanned"])
+        cols = [[None] * len(n) + [d for d, _ in forms], [*n, *(f for _, f in forms)], [*n.values(), *(v[0] for v in forms.values())], [*(own[w] for w in n), *(v[1] for v in forms.values())], [0] * len(n) + [v[2] for v in forms.values()]]
+        clean.clear()
+        scanned.clear()
+        forms.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 2 else pa.int64()) for k, c in enumerate(cols)], ["doc", "word", "n", "scanned", "sure"])
 
     for batch in batches:
-        for t in batch.column(0).to_pylist():
-            if "\n" in t and is_scanned(t.split("\n")):
-                scanned.update(_TOKEN.findall(_HALVES.sub("\n", t)))
-            else:
+        for tab, key, doc, page, t in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            lines = t.split("\n")
+            if len(lines) < 2 or not is_scanned(lines):
                 clean.update(_TOKEN.findall(t))
-        if len(clean) + len(scanned) > 1 << 20:
+                continue
+            bare = _HALVES.sub("\n", t)
+            if "|" in bare:
+                for line in bare.split("\n"):
+                    scanned.update((_TOKEN if _ROW.match(line) or " | " in line else _BARRED_TOKEN).findall(line))
+            else:
+                scanned.update(_TOKEN.findall(bare))
+            own: dict[str, list[int]] = {}
+            for _, form, strict, edge, sure in titles(lines, roles(lines, page)):
+                if strict:
+                    v = own.setdefault(form, [1, 0, 0])
+                    v[1] |= edge
+                    v[2] |= sure
+            for form, v in own.items():
+                w = forms.setdefault((doc if doc is not None else f"\0{tab}\0{key}", form), [0, 0, 0])
+                for k in range(3):
+                    w[k] += int(v[k])
+        if len(clean) + len(scanned) + len(forms) > 1 << 20:
             yield give()
-            clean.clear()
-            scanned.clear()
     yield give()
 
 
-def _documents(words):
-    """(word, doc) of the texts that hold one of ``words``; of all words, if it is None."""
+def _beside(words):
+    """(word, doc, beside, n) of ``words``, all words if it is None: how often each stands in a document before (beside
+    begins with >) or after (<) which word; and once for each text that holds it, with beside null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value if words is not None else None
+        out: Counter = Counter()
+
+        def give() -> pa.RecordBatch:
+            cols = list(zip(*((*k, n) for k, n in out.items()))) or [[]] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 3 else pa.string()) for k, c in enumerate(cols)], ["word", "doc", "beside", "n"])
+
         for batch in batches:
-            out: dict[tuple[str, str], None] = {}
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = set(_WORD.findall(t.lower()))
-                out.update(((w, doc), None) for w in (own if known is None else own & known) if len(w) <= LONGEST)
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([d for _, d in out], pa.string())], ["word", "doc"])
+                said = _words_of(t)
+                own = set(said) if known is None else known.intersection(said)
+                if not own:
+                    continue
+                out.update((w, doc, None) for w in own)
+                for k, w in enumerate(said):
+                    if w in own:
+                        if k:
+                            out[w, None, "<" + said[k - 1]] += 1
+                        if k + 1 < len(said):
+                            out[w, None, ">" + said[k + 1]] += 1
+            if len(out) > 1 << 18:
+                yield give()
+        yield give()
 
     return run
 
@@ -242,49 +316,72 @@ def _skeletons(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = pa.array([confusable(r, w) for w, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_())
-        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns], batch.schema.names)
+        cost = [confusable(r, w) for w, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        keep = pa.array([c > 0 for c in cost], pa.bool_())
+        yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns), pa.array(cost, pa.int32()).filter(keep)], [*batch.schema.names, "cost"])
 
 
-def vocabulary(items: DataFrame) -> DataFrame:
-    """(word, n, scanned) over all texts of ``items``, of which each key stands there once."""
-    return items.where("value IS NOT NULL").select("value").mapInArrow(_count, "word string, n long, scanned long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("scanned").alias("scanned"))
+def survey(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words (word, n, scanned) of all texts of ``items``, of which each key stands there once, and the running headers
+    (doc, form) of its documents."""
+    told = items.where("value IS NOT NULL").select("item_table", "item_key", "doc_id", "page", "value").mapInArrow(_survey, "doc string, word string, n long, scanned long, sure long")
+    told = cut(told.groupBy("doc", "word").agg(*(F.sum(c).alias(c) for c in ("n", "scanned", "sure"))))
+    headers = told.where("doc IS NOT NULL").where("n > 1 AND 2 * scanned >= n OR sure > 0 AND n = 1").select("doc", F.col("word").alias("form"))
+    return told.where("doc IS NULL").select("word", "n", "scanned"), headers
 
 
-def documents_of(items: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, docs): in how many documents of ``items`` each of ``words`` stands. An item without one is its own."""
+def contexts(items: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, docs), in how many documents of ``items`` each of ``words`` stands (an item without one is its own), and
+    (word, beside, n), how often beside which words."""
     small = words.limit(MOST_SUSPECTS + 1).count() <= MOST_SUSPECTS
     known = items.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in words.select("word").collect())) if small else None
-    seen = items.select(F.coalesce(F.col("doc_id"), F.concat(F.lit("\0"), "item_key")).alias("doc"), "value").mapInArrow(_documents(known), "word string, doc string")
+    seen = items.select(F.coalesce(F.col("doc_id"), F.concat(F.lit("\0"), "item_key")).alias("doc"), "value").mapInArrow(_beside(known), "word string, doc string, beside string, n long")
     told = seen if small else seen.join(words.select("word"), "word", "left_semi")
-    return told.distinct().groupBy("word").agg(F.count("*").alias("docs"))
+    told = cut(told.groupBy("word", "doc", "beside").agg(F.sum("n").alias("n")))
+    return told.where("beside IS NULL").groupBy("word").agg(F.count("*").alias("docs")), told.where("beside IS NOT NULL").select("word", "beside", "n")
 
 
 def misread_forms(words: DataFrame, items: DataFrame) -> DataFrame:
     """(word, right): forms with the frequent form of their skeleton group that they are misread from."""
-    told = words.where("length(word) >= 3 AND NOT contains(word, '-') AND word RLIKE '[^0-9]'").mapInArrow(_skeletons, "skeleton string, word string, n long, scanned long")
+    told = words.where("(length(word) >= 3 OR length(word) = 2 AND word RLIKE '[0-9|]') AND NOT contains(word, '-') AND word RLIKE '[^0-9]'").mapInArrow(_skeletons, "skeleton string, word string, n long, scanned long")
     told = cut(told)
-    # Every form meets all of its group that occur often enough to be right for a form of one occurrence or document. The
-    # length of a form changes by two at most with each of the three confusions.
-    best = told.where(F.col("n") >= RATIO).where("NOT word RLIKE '[0-9]'").select("skeleton", F.col("word").alias("right"), F.col("n").alias("right_n"))
-    pairs = told.where(F.col("scanned") >= SCANNED * F.col("n")).join(best, "skeleton").where("word <> right AND abs(length(word) - length(right)) <= 6").select("word", "right", "right_n", "n")
-    pairs = cut(pairs.mapInArrow(_confirm, "word string, right string, right_n long, n long"))
+    # Every form meets all of its group that occur often enough to be right for a form of one occurrence or document.
+    best = told.where(F.col("n") >= RATIO).where("NOT word RLIKE '[0-9|]'").select("skeleton", F.col("word").alias("right"), F.col("n").alias("right_n"))
+    pairs = told.where(F.col("scanned") >= SCANNED * F.col("n")).join(best, "skeleton").where("word <> right").select("word", "right", "right_n", "n")
+    pairs = cut(pairs.mapInArrow(_confirm, "word string, right string, right_n long, n long, cost int"))
     rare = F.col("right_n") >= RATIO * F.col("n")
-    # A form that isn't rare by its occurrences may still be by its documents.
+    # A form is no right one if it is itself misread from another of its candidates.
+    wrong = maybe_broadcast(cut(pairs.where(rare).select(F.col("word").alias("right")).distinct()), 80)
+    sure = pairs.where(rare)
+    roots = cut(sure.join(wrong, "right", "left_anti").select(*pairs.columns))
+    several = roots.groupBy("word").count().where("count > 1").select("word")
+    # What counts can't settle: forms that aren't rare by their occurrences, and forms with several candidates.
     open_ = pairs.where(~rare)
-    asked = cut(open_.select("word").union(open_.select("right")).distinct())
+    unsettled = cut(open_.unionByName(roots.join(several, "word", "left_semi")))
+    asked = cut(unsettled.select("word").union(unsettled.select("right")).distinct())
+    support = F.lit(0).cast("long").alias("support")
     if asked.isEmpty():
-        sure = pairs
+        judged = sure.withColumn("support", support)
     else:
-        docs = maybe_broadcast(cut(documents_of(items, asked)), 80)
-        by_docs = open_.join(docs, "word").join(docs.select(F.col("word").alias("right"), F.col("docs").alias("right_docs")), "right").where(F.col("right_docs") >= RATIO * F.col("docs"))
-        sure = pairs.where(rare).unionByName(by_docs.select(*pairs.columns))
-    return sure.groupBy("word").agg(F.max(F.struct("right_n", "right")).alias("r")).select("word", "r.right")
+        docs, beside = contexts(items, asked)
+        docs = maybe_broadcast(cut(docs), 80)
+        other = beside.select(F.col("word").alias("right"), "beside", F.col("n").alias("m"))
+        # How often the right form stands beside the words that the form stands beside.
+        shared = unsettled.select("word", "right").join(beside, "word").join(other, ["right", "beside"]).groupBy("word", "right").agg(F.sum("m").alias("support"), F.sum("n").alias("own"))
+        told = unsettled.join(shared, ["word", "right"], "left").join(docs, "word").join(docs.select(F.col("word").alias("right"), F.col("docs").alias("right_docs")), "right")
+        by_context = (F.col("right_docs") >= RATIO * F.col("docs")) | (F.col("support") >= RATIO * 2 * F.col("n"))
+        told = told.where(rare | by_context).select(*pairs.columns, F.coalesce("support", F.lit(0)).alias("support"))
+        judged = told.unionByName(sure.join(told.select("word").distinct(), "word", "left_anti").select(*pairs.columns, support))
+    return judged.groupBy("word").agg(F.max(F.struct(-F.col("cost"), "support", "right_n", "right")).alias("r")).select("word", "r.right")
+
+
+_ROWS = "item_table string, item_key string, line_no int, noise string, word string, other string, doc string, form string"
 
 
 def _lines(suspects):
-    """Rows (item_table, item_key, line_no, noise, word, other) of scanned items. 'word': a word to be looked up among the
-    misread forms (if ``suspects`` is given, only those in it); 'broken': a word over a line end, joined and as compound."""
+    """Rows of scanned items (see _ROWS). 'word': a word to be looked up among the misread forms (if ``suspects`` is given,
+    only those in it); 'broken': a word over a line end, joined and as compound; 'title': a line that is a running header if
+    its document has that form as one. doc and form are given for the words of such lines too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = suspects.value if suspects is not None else None
@@ -296,26 +393,31 @@ def _lines(suspects):
                 lines = text.split("\n")
                 if not is_scanned(lines):
                     continue
-                role = roles(lines, _title(doc), page)
-                out.append((tab, key, 0, "scanned", None, None))
+                role = roles(lines, page)
+                of = doc if doc is not None else f"\0{tab}\0{key}"
+                title = {i: (of, form) for i, form, *_ in titles(lines, role)}
+                out.append((tab, key, 0, "scanned", None, None, None, None))
                 for i, r in enumerate(role):
-                    if r in ("running_header", "page_number"):
-                        out.append((tab, key, i + 1, r, None, None))
+                    if r == "page_number":
+                        out.append((tab, key, i + 1, r, None, None, None, None))
+                    elif r == "title":
+                        out.append((tab, key, i + 1, r, None, None, *title[i]))
                 halves: dict[int, set[str]] = {}
                 for i, j, a, hyphen, b, _ in _broken(lines, role):
                     whole, compound = (a + b).lower(), f"{a}-{b}".lower()
-                    out.append((tab, key, i + 1, "broken", whole, compound if hyphen == "-" else None))
+                    out.append((tab, key, i + 1, "broken", whole, compound if hyphen == "-" else None, None, None))
                     if known is None or whole in known:
-                        out.append((tab, key, i + 1, "word", whole, f"{j + 1} {a.lower()}"))
+                        out.append((tab, key, i + 1, "word", whole, f"{j + 1} {a.lower()}", None, None))
                     halves.setdefault(i, set()).add(a.split("-")[-1].lower())
                     halves.setdefault(j, set()).add(b.split("-")[0].lower())
                 for i, s in enumerate(lines):
-                    if role[i] == "text" and " " in s.strip():
-                        for w in set(_WORD.findall(s.lower())):
-                            if 2 < len(w) <= LONGEST and (known is None or w in known) and w not in halves.get(i, ()):
-                                out.append((tab, key, i + 1, "word", w, None))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.string()) for k, c in enumerate(cols)], ["item_table", "item_key", "line_no", "noise", "word", "other"])
+                    if role[i] in ("text", "title") and " " in s.strip():
+                        said = set(_words_of(s))
+                        for w in said if known is None else known.intersection(said):
+                            if len(w) > 1 and w not in halves.get(i, ()):
+                                out.append((tab, key, i + 1, "word", w, None, *title.get(i, (None, None))))
+            cols = list(zip(*out)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.string()) for k, c in enumerate(cols)], ["item_table", "item_key", "line_no", "noise", "word", "other", "doc", "form"])
 
     return run
 
@@ -341,7 +443,8 @@ def noise(items: DataFrame) -> DataFrame:
     item_key, doc_id, page, value; word and right tell what was misread or broken.
 
     Null and empty values and values of one line have no lines to judge. A key that occurs twice counts once. A null page
-    only weakens the evidence for bare page numbers; a null doc_id has no title. Whole texts are read, of any length.
+    only weakens the evidence for bare page numbers; an item with a null doc_id is a document of its own. Whole texts, lines
+    and words are read, of any length.
     """
     return _judged(_rows(items))
 
@@ -349,12 +452,16 @@ def noise(items: DataFrame) -> DataFrame:
 def _rows(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
     """What _lines gives, the words' counts, the misread forms, and whether these are few."""
     given = once(items)
-    words = cut(vocabulary(given))
+    words, headers = survey(given)
     forms = cut(misread_forms(words, given))
     small = forms.limit(MOST_SUSPECTS + 1).count() <= MOST_SUSPECTS
     suspects = items.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in forms.select("word").collect())) if small else None
-    rows = given.select("item_table", "item_key", "doc_id", "page", "value").mapInArrow(_lines(suspects), "item_table string, item_key string, line_no int, noise string, word string, other string")
-    return cut(rows.distinct()), words, forms, small
+    rows = cut(given.select("item_table", "item_key", "doc_id", "page", "value").mapInArrow(_lines(suspects), _ROWS).distinct())
+    # Of lines of a title's shape: running headers, whose words are no case of their own, or text.
+    shaped, others = rows.where("form IS NOT NULL"), rows.where("form IS NULL").drop("doc", "form")
+    told = shaped.join(maybe_broadcast(headers.withColumn("header", F.lit(True)), 160), ["doc", "form"], "left").drop("doc", "form")
+    header = told.where("header AND noise = 'title'").drop("header").withColumn("noise", F.lit("running_header"))
+    return cut(others.unionByName(header).unionByName(told.where("header IS NULL AND noise <> 'title'").drop("header"))), words, forms, small
 
 
 def _judged(told: tuple[DataFrame, DataFrame, DataFrame, bool]) -> DataFrame:
@@ -402,7 +509,7 @@ def repair(items: DataFrame) -> DataFrame:
     whole = lines.withColumn("piece", piece).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line_no", "piece"))).alias("p"))
     whole = whole.select(*keys, F.regexp_replace(F.regexp_replace(F.array_join(F.col("p.piece"), ""), r" *\n *(\n *)+", "\n\n"), r"^\s+|\s+$", "").alias("text"))
     words = found.where("noise = 'misread'").groupBy(*keys).agg(F.collect_set(F.struct("word", "right")).alias("w"))
-    fixed = F.aggregate("w", F.col("text"), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])"), x["word"], F.lit(r"(?![\p{L}\p{N}])")), x["right"]))
+    fixed = F.aggregate("w", F.col("text"), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), x["word"], F.lit(r"\E(?![\p{L}\p{N}])")), x["right"]))
     return whole.join(words, keys, "left").select(*keys, F.when(F.col("w").isNull(), F.col("text")).otherwise(fixed).alias("text"))
 
 

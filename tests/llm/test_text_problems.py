@@ -105,13 +105,43 @@ def test_misread_at_every_size(spark):
 def test_right_form_of_a_large_group(spark):
     # Four forms of one skeleton; the misread one comes from the least frequent.
     forms = {"briraris": 40, "briroris": 38, "brirolis": 36, "briralis": 30}
-    assert len({scan_noise.skeleton(w) for w in [*forms, "6rira1i5"]}) == 1 and not any(scan_noise.confusable(w, "6rira1i5") for w in list(forms)[:3])
+    assert len({scan_noise.skeleton(w) for w in [*forms, "6rira1i5"]}) == 1 and min(forms, key=lambda w: scan_noise.confusable(w, "6rira1i5") or 99) == "briralis"
     rows = [(f"{w}{i}", f"d{i}", f"The pump of {w} rests.") for w, n in forms.items() for i in range(n)]
     rows.append(("p", "d", "The container of 6rira1i5 rests beside the corridor and the operators\nwalk along the northern corridor until the handle\nstands beside the wall of the station and they\nrest there."))
     df = frame(spark, [("chunks", k, d, 1, v) for k, d, v in rows], "item_table string, item_key string, doc_id string, page int, value string")
     assert [(r.item_key, r.line_no, r.word, r.right) for r in scan_noise.noise(df).where("noise = 'misread'").collect()] == [("p", 1, "6rira1i5", "briralis")]
 
 
+def test_headers_are_told_by_their_document(spark):
+    # The title isn't in the doc_id; a chapter line has a title of its own.
+    body = "The container rests beside the corridor and the operators\nwalk along the northern corridor until the handle\nstands beside the wall of the station and they\nrest there."
+    rows = [(f"p{n}", "doc-0042", n, f"NORTH SEA HANDBOOK   {n}\n{body}") for n in range(1, 60)] + [(f"q{n}", None, n, f"Chapter {n} - Tides and Currents\n{body}") for n in range(1, 4)]
+    rows += [("mid", "other", 1, body.replace("\nstands", "\nNorth Sea Readings Of June\nStands")), ("title", "other", 2, "North Sea Handbook")]
+    df = frame(spark, [("chunks", *r) for r in rows], "item_table string, item_key string, doc_id string, page int, value string")
+    got = {(r.item_key, r.line_no) for r in scan_noise.noise(df).where("noise = 'running_header'").collect()}
+    assert got == {(f"p{n}", 1) for n in range(1, 60)} | {(f"q{n}", 1) for n in range(1, 4)}
+
+
+def test_long_words_and_far_halves(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitaen"
+    clean = f"The {long} walks beside the corridor and the simple container rests. "
+    between = "\n".join(["", "", "", "Page 7", "", "", "", ""])
+    scan = f"The {long.replace('l', '1')} walks beside the corr-\n{between}\nidor and the simp|e container\nrests there while the operators walk on and\nrest there."
+    rows = [(f"k{i}", f"d{i}", clean) for i in range(20)] + [("p", "d", scan)]
+    df = frame(spark, [("chunks", k, d, 1, v) for k, d, v in rows], "item_table string, item_key string, doc_id string, page int, value string")
+    assert {(r.line_no, r.noise, r.right) for r in scan_noise.noise(df).where("noise in ('misread', 'broken_word')").collect()} == {(1, "misread", long), (1, "broken_word", "corridor"), (10, "misread", "simple")}
+    assert "simple container" in scan_noise.repair(df).first().text
+
+
+def test_neighbours_choose_the_right_form(spark):
+    # "ta1l" is as near to tall, the more frequent form, as to tail; but only tail stands between its neighbours.
+    rows = [(f"a{i}", f"d{i}", "They are tall now.") for i in range(40)] + [(f"b{i}", f"d{i}", "The tail of repair rises.") for i in range(20)]
+    rows.append(("p", "d", "The ta1l of repair rests beside the corridor and the operators\nwalk along the northern corridor until the handle\nstands beside the wall of the station and they\nrest there."))
+    assert scan_noise.confusable("tall", "ta1l") == scan_noise.confusable("tail", "ta1l") == 1
+    df = frame(spark, [("chunks", k, d, 1, v) for k, d, v in rows], "item_table string, item_key string, doc_id string, page int, value string")
+    assert [(r.word, r.right) for r in scan_noise.noise(df).where("noise = 'misread'").collect()] == [("ta1l", "tail")]
+
+
 def test_confusable():
     assert scan_noise.confusable("narrow", "riarrow") and scan_noise.confusable("delivers", "dehvers") and scan_noise.confusable("system", "5y5tem")
     assert not scan_noise.confusable("shaft", "shatf") and not scan_noise.confusable("pump", "pump") and not scan_noise.confusable("pump", "dump")
