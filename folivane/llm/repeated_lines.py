@@ -1,10 +1,13 @@
 """Problem 2: lines that come back throughout one source, and texts without them.
 
-A line is parsed into a template: blanks dropped, case folded, each run of digits a wildcard slot. Lines are the same if
-their whole templates are, so exact hashing of templates stands in for a parse tree: no tree is grown or merged. The path
-(source, then the leading pieces of the template between wildcards) and the leaf (the whole template) are 64-bit keys.
-What is counted are distinct (path, leaf, record) triples, so a line of a third of all records is aggregated before and
-after the shuffle and never gathered in one task.
+A line is parsed into a template of tokens: blanks dropped, case folded, each run of digits a wildcard slot. Every task grows
+trees of fixed depth, one for each source: below the source a node for the number of tokens, then one for each of the first
+DEPTH tokens, and leaves that are templates with the number of records that have them. The trees of all tasks are merged
+leaf by leaf, so a line of a third of all records is one leaf of each task and never gathered anywhere. What is removed are
+the lines of leaves that cover many records.
+
+By the digits-only rule two lines have one leaf if they differ in slots only. With ``general`` a leaf also stands for its
+siblings: leaves of one node that differ in a single token have the template with a slot there in common.
 """
 
 from __future__ import annotations
@@ -21,13 +24,22 @@ from folivane.sources.tables import table
 
 LEAST_LETTERS = 10
 LEAST_RECORDS = 8
-#: Leading pieces of a template that make up its path in the tree.
+#: Tokens below the node of the token count that lead to the leaves.
 DEPTH = 2
 #: The wildcard of a template; no line holds it after parsing.
 SLOT = "\0"
+#: Tokens that a line must have, at least, to be merged with siblings.
+GENERAL_TOKENS = 4
+#: Leaves of a task's trees before they are given on to be merged.
+LEAVES = 1 << 18
+#: Leaves up to which those that cover many records are sent to the tasks; beyond, the lines are joined with them.
+MOST_SENT = 1 << 17
 
 _DIGITS = re.compile(r"\d+")
 _NO_LETTER = re.compile(r"[\W\d_]+")
+_TOKEN = re.compile(rf"{SLOT}|[^\W\d_]+|[^\w{SLOT}]|_")
+
+Leaf = tuple[int, int, int]
 
 
 def templates(text: str) -> Iterator[tuple[int, str]]:
@@ -42,43 +54,127 @@ def templates(text: str) -> Iterator[tuple[int, str]]:
             yield no, t
 
 
-def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def path(template: str) -> tuple[tuple, list[str]]:
+    """The nodes that lead to a template, the number of its tokens and the first of them, and the tokens."""
+    tokens = _TOKEN.findall(template)
+    return (len(tokens), *tokens[:DEPTH]), tokens
+
+
+class Trees:
+    """The trees of the sources that one task has seen."""
+
+    def __init__(self, general: bool):
+        self.nodes: dict[tuple, dict[str, int]] = {}
+        self.general, self.leaves = general, 0
+
+    def add(self, source: str, own: Iterable[str]) -> None:
+        """One record's templates."""
+        for t in set(own):
+            nodes, tokens = path(t)
+            self._leaf((source, *nodes), t)
+            if self.general:
+                for masked in siblings(tokens):
+                    self._leaf((source, len(tokens)), masked)
+
+    def _leaf(self, node: tuple, template: str) -> None:
+        leaves = self.nodes.setdefault(node, {})
+        n = leaves.get(template, 0)
+        self.leaves += n == 0
+        leaves[template] = n + 1
+
+    def give(self) -> pa.RecordBatch:
+        keys, counts = [], []
+        for node, leaves in self.nodes.items():
+            keys += [leaf(node, t) for t in leaves]
+            counts += leaves.values()
+        self.nodes, self.leaves = {}, 0
+        return pa.RecordBatch.from_arrays([*_columns(keys), pa.array(counts, pa.int64())], ["node", "high", "low", "n"])
+
+
+def siblings(tokens: list[str]) -> list[str]:
+    """The templates that a line has in common with siblings: a slot in place of one token that isn't one."""
+    if len(tokens) < GENERAL_TOKENS:
+        return []
+    return ["\1".join([*tokens[:k], SLOT, *tokens[k + 1 :]]) for k, t in enumerate(tokens) if t != SLOT]
+
+
+def leaf(node: tuple, template: str) -> Leaf:
+    """The key of a leaf: 64 bits of its node, 128 of the template below the node's source."""
+    from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
+
+    h = xxh3_128_intdigest(template, xxh3_64_intdigest(node[0]))
+    return xxh3_64_intdigest("\1".join(map(str, node))), h >> 64, h & (1 << 64) - 1
+
+
+def _columns(keys: list[Leaf]) -> list[pa.Array]:
     import numpy as np
-    from xxhash import xxh3_64_intdigest as h
-
-    for batch in batches:
-        source, key, text = (batch.column(i).to_pylist() for i in range(3))
-        keys, nos, paths, leaves = [], [], [], []
-        for s, k, t in zip(source, key, text):
-            if not t:
-                continue
-            root = h(s)
-            for no, line in templates(t):
-                keys.append(k)
-                nos.append(no)
-                paths.append(h(line if SLOT not in line else SLOT.join(line.split(SLOT, DEPTH)[:DEPTH]), root))
-                leaves.append(h(line, root ^ 1))
-        signed = lambda x: pa.array(np.array(x, "u8").view("i8"))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(nos, pa.int32()), signed(paths), signed(leaves)], ["key", "line_no", "path", "leaf"])
-
-
-def _leaves(records: DataFrame, source: str, key: str, text: str) -> DataFrame:
-    """(key, line_no, path, leaf): the lines that have letters enough, with their places in the tree."""
-    given = records.select(F.col(source).cast("string").alias("s"), F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
-    return given.where("s IS NOT NULL AND k IS NOT NULL AND t IS NOT NULL").mapInArrow(_parse, "key string, line_no int, path long, leaf long")
-
-
-def repeated(records: DataFrame, source: str, key: str, text: str, least: int = LEAST_RECORDS) -> DataFrame:
+
+    k = np.array(keys, "u8").reshape(-1, 3).view("i8")
+    return [pa.array(k[:, i]) for i in range(3)]
+
+
+def _grow(general: bool):
+    """(node, high, low, n): the leaves of this task's trees."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Trees(general)
+        for batch in batches:
+            for s, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                trees.add(s, (line for _, line in templates(t)))
+                if trees.leaves >= LEAVES:
+                    yield trees.give()
+        yield trees.give()
+
+    return run
+
+
+def _parse(general: bool, sent):
+    """(key, line_no, node, high, low): each line with its leaves; only those of ``sent``, if that is given."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value if sent is not None else None
+        for batch in batches:
+            keys, nos, leaves = [], [], []
+            for s, k, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for no, line in templates(t):
+                    nodes, tokens = path(line)
+                    own = [leaf((s, *nodes), line)] + ([leaf((s, len(tokens)), m) for m in siblings(tokens)] if general else [])
+                    if wanted is not None:
+                        own = next(([x] for x in own if x in wanted), [])
+                    leaves += own
+                    keys += [k] * len(own)
+                    nos += [no] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(nos, pa.int32()), *_columns(leaves)], ["key", "line_no", "node", "high", "low"])
+
+    return run
+
+
+_LINES = "key string, line_no int, node long, high long, low long"
+_LEAF = ["node", "high", "low"]
+
+
+def repeated(records: DataFrame, source: str, key: str, text: str, least: int = LEAST_RECORDS, general: bool = False) -> DataFrame:
     """(key, line_no): each line whose template stands in at least ``least`` different records of its source.
 
-    A record that occurs twice under one key counts once. Null texts, keys and sources have no lines; '' has one blank
-    line, which has no letters. Lines are counted over all records. Other columns are ignored, whatever their names.
+    A record that occurs twice under one key counts once, with the lines of all its rows. Null texts, keys and sources have
+    no lines; '' has one blank line, which has no letters. Lines are counted over all records, whole. With ``general``, lines
+    of at least GENERAL_TOKENS tokens that differ in one token are the same too. Other columns are ignored, whatever their
+    names.
     """
-    lines = _leaves(records, source, key, text)
-    triples = lines.select("path", "leaf", F.xxhash64("key").alias("record")).distinct()
-    nodes = triples.groupBy("path", "leaf").count().where(F.col("count") >= least).select("path", "leaf")
-    nodes = maybe_broadcast(cut(nodes), 64)
-    return lines.join(nodes, ["path", "leaf"], "left_semi").select("key", "line_no").distinct()
+    spark = records.sparkSession
+    given = records.select(F.col(source).cast("string").alias("s"), F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("s IS NOT NULL AND k IS NOT NULL AND t IS NOT NULL")
+    # Trees count rows, so keys that come again are counted apart, by distinct keys.
+    again = maybe_broadcast(cut(given.groupBy("s", "k").count().where("count > 1").select("s", "k")), 120)
+    grown = given.join(again, ["s", "k"], "left_anti").select("s", "k", "t").mapInArrow(_grow(general), "node long, high long, low long, n long")
+    others = given.join(again, ["s", "k"], "left_semi").select("s", "k", "t").mapInArrow(_parse(general, None), _LINES).select(*_LEAF, F.xxhash64("key").alias("record")).distinct()
+    merged = grown.unionByName(others.select(*_LEAF, F.lit(1).cast("long").alias("n"))).groupBy(*_LEAF).agg(F.sum("n").alias("n"))
+    covering = cut(merged.where(F.col("n") >= least).select(*_LEAF))
+    small = covering.limit(MOST_SENT + 1).count() <= MOST_SENT
+    unsigned = lambda x: x & (1 << 64) - 1
+    sent = spark.sparkContext.broadcast({tuple(map(unsigned, r)) for r in covering.collect()}) if small else None
+    lines = given.mapInArrow(_parse(general, sent), _LINES)
+    told = lines if small else lines.join(covering, _LEAF, "left_semi")
+    return told.select("key", "line_no").distinct()
 
 
 def found(spark: SparkSession, base: str) -> DataFrame:
@@ -92,9 +188,9 @@ def clean(spark: SparkSession, base: str) -> DataFrame:
     return without_lines(chunks, "doc_id", "id", "text").select(F.col("key").alias("chunk_id"), "text", "removed")
 
 
-def without_lines(records: DataFrame, source: str, key: str, text: str, least: int = LEAST_RECORDS) -> DataFrame:
+def without_lines(records: DataFrame, source: str, key: str, text: str, least: int = LEAST_RECORDS, general: bool = False) -> DataFrame:
     """(key, text, removed): every record once, its repeated lines taken out, the others as they were."""
-    gone = repeated(records, source, key, text, least).groupBy("key").agg(F.collect_set("line_no").alias("gone"))
+    gone = repeated(records, source, key, text, least, general).groupBy("key").agg(F.collect_set("line_no").alias("gone"))
     once = records.groupBy(F.col(key).alias("key")).agg(F.first(F.col(text), ignorenulls=True).alias("text"))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", (i + 1).cast("int"))), "\n")
     return once.join(gone, "key", "left").select("key", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))

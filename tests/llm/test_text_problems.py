@@ -56,6 +56,20 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated(df.where("false"), "doc_id", "id", "text").count() == 0
 
 
+def test_trees_of_tasks_are_merged(spark):
+    # Eight records over eight tasks; a general leaf takes lines that differ in one token.
+    rows = [(f"c{i}", "d", f"Share this, dear reader: page {i}\nwritten, then: signed by {'abcdefgh'[i] * 12}, staff") for i in range(8)]
+    df = frame(spark, rows, "id string, doc_id string, text string").repartition(8)
+    assert {r.line_no for r in repeated_lines.repeated(df, "doc_id", "id", "text").collect()} == {1}
+    got = repeated_lines.repeated(df.unionByName(df), "doc_id", "id", "text", general=True).collect()
+    assert sorted((r.key, r.line_no) for r in got) == sorted((f"c{i}", n) for i in range(8) for n in (1, 2))
+    trees = repeated_lines.Trees(False)
+    for i in range(3):
+        trees.add("d", [t for _, t in repeated_lines.templates(rows[i][2])])
+    assert sorted(n for leaves in trees.nodes.values() for n in leaves.values()) == [1, 1, 1, 3]
+    assert repeated_lines.path("ab,\0c")[0] == (4, "ab", ",")
+
+
 def test_repeated_lines_same_as_sql(spark):
     from compare import both
 
