@@ -26,4 +26,4 @@ QUERIES = {
     "p9_clean": shared_spans.clean,
 }
 
-SQL = {"p2_found": repeated_lines.SQL_FOUND, "p5_found": splitting.SQL_FOUND}
+SQL = {"p2_found": repeated_lines.SQL_FOUND, "p5_found": splitting.SQL_FOUND, "p9_found": shared_spans.SQL_FOUND, "p9_shared": shared_spans.SQL_SHARED}

@@ -1,69 +1,96 @@
 """Problem 9: stretches that stand character for character in more than one document.
 
-Sliding sentence spans: from every sentence start the run of sentences that follows is hashed over a fixed length, and the
-hashes are joined over all documents. Sentences longer than LONGEST are cut further at content-defined places, so that
-sentence starts are never more than LONGEST apart; any common stretch of ``least`` characters therefore holds a common
-sentence start with at least ``least - LONGEST`` common characters after it, which is the length that is hashed: no
-stretch is missed. Documents of equal text are one class from the start. Spans that several classes have are compared
-character by character to both sides. Last, the sentences that a span covers are taken out of every document but the first
-that has it. A span of more than HOT classes isn't paired at all before it is known to be long
-enough: its windows of ``least`` characters are hashed instead, and only equal windows meet.
+Sliding sentence spans: from every sentence start the run of the several sentences that follow, at least RUN characters, is
+hashed, and the hashes are joined over all documents. A sentence of more than LONGEST characters counts as several, so a run
+from a start depends on the text after it only; within long sentences further starts stand at content-defined places. Any
+common stretch of ``least`` characters therefore holds a start within its first FIRST characters whose whole run lies in it:
+no stretch is missed. Around the starts of runs that several texts have, all windows of ``least`` characters are hashed to
+128 bits, and equal windows are the common stretches. Of each window only its first document and the number of texts are
+kept, so what is reported and removed grows with the documents, not with their pairs; last, the sentences that a span covers are taken out of
+every document but the first that has it. Pairs are made for ``pairs`` alone, and there once for each set of documents that
+have a window in common.
+
+Documents of equal text are one class from the start, named by the first of them, which alone takes part.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from folivane.plans.sizing import maybe_broadcast
 from folivane.plans.storage import cut
 from folivane.sources.tables import table
 
 LEAST = 400
-LONGEST = 150
-HOT = 64
+#: Characters by whose hash starts within long sentences are chosen, and the places among which one is.
+_GRAM, _REACH = 8, 90
+#: Characters from which a sentence counts as several.
+LONGEST = _REACH + _GRAM - 1
+#: Characters of a common stretch within which a common start stands; three tell a sentence's end.
+FIRST = 3 + LONGEST
 #: Members of a class of equal texts up to which all their pairs are listed; beyond, each is paired with the first.
 COPIES = 1000
+#: Texts of a set with a window in common that one task pairs with as many others.
+BLOCK = 1024
 
-_START = re.compile(r"[.!?…:;][\"'”»)\]]*\s+|\n\s*")
-_GRAM, _REACH = 8, 90
+# Told by at most three characters, so that it doesn't matter what stands around a common stretch.
+_END = re.compile(r"[.!?…:;][\"'”»)\]]?\s|\n")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _inner(text: str) -> list[int]:
-    """Places within a text without sentence starts, no two next ones more than _REACH apart: the smallest hash of
-    _GRAM characters in each window of _REACH places."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4").astype("u8")
-    n = len(c) - _GRAM + 1
-    h = np.zeros(n, "u8")
-    for k in range(_GRAM):
-        h = (h ^ c[k : k + n]) * _ODD
-        h ^= h >> np.uint64(29)
-    if n <= _REACH:
-        return [int(h.argmin())]
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, _REACH).argmin(1) + np.arange(n - _REACH + 1)).tolist()
+def run_length(least: int) -> int:
+    """Characters that a run has at least, so that it lies in a common stretch of ``least`` from a start in its FIRST."""
+    return least - FIRST - LONGEST
+
+
+def ends(text: str) -> list[int]:
+    """Where sentences end and the next ones begin."""
+    return [m.end() for m in _END.finditer(text)]
+
+
+def starts(text: str, at: list[int]) -> list[int]:
+    """Sentence starts, and within sentences of LONGEST characters or more the places of the smallest hash of _GRAM
+    characters among each _REACH."""
+    out = {0, *at}
+    bounds = [0, *at, len(text)]
+    long = [(a, b) for a, b in zip(bounds, bounds[1:]) if b - a >= LONGEST]
+    if long:
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4").astype("u8")
+        n = len(c) - _GRAM + 1
+        h = np.zeros(n, "u8")
+        for k in range(_GRAM):
+            h = (h ^ c[k : k + n]) * _ODD
+            h ^= h >> np.uint64(29)
+        for a, b in long:
+            own = h[a : b - _GRAM + 1]
+            out.update((np.lib.stride_tricks.sliding_window_view(own, _REACH).argmin(1) + np.arange(a, a + len(own) - _REACH + 1)).tolist())
+    return sorted(p for p in out if p < len(text))
 
 
-def starts(text: str) -> list[int]:
-    """Sentence starts, next ones at most LONGEST apart."""
-    out = [0, *(m.end() for m in _START.finditer(text))]
-    if max(map(int.__sub__, [*out[1:], len(text)], out)) <= LONGEST:
-        return out
-    more = []
-    for a, b in zip(out, [*out[1:], len(text)]):
-        more.append(a)
-        if b - a > LONGEST:
-            more += [a + p for p in _inner(text[a:b]) if p]
-    return more
+def runs(text: str, length: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the run of sentences from each start that has at least ``length`` characters after it."""
+    at, n = ends(text), len(text)
+    for p in starts(text, at):
+        i, e = bisect_right(at, p), p
+        while e - p < length and e < n:
+            following = at[i] if i < len(at) else n
+            if following - e > LONGEST:
+                e += LONGEST
+            else:
+                e, i = following, i + 1
+        if e - p >= length:
+            yield p, e
 
 
-def _hash(s: str) -> int:
-    return xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
+def _bytes(text: str) -> memoryview:
+    return memoryview(text.encode("utf-32-le", "surrogatepass"))
 
 
 def _signed(x: list[int]) -> pa.Array:
@@ -71,11 +98,14 @@ def _signed(x: list[int]) -> pa.Array:
 
 
 def _spans(length: int):
+    """(span, class): the hashes of each text's runs."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, classes = [], []
             for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {_hash(t[b : b + length]) for b in starts(t) if b + length <= len(t)}
+                b = _bytes(t)
+                own = {xxh3_64_intdigest(b[4 * p : 4 * e]) for p, e in runs(t, length)}
                 keys += own
                 classes += [c] * len(own)
             yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(classes, pa.int64())], ["span", "class"])
@@ -83,179 +113,152 @@ def _spans(length: int):
     return run
 
 
-def _around(least: int, length: int):
-    """The text to both sides of each repeated span of a document; or, of hot ones, the hashes of their windows."""
+def _windows(least: int):
+    """(high, low, class, at): the windows of ``least`` characters that a common stretch around one of a text's wanted runs
+    can begin with."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length = run_length(least)
         for batch in batches:
-            span, cls, at, left, right = [], [], [], [], []
-            hot_span, hot_cls, hot_at = [], [], []
-            for c, t, wanted, hot in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                wanted, hot, windows = set(wanted), set(hot), set()
-                for b in starts(t):
-                    if b + length > len(t) or (h := _hash(t[b : b + length])) not in wanted and h - (1 << 64) not in wanted:
-                        continue
-                    if h in hot or h - (1 << 64) in hot:
-                        windows |= {b - a for a in range(min(b, least - length) + 1) if b - a + least <= len(t)}
-                    else:
-                        span.append(h)
-                        cls.append(c)
-                        at.append(b)
-                        left.append(t[max(0, b - least + length) : b])
-                        right.append(t[b : b + least])
-                for a in sorted(windows):
-                    hot_span.append(_hash(t[a : a + least]))
-                    hot_cls.append(c)
-                    hot_at.append(a)
-            n = len(hot_at)
-            yield pa.RecordBatch.from_arrays(
-                [_signed(span + hot_span), pa.array(cls + hot_cls, pa.int64()), pa.array(at + hot_at, pa.int32()), pa.array(left + [None] * n, pa.string()), pa.array(right + [None] * n, pa.string())],
-                ["span", "class", "at", "left", "right"],
-            )
+            high, low, classes, places = [], [], [], []
+            for c, t, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                b, wanted, at, done = _bytes(t), {w & (1 << 64) - 1 for w in wanted}, [], 0
+                for p, e in runs(t, length):
+                    if xxh3_64_intdigest(b[4 * p : 4 * e]) in wanted:
+                        at += range(max(done, p - FIRST), min(p, len(t) - least) + 1)
+                        done = max(done, p + 1)
+                for a in at:
+                    h = xxh3_128_intdigest(b[4 * a : 4 * (a + least)])
+                    high.append(h >> 64)
+                    low.append(h & (1 << 64) - 1)
+                classes += [c] * len(at)
+                places += at
+            yield pa.RecordBatch.from_arrays([_signed(high), _signed(low), pa.array(classes, pa.int64()), pa.array(places, pa.int32())], ["high", "low", "class", "at"])
 
     return run
 
 
-def _reach(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How far two documents agree before and after a span."""
-    import os.path
+def classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, class, copies, n_chars): each document once. Documents of equal text, told by 128 bits, have one class, named
+    by the first of them. A null text is a class of its own."""
+    own = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.length("text").alias("n_chars")).dropDuplicates(["doc_id"])
+    several = own.where("n_chars IS NOT NULL").groupBy("h", "g").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies")).where("copies > 1")
+    several = maybe_broadcast(cut(several), 48)
+    return own.join(several, ["h", "g"], "left").select("doc_id", F.coalesce("class", "doc_id").alias("class"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
 
-    for batch in batches:
-        l1, r1, l2, r2 = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("left", "right", "left2", "right2"))
-        before = [len(os.path.commonprefix((a[::-1], b[::-1]))) for a, b in zip(l1, l2)]
-        after = [len(os.path.commonprefix((a, b))) for a, b in zip(r1, r2)]
-        keep = ["class", "class2", "at", "at2"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), pa.array(before, pa.int32()), pa.array(after, pa.int32())], [*keep, "before", "after"])
 
+def windows(documents: DataFrame, members: DataFrame, least: int = LEAST) -> DataFrame:
+    """(high, low, class, at): the windows of ``least`` characters that may stand in several texts of ``documents`` (doc_id,
+    text), one document of each class of ``members`` taking part. Shorter, null and empty texts have none."""
+    if run_length(least) <= LONGEST:
+        raise ValueError(f"least must be {FIRST + 2 * LONGEST + 1} or more")
+    others = maybe_broadcast(cut(members.where("doc_id <> class").select("doc_id")), 16)
+    texts = documents.where(F.length("text") >= least).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("class"), "text")
+    spans = cut(texts.mapInArrow(_spans(run_length(least)), "span long, class long"))
+    repeated = cut(spans.groupBy("span").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("span"))
+    wanted = spans.join(maybe_broadcast(repeated, 16), "span").groupBy("class").agg(F.collect_set("span").alias("wanted"))  # a text's own runs
+    own = texts.join(maybe_broadcast(cut(wanted), 400), "class").select("class", "text", "wanted")
+    return cut(own.mapInArrow(_windows(least), "high long, low long, class long, at int"))
+
+
+_KEY = ["high", "low"]
 
-def classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, class, n_chars): documents of equal text have one class."""
-    return documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("class"), F.length("text").alias("n_chars")).dropDuplicates(["doc_id"])
-
-
-def stretches(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """(class, class2, at, at2, length): for pairs of different texts of ``documents`` (doc_id, text) the stretches of at
-    least ``least`` characters around each common sentence start, with where they begin in either; class < class2.
-
-    Long stretches come in overlapping parts. Texts shorter than ``least``, null and empty ones have none. Equal texts,
-    rows that occur twice among them, are one class and never paired with each other here.
-    """
-    if least < 2 * LONGEST:
-        raise ValueError(f"least must be {2 * LONGEST} or more")
-    length = least - LONGEST
-    texts = documents.where(F.length("text") >= least).where("doc_id IS NOT NULL").select(F.xxhash64("text").alias("class"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = texts.select("class", "text").mapInArrow(_spans(length), "span long, class long")
-    # Spans of one class only go no further; of each span its classes are counted before anything is paired.
-    counted = spans.groupBy("span", "class").agg(F.lit(1).alias("one")).select("span", "class")
-    per = counted.groupBy("span").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("span", "n")
-    per = maybe_broadcast(cut(per), 48)
-    wanted = spans.join(per, "span").groupBy("class").agg(F.collect_set("span").alias("wanted"), F.collect_set(F.when(F.col("n") > HOT, F.col("span"))).alias("hot"))
-    first = texts.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    wanted = maybe_broadcast(cut(wanted.join(first, "class").select("doc_id", "wanted", "hot")), 400)
-    own = texts.join(wanted, "doc_id").select("class", "text", "wanted", "hot")
-    around = own.mapInArrow(_around(least, length), "span long, class long, at int, left string, right string").dropDuplicates(["span", "class", "at"])
-    around = cut(around)
-    other = around.select("span", *(F.col(n).alias(n + "2") for n in ("class", "at", "left", "right")))
-    pairs = around.join(other, "span").where("class < class2")
-    usual = pairs.where("left IS NOT NULL").mapInArrow(_reach, "class long, class2 long, at int, at2 int, before int, after int").where(F.col("before") + F.col("after") >= least)
-    usual = usual.select("class", "class2", (F.col("at") - F.col("before")).alias("at"), (F.col("at2") - F.col("before")).alias("at2"), (F.col("before") + F.col("after")).alias("length"))
-    hot = pairs.where("left IS NULL AND left2 IS NULL").select("class", "class2", "at", "at2", F.lit(least).alias("length"))
-    return usual.unionByName(hot)
+
+def holders(found: DataFrame) -> DataFrame:
+    """(class, at, first, n) of the windows that several classes have: the first of these and their number."""
+    several = found.select(*_KEY, "class").distinct().groupBy(*_KEY).agg(F.min("class").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return found.join(maybe_broadcast(cut(several), 48), _KEY).select("class", "at", "first", "n").distinct()
 
 
 def found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of documents with LEAST common characters, copies of a text included (see COPIES)."""
-    documents = table(spark, base, "documents", "doc_id", "text")
-    return pairs(documents)
+    return pairs(table(spark, base, "documents", "doc_id", "text"))
 
 
 def pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    members = classes(documents).where(F.col("n_chars") >= least).select("doc_id", "class")
-    links = stretches(documents, least).select("class", "class2").distinct()
+    """(doc_a, doc_b), doc_a < doc_b, of the documents with ``least`` characters in common."""
+    docs = cut(classes(documents))
+    members = docs.where(F.col("n_chars") >= least)
+    links = cut(linked(windows(documents, docs, least)))
     other = members.select(F.col("doc_id").alias("doc2"), F.col("class").alias("class2"))
     across = links.join(members, "class").join(other, "class2").select("doc_id", "doc2")
-    sized = members.groupBy("class").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1")
-    within = members.join(sized, "class")
-    same = within.where(F.col("n") <= COPIES).join(other.withColumnRenamed("class2", "class"), "class").select("doc_id", "doc2")
-    star = within.where(F.col("n") > COPIES).select(F.col("head").alias("doc_id"), F.col("doc_id").alias("doc2"))
+    same = members.where((F.col("copies") > 1) & (F.col("copies") <= COPIES)).join(other.withColumnRenamed("class2", "class"), "class").select("doc_id", "doc2")
+    star = members.where(F.col("copies") > COPIES).select(F.col("class").alias("doc_id"), F.col("doc_id").alias("doc2"))
     both = across.unionByName(same.unionByName(star).where("doc_id < doc2"))
     return both.select(F.least("doc_id", "doc2").alias("doc_a"), F.greatest("doc_id", "doc2").alias("doc_b")).distinct()
 
 
+def linked(found: DataFrame) -> DataFrame:
+    """(class, class2), class < class2, of the classes with a window in common. Windows that the same set of classes has, as
+    those along one stretch, are paired once; a large set is paired in blocks."""
+    own = found.select(*_KEY, "class").distinct()
+    mark = lambda n: F.xxhash64(F.lit(n), "class")
+    sets = own.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min("class").alias("least"), F.bit_xor(mark(1)).alias("x"), F.bit_xor(mark(2)).alias("y")).where("n > 1")
+    one = sets.groupBy("n", "least", "x", "y").agg(F.min(F.struct(*_KEY)).alias("w")).select("n", "w.*")
+    # A task meets one block of a set with one other.
+    cells = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    members = own.join(maybe_broadcast(cut(one), 40), _KEY).withColumn("cells", cells).withColumn("mine", F.pmod(F.xxhash64("class"), F.col("cells")).cast("int"))
+    members = members.select(*_KEY, "class", "mine", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("to"))
+    keyed = members.select(*_KEY, F.least("mine", "to").alias("i"), F.greatest("mine", "to").alias("j"), "class")
+    return keyed.join(keyed.withColumnRenamed("class", "class2"), [*_KEY, "i", "j"]).where("class < class2").select("class", "class2").distinct()
+
+
 def shared(spark: SparkSession, base: str) -> DataFrame:
-    """Each document once: its class of equal texts, the class's copies, its links to other classes, the characters of it
-    that stand in another document too, and their portion."""
-    documents = table(spark, base, "documents", "doc_id", "text")
-    return portions(documents)
+    """Each document once: its class of equal texts, the class's copies, the characters of it that stand in another document
+    too, and their portion."""
+    return portions(table(spark, base, "documents", "doc_id", "text"))
 
 
 def portions(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    found = cut(stretches(documents, least))
-    sides = found.select("class", F.col("class2").alias("with"), "at", "length").unionByName(found.select(F.col("class2").alias("class"), F.col("class").alias("with"), F.col("at2").alias("at"), "length"))
-    links = sides.groupBy("class").agg(F.countDistinct("with").alias("links"))
-    # Merge overlapping stretches: what a stretch adds is what lies beyond the furthest end before it.
-    each = sides.groupBy("class", "at").agg(F.max(F.col("at") + F.col("length")).alias("end"))
-    before = Window.partitionBy("class").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    added = each.withColumn("till", F.coalesce(F.max("end").over(before), F.lit(0))).select("class", F.greatest(F.lit(0), F.col("end") - F.greatest("at", "till")).alias("adds"))
-    cover = added.groupBy("class").agg(F.sum("adds").alias("chars")).join(links, "class")
-    docs = classes(documents)
-    copies = docs.groupBy("class").agg(F.count("*").alias("copies"))
-    whole = (F.col("copies") > 1) & (F.col("n_chars") >= least)
-    chars = F.when(whole, F.col("n_chars")).otherwise(F.coalesce("chars", F.lit(0)))
-    return docs.join(copies, "class").join(cover, "class", "left").select("doc_id", F.col("class").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), chars.alias("shared_chars"), (chars / F.greatest("n_chars", F.lit(1))).alias("shared_portion"))
-
-
-def merged(found: DataFrame) -> DataFrame:
-    """``found`` of stretches() with the overlapping parts of one stretch put together."""
-    key = ["class", "class2", "shift"]
-    parts = found.withColumn("shift", F.col("at2") - F.col("at")).withColumn("end", F.col("at") + F.col("length"))
-    before = Window.partitionBy(*key).orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1)
-    begins = parts.withColumn("new", F.coalesce((F.col("at") > F.max("end").over(before)).cast("int"), F.lit(1)))
-    numbered = begins.withColumn("run", F.sum("new").over(Window.partitionBy(*key).orderBy("at", "end").rowsBetween(Window.unboundedPreceding, 0)))
-    whole = numbered.groupBy(*key, "run").agg(F.min("at").alias("at"), F.max("end").alias("end"))
-    return whole.select("class", "class2", "at", (F.col("at") + F.col("shift")).alias("at2"), (F.col("end") - F.col("at")).alias("length"))
-
-
-def _sides(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(class, begin, length, other_class) of the stretches from either side, and the documents with their classes, the
-    first document of each and its copies."""
-    found = cut(merged(stretches(documents, least)))
-    sides = found.select("class", F.col("at").alias("begin"), "length", F.col("class2").alias("other_class")).unionByName(found.select("class2", F.col("at2").alias("begin"), "length", F.col("class").alias("other_class")).withColumnRenamed("class2", "class"))
     docs = cut(classes(documents))
-    return sides, docs.join(docs.groupBy("class").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")), "class")
+    # What a window adds is what lies before the next one's begin.
+    places = holders(windows(documents, docs, least)).select("class", "at").distinct()
+    after = F.lead("at").over(Window.partitionBy("class").orderBy("at")) - F.col("at")
+    cover = places.select("class", F.least(F.coalesce(after, F.lit(least)), F.lit(least)).alias("adds")).groupBy("class").agg(F.sum("adds").alias("chars"))
+    whole = (F.col("copies") > 1) & (F.col("n_chars") >= least)
+    chars = F.when(whole, F.col("n_chars")).otherwise(F.coalesce("chars", F.lit(0))).cast("long")
+    return docs.join(maybe_broadcast(cut(cover), 24), "class", "left").select("doc_id", F.col("class").alias("class_id"), "copies", chars.alias("shared_chars"), (chars / F.greatest("n_chars", F.lit(1))).alias("shared_portion"))
+
+
+def _stretches(places: DataFrame, key: list[str], least: int, apart: int) -> DataFrame:
+    """(key, begin, end, n): runs of windows of ``places`` (key, at, n) that begin at most ``apart`` characters apart."""
+    order = Window.partitionBy(*key).orderBy("at")
+    new = F.coalesce((F.col("at") > F.lag("at").over(order) + apart).cast("int"), F.lit(1))
+    numbered = places.withColumn("new", new).withColumn("part", F.sum("new").over(order))
+    return numbered.groupBy(*key, "part").agg(F.min("at").alias("begin"), (F.max("at") + least).alias("end"), F.max("n").alias("n")).select(*key, "begin", "end", "n")
 
 
 def places(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, begin, length, other_class, other_doc): each stretch of at least ``least`` characters that a document has in
-    common with a class of other texts, in whole length; begin counts characters from 0. other_doc is the first document
-    of the class; all its members, which have one text, are in shared(). A text that other documents equal is one stretch
-    with its own class, whose other_doc is the first other member."""
-    sides, docs = _sides(documents, least)
-    heads = docs.select(F.col("class").alias("other_class"), F.col("head").alias("other_doc")).distinct()
-    across = docs.select("doc_id", "class").join(sides, "class").join(heads, "other_class").select("doc_id", "begin", "length", "other_class", "other_doc")
+    """(doc_id, begin, length, first_doc, texts): each stretch of at least ``least`` characters of a document that another
+    text has too; begin counts characters from 0. first_doc is the first document that has it, which may be the document
+    itself, texts how many different texts have it, or the part of it that most have. Where the first document changes a
+    new stretch begins. Of documents of equal text each has its whole text as one stretch more, first_doc being the first
+    of them and texts 1."""
+    docs = cut(classes(documents))
+    # Windows that follow each other at every character are one stretch.
+    sides = cut(_stretches(holders(windows(documents, docs, least)), ["class", "first"], least, 1))
+    across = docs.join(maybe_broadcast(sides, 40), "class").select("doc_id", "begin", (F.col("end") - F.col("begin")).alias("length"), F.col("first").alias("first_doc"), F.col("n").alias("texts"))
     equal = docs.where((F.col("copies") > 1) & (F.col("n_chars") >= least))
-    second = equal.where("doc_id <> head").groupBy("class").agg(F.min("doc_id").alias("second"))
-    other = F.when(F.col("doc_id") == F.col("head"), F.col("second")).otherwise(F.col("head"))
-    whole = equal.join(second, "class").select("doc_id", F.lit(0).alias("begin"), F.col("n_chars").alias("length"), F.col("class").alias("other_class"), other.alias("other_doc"))
+    whole = equal.select("doc_id", F.lit(0).alias("begin"), F.col("n_chars").alias("length"), F.col("class").alias("first_doc"), F.lit(1).cast("long").alias("texts"))
     return across.unionByName(whole)
 
 
 def uncovered(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:
     """``text`` without the sentences that lie in one of ``covered`` (begin, end) or in several that meet, and their
     number. The blanks after a sentence may lie outside."""
-    runs: list[list[int]] = []
+    spans: list[list[int]] = []
     for a, b in sorted(covered):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
         else:
-            runs.append([a, b])
-    at = [0, *(m.end() for m in _START.finditer(text) if 0 < m.end() < len(text)), len(text)]
+            spans.append([a, b])
+    at = [0, *(e for e in ends(text) if e < len(text)), len(text)]
     kept, removed, k = [], 0, 0
     for a, b in zip(at, at[1:]):
         last = a + len(text[a:b].rstrip())
-        while k < len(runs) and runs[k][1] < last:
+        while k < len(spans) and spans[k][1] < last:
             k += 1
-        if last > a and k < len(runs) and runs[k][0] <= a:
+        if last > a and k < len(spans) and spans[k][0] <= a:
             removed += 1
         else:
             kept.append(text[a:b])
@@ -274,16 +277,15 @@ def without_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, text, removed): each document once, without the sentences that lie in a stretch an earlier document (of
     smaller doc_id) has too, and their number. Of equal texts of at least ``least`` characters the first keeps its own.
     A null text stays null."""
-    sides, docs = _sides(documents, least)
-    heads = docs.select("class", "head").distinct()
-    # Of a pair of texts the one whose first document comes later loses the stretch.
-    later = sides.join(heads, "class").join(heads.select(F.col("class").alias("other_class"), F.col("head").alias("other_head")), "other_class").where("other_head < head")
-    spans = later.groupBy("class").agg(F.collect_set(F.struct("begin", (F.col("begin") + F.col("length")).alias("end"))).alias("spans"))
-    copy = (F.col("doc_id") != F.col("head")) & (F.col("n_chars") >= least)
+    docs = cut(classes(documents))
+    # An earlier document of equal text has no part of its own; classes are named by their first documents.
+    later = holders(windows(documents, docs, least)).where(F.col("first") < F.col("class"))
+    spans = _stretches(later, ["class"], least, least).groupBy("class").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # of one text
+    copy = (F.col("doc_id") != F.col("class")) & (F.col("n_chars") >= least)
     all_of_it = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_chars").alias("end")))
-    lost = docs.join(spans, "class", "left").select("doc_id", F.when(copy, all_of_it).otherwise(F.col("spans")).alias("spans")).where("spans IS NOT NULL")
+    lost = docs.join(maybe_broadcast(cut(spans), 200), "class", "left").select("doc_id", F.when(copy, all_of_it).otherwise(F.col("spans")).alias("spans")).where("spans IS NOT NULL")
     once = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    return once.join(lost, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_uncovered, "doc_id long, text string, removed int")
+    return once.join(maybe_broadcast(cut(lost), 200), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_uncovered, "doc_id long, text string, removed int")
 
 
 def found_places(spark: SparkSession, base: str) -> DataFrame:
@@ -292,3 +294,14 @@ def found_places(spark: SparkSession, base: str) -> DataFrame:
 
 def clean(spark: SparkSession, base: str) -> DataFrame:
     return without_repeats(table(spark, base, "documents", "doc_id", "text"))
+
+
+_SQL_WINDOWS = f"""own AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    parts AS (SELECT doc_id, pos, md5(substr(text, pos::INT, {LEAST})) AS w FROM (SELECT doc_id, text, unnest(range(1, length(text) - {LEAST} + 2)) AS pos FROM own WHERE length(text) >= {LEAST}))"""
+SQL_FOUND = f"""WITH {_SQL_WINDOWS}, held AS (SELECT DISTINCT doc_id, w FROM parts)
+    SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM held a JOIN held b ON a.w = b.w AND a.doc_id < b.doc_id"""
+SQL_SHARED = f"""WITH {_SQL_WINDOWS}, several AS (SELECT w FROM parts GROUP BY w HAVING count(DISTINCT doc_id) > 1),
+    cover AS (SELECT doc_id, sum(least({LEAST}, coalesce(following - pos, {LEAST})))::BIGINT AS chars FROM (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM parts SEMI JOIN several USING (w)) GROUP BY doc_id),
+    equal AS (SELECT text, min(doc_id) AS class_id, count(*) AS copies FROM own WHERE text IS NOT NULL GROUP BY text)
+    SELECT o.doc_id, coalesce(class_id, o.doc_id) AS class_id, coalesce(copies, 1) AS copies, coalesce(chars, 0) AS shared_chars, coalesce(chars, 0) / greatest(coalesce(length(o.text), 0), 1)::DOUBLE AS shared_portion
+    FROM own o LEFT JOIN equal e ON o.text = e.text LEFT JOIN cover c ON c.doc_id = o.doc_id"""

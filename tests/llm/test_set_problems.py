@@ -136,8 +136,10 @@ def test_mix(spark):
 
 
 # --- 9 ---
-def test_shared(spark, monkeypatch):
-    monkeypatch.setattr(shared_spans, "HOT", 3)
+@pytest.mark.parametrize("block_size", [None, 2])
+def test_shared(spark, monkeypatch, block_size):
+    if block_size:
+        monkeypatch.setattr(shared_spans, "BLOCK", block_size)
     rng = random.Random(4)
     sent = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)) + ". "
     doc = lambda k: "".join(sent(rng.randint(4, 18)) for _ in range(k))
@@ -164,11 +166,10 @@ def test_shared(spark, monkeypatch):
     assert all(told[d].shared_chars == covered(d) for d in (2, 3, 4, 5, 12, 20))
     assert shared_spans.pairs(df.where("false")).count() == 0
     with pytest.raises(ValueError):
-        shared_spans.stretches(df, 200)
+        shared_spans.windows(df, shared_spans.classes(df), 200)
 
 
-def test_stretches_and_removal(spark, monkeypatch):
-    monkeypatch.setattr(shared_spans, "HOT", 3)
+def test_stretches_and_removal(spark):
     rng = random.Random(8)
     sent = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)) + ". "
     doc = lambda k: "".join(sent(rng.randint(4, 18)) for _ in range(k))
@@ -177,41 +178,56 @@ def test_stretches_and_removal(spark, monkeypatch):
     docs += [(4, docs[1][1]), (4, docs[1][1])] + [(20 + i, doc(4) + hot + f"{i}x " + doc(3)) for i in range(5)]
     once = {d: t for d, t in docs if t}
 
-    def longest(a, b):
-        """(begin in a, length) of the maximal common stretches of at least 400 characters."""
-        out, k = set(), 0
-        while k + 400 <= len(a):
-            j = b.find(a[k : k + 400])
-            if j < 0:
-                k += 1
-                continue
-            n = 400
-            while k + n < len(a) and j + n < len(b) and a[k + n] == b[j + n]:
-                n += 1
-            out.add((k, n))
-            k += n
-        return out
+    def held(d):
+        """{at: (first document, texts)} of the windows of ``d`` that other texts have."""
+        t = once[d]
+        all_ = {i: {u: min(e for e in once if once[e] == u) for u in once.values() if t[i : i + 400] in u} for i in range(len(t) - 399)}
+        return {i: (min(h.values()), len(h)) for i, h in all_.items() if len(h) > 1}
 
     df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, class int")
-    got = {(r.doc_id, r.begin, r.length, r.other_doc) for r in shared_spans.places(df).collect()}
-    want = {(a, k, n, b) for a in once for b in once if a != b and once[a] != once[b] and b != 4 for k, n in longest(once[a], once[b])}
-    assert got == want | {(2, 0, len(once[2]), 4), (4, 0, len(once[4]), 2)} and len(block) > 800
+    got = {(r.doc_id, r.begin, r.length, r.first_doc, r.texts) for r in shared_spans.places(df).collect()}
+    want = {(2, 0, len(once[2]), 2, 1), (4, 0, len(once[4]), 2, 1)}
+    for d in once:
+        part = []
+        for i, (first, n) in [*sorted(held(d).items()), (10**9, (0, 0))]:
+            if part and (i != part[-1][0] + 1 or first != part[-1][1]):
+                want.add((d, part[0][0], len(part) + 399, part[0][1], max(x[2] for x in part)))
+                part = []
+            part.append((i, first, n))
+    assert got == want and len(block) > 800
     rows = shared_spans.without_repeats(df).collect()
     told = {r.doc_id: r.text for r in rows}
     assert len(rows) == len(told) == len(once) + 1 and told[10] is None
     assert all(told[d] == once[d] for d in (1, 7, 8, 9, 20)) and told[4] == ""
 
     def left(d):
-        t, own = once[d], set()
-        for e in once:
-            if e < d and once[e] != t:
-                own |= {i for k, n in longest(t, once[e]) for i in range(k, k + n)}
-        at = [0, *(m.end() for m in shared_spans._START.finditer(t) if m.end() < len(t)), len(t)]
+        t, own = once[d], {k for i, (first, _) in held(d).items() if first < d for k in range(i, i + 400)}
+        at = [0, *(e for e in shared_spans.ends(t) if e < len(t)), len(t)]
         return "".join(t[a:b] for a, b in zip(at, at[1:]) if not set(range(a, a + len(t[a:b].rstrip()))) <= own)
 
     assert all(told[d] == left(d) != once[d] for d in (2, 3, 21, 24))
 
 
+def test_a_block_of_a_thousand_documents(spark):
+    rng = random.Random(9)
+    sent = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)) + ". "
+    licence = "".join(sent(9) for _ in range(12))[:450]
+    docs = [(i, sent(12) + chr(0x4E00 + i) + licence + chr(0x4E00 + i) + sent(9)) for i in range(1000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(licence) == 450 and shared_spans.places(df).count() == 1000 and shared_spans.portions(df).where("shared_chars >= 450").count() == 1000
+    kept = {r.doc_id: r.removed for r in shared_spans.without_repeats(df).collect()}
+    assert kept[0] == 0 and all(kept[i] > 2 for i in range(1, 1000))
+    assert shared_spans.pairs(df).count() == 1000 * 999 // 2
+
+
+@pytest.mark.parametrize("name", [n for n in queries.SQL if n[:2] in ("p6", "p7", "p8", "p9")])
+def test_same_as_sql(spark, name):
+    from compare import both
+
+    ours, theirs = both(spark, queries.QUERIES[name], queries.SQL[name])
+    assert ours == theirs and ours
+
+
 def test_all_queries_run(spark):
     for name, q in queries.QUERIES.items():
         assert q(spark, BASE).count() > 0, name
