@@ -10,11 +10,27 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, sigma: int, sample: int = 8):
         text = np.append(np.asarray(text, "i8") + 1, 0)  # the end is a symbol of its own, below all others
-        sigma += 1
-        self.n, self.sample = len(text), sample
         order = self._suffixes(text)
-        bwt = text[order - 1]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
+        marked = order % sample == 0
+        self._build(text[order - 1], sigma + 1, marked, order[marked])
+
+    @classmethod
+    def load(cls, kept: bytes) -> "FMIndex":
+        """The index that ``dump`` gave; nothing is sorted again."""
+        sigma, n = np.frombuffer(kept, "i8", 2)
+        bwt = np.frombuffer(kept, "i4", n, 16)
+        marked = np.unpackbits(np.frombuffer(kept, "u1", -(-n // 8), 16 + 4 * n), count=n).astype(bool)
+        made = cls.__new__(cls)
+        made._build(bwt.astype("i8"), int(sigma), marked, np.frombuffer(kept, "i4", int(marked.sum()), 16 + 4 * n + -(-n // 8)).astype("i8"))
+        return made
+
+    def dump(self) -> bytes:
+        """What ``load`` needs: the transformed text and the sampled positions, about five bytes a symbol."""
+        return b"".join(x.tobytes() for x in (np.array([len(self.first) - 1, self.n], "i8"), self.bwt.astype("i4"), np.packbits(self.marked), self.kept.astype("i4")))
+
+    def _build(self, bwt: np.ndarray, sigma: int, marked: np.ndarray, kept: np.ndarray) -> None:
+        self.n, self.bwt, self.marked, self.kept = len(bwt), bwt, marked, kept
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=sigma))])
         self.bits = max(1, int(sigma - 1).bit_length())
         self.ranks, self.zeros, level = [], [], bwt
         for b in range(self.bits - 1, -1, -1):
@@ -22,9 +38,7 @@ class FMIndex:
             self.ranks.append(np.concatenate([[0], np.cumsum(bit)]).astype("i4"))
             self.zeros.append(int(self.n - self.ranks[-1][-1]))
             level = np.concatenate([level[bit == 0], level[bit == 1]])
-        self.marked = order % sample == 0
-        self.marks = np.concatenate([[0], np.cumsum(self.marked)]).astype("i4")
-        self.kept = order[self.marked]
+        self.marks = np.concatenate([[0], np.cumsum(marked)]).astype("i4")
 
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
