@@ -89,6 +89,7 @@ def test_fm_index():
         p = np.zeros((10, width), "i4")
         for i, q in enumerate(pats):
             p[i, width - len(q) :] = q
+        f = fm_index.FMIndex.load(f.dump())
         low, high = f.ranges(p, np.array([len(q) for q in pats]))
         for i, q in enumerate(pats):
             assert sorted(f.locate(np.arange(low[i], high[i])).tolist() if high[i] > low[i] else []) == [j for j in range(n) if t[j : j + len(q)] == q]
@@ -109,6 +110,10 @@ def test_leaks(spark, monkeypatch):
     got = leakage.leaks(corpus, golden)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 1), (8, 2), (9, 4), (9, 1)}
     assert [(r.start_word, r.end_word) for r in got.where("doc_id = 9 AND item_id = 4").collect()] == [(5000, 5030)]
+    # Words that two items leaked count once.
+    twice = golden.unionByName(spark.createDataFrame([(9, None, " ".join(passage.split()[2:]), 0)], golden.schema))
+    told = {r.doc_id: (r["items"], r.leaked_words) for r in leakage.summary(leakage.leaks(corpus, twice)).collect()}
+    assert told[9] == ([1, 4, 9], 50) and told[2] == ([1, 9], 13)
     assert leakage.leaks(corpus.where("false"), golden).count() == 0 and leakage.leaks(corpus, golden.where("false")).count() == 0
 
 
@@ -136,10 +141,12 @@ def test_mix(spark):
 
 
 # --- 9 ---
-@pytest.mark.parametrize("block_size", [None, 2])
-def test_shared(spark, monkeypatch, block_size):
+@pytest.mark.parametrize("block_size,group", [(None, None), (2, None), (2, 3), (None, 0)])
+def test_shared(spark, monkeypatch, block_size, group):
     if block_size:
         monkeypatch.setattr(shared_spans, "BLOCK", block_size)
+    if group is not None:
+        monkeypatch.setattr(shared_spans, "GROUP", group)
     rng = random.Random(4)
     sent = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)) + ". "
     doc = lambda k: "".join(sent(rng.randint(4, 18)) for _ in range(k))
@@ -166,10 +173,29 @@ def test_shared(spark, monkeypatch, block_size):
     assert all(told[d].shared_chars == covered(d) for d in (2, 3, 4, 5, 12, 20))
     assert shared_spans.pairs(df.where("false")).count() == 0
     with pytest.raises(ValueError):
-        shared_spans.windows(df, shared_spans.classes(df), 200)
+        shared_spans.held(df, shared_spans.classes(df), 200)
 
 
-def test_stretches_and_removal(spark):
+def test_runs_are_those_of_single_texts():
+    rng = random.Random(6)
+    texts = ["", "x", "\n", ". a", "a" * 300, "".join(rng.choice("ab .!\n\"") for _ in range(900)), "".join(rng.choice("abcdefgh é😀") for _ in range(700)), "One. " * 99, "\u3000" * 250]
+    runs = lambda ts: [(r, p - f.first[r], e - f.first[r]) for f in [shared_spans.Runs(ts, 203)] for r, p, e in zip(f.row, f.begin, f.end)]
+    alone = [(k, p, e) for k, t in enumerate(texts) for _, p, e in runs([t])]
+    assert runs(texts) == alone and {r for r, _, _ in alone} >= {4, 5, 6, 7, 8}
+    assert all(203 <= e - p <= 300 for _, p, e in alone) and {p for r, p, _ in alone if r == 7} == {*range(0, 495 - 203, 5)}
+    # Wherever a stretch of 400 stands, both texts have a run in it from one of its first 100 characters.
+    for _ in range(60):
+        block = "".join(rng.choice("abcdefg  .\n\"") for _ in range(400))
+        sides = ["".join(rng.choice("abcdefg .") for _ in range(rng.randrange(200))) for _ in range(4)]
+        a, b = sides[0] + block + sides[1], sides[2] + block + sides[3]
+        own = lambda t, x: {(p - len(x), e - len(x)) for _, p, e in runs([t])}
+        assert any(0 <= p <= 100 and e <= 400 for p, e in own(a, sides[0]) & own(b, sides[2]))
+
+
+@pytest.mark.parametrize("group", [None, 2])
+def test_stretches_and_removal(spark, monkeypatch, group):
+    if group is not None:
+        monkeypatch.setattr(shared_spans, "GROUP", group)
     rng = random.Random(8)
     sent = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)) + ". "
     doc = lambda k: "".join(sent(rng.randint(4, 18)) for _ in range(k))
