@@ -1,9 +1,10 @@
 """Problem 1: question-answer pairs that don't serve, each with its defect type.
 
 Copies are found by aligning question and answer tokens: shingle containment in both directions, then the longest common
-subsequence. Refusals are found by aligning the answer's clauses with refusal templates in the same way. For breaks in
-mid-sentence the corpus says how sentences end: over all answers it is counted how often each context (the last words,
-content words masked) is followed by the end of its sentence, and an answer's last words are held against that.
+subsequence. Refusals are found by aligning the answer's clauses with refusal templates in the same way. Languages are told
+by a model of character trigrams that is fitted on a bounded sample of labelled texts. For breaks in mid-sentence the corpus
+says how sentences end: over all answers it is counted how often each context (the last words, content words masked) is
+followed by the end of its sentence, and an answer's last words are held against that.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from xxhash import xxh3_64_intdigest
 
 from folivane.llm.lookalike import canonical
 from folivane.plans.sizing import maybe_broadcast
@@ -21,9 +24,15 @@ from folivane.plans.storage import cut
 from folivane.sources.tables import table
 
 # What stands for nothing.
-PLACEHOLDERS = set("n/a na none null nil nan undefined empty blank tbd tba todo no answer|(no answer)|[no answer]|no response|not available|not applicable|not answered|unknown answer|keine antwort|k. a.|k.a.|sans réponse|aucune réponse|sin respuesta|ninguna respuesta|нет ответа|no data|missing|-|placeholder".replace(" no answer", "|no answer").replace("n/a na none null nil nan undefined empty blank tbd tba todo", "n/a|na|none|null|nil|nan|undefined|empty|blank|tbd|tba|todo").split("|"))
-LABELS = r"(?:answer|response|reply|a|antwort|réponse|respuesta|ответ|question|q|query|frage|pregunta|вопрос|you asked|your question|the question was|sie fragten|vous avez demandé|preguntaste|usted preguntó)"
-# Function words by language; they tell the language, and the others are masked in contexts.
+PLACEHOLDERS = {
+    "n/a", "na", "none", "null", "nil", "nan", "undefined", "empty", "blank", "tbd", "tba", "todo", "missing", "placeholder", "-", "no data", "no answer", "(no answer)", "[no answer]", "no response", "not available",
+    "not applicable", "not answered", "unknown answer", "keine antwort", "k. a.", "k.a.", "sans réponse", "aucune réponse", "sin respuesta", "ninguna respuesta", "нет ответа",
+}
+LABEL_WORDS = [
+    "answer", "response", "reply", "a", "antwort", "réponse", "respuesta", "ответ", "question", "q", "query", "frage", "pregunta", "вопрос", "you asked", "your question", "the question was", "sie fragten", "vous avez demandé",
+    "preguntaste", "usted preguntó",
+]
+# Function words; the others are masked in contexts.
 FUNCTION = {
     "en": "the a an of and or to in on at for with by from as is are was were be been it its that which who this these those if when while after before because not no must may can will should how what why where once until there their each every than so into through during without between neither nor all any both over under within beside behind along across around near outside inside more he she they we you i my your our do does did has have had but about among them two one",
     "de": "der die das ein eine einer eines einem einen und oder zu in im an am auf für mit von vom bei aus als ist sind war wird werden wurde sein es dass welche wer dieser diese dieses wenn während nach vor weil nicht kein nur muss darf kann soll wie was warum wo bis ihre jede jeder jedes jeden durch zwischen ohne unter über neben hinter seit laut mehr sich den dem des er sie wir ihr ich mein dazu kurz wann alle außerdem sofern gilt zur zum so auch",
@@ -56,6 +65,13 @@ this falls outside what i may answer so i will stop here
 no comment on that from my side
 it is better if i leave the * to a qualified person
 i am not permitted to discuss this
+i will not discuss this topic
+i would rather not say
+i would rather not answer that
+that request is something i have to turn down
+i have to turn this request down
+i am going to pass on this question
+i must refuse to answer this
 i can not answer that question
 i can not comment on this matter
 as an assistant i can not * 
@@ -77,19 +93,58 @@ no puedo responder a esta pregunta
 мне нельзя отвечать на этот вопрос
 я не могу с этим помочь
 """.strip().split("\n")
+# Heads of refusals, each followed by one of the words for what is refused.
+HEADS = """
+i am not able to
+i am unable to
+i can not
+i am not permitted to
+i am not allowed to
+i am not in a position to
+it would not be appropriate for me to
+it is not possible for me to
+i would rather not
+i prefer not to
+i must decline to
+i have to decline to
+i must refuse to
+i will not
+i do not want to
+i have been asked not to
+""".strip().split("\n")
+REFUSED = """
+discuss the *
+talk about the *
+speak about the *
+comment on the *
+advise on the *
+give advice about the *
+give an answer about the *
+provide guidance on the *
+provide information about the *
+answer the question
+answer questions about the *
+respond to the question
+help with the *
+assist with the *
+share details about the *
+offer an opinion on the *
+say anything about the *
+""".strip().split("\n")
 # Words of the courtesies, reasons and referrals that come with a refusal, by their beginnings; what has none of them and
 # isn't in the first person is content.
 ASIDES = "thank question request message topic subject apolog sorry regret understand appreciat honest please contact consult advis advice assist help supervisor manufacturer engineer specialist professional expert qualified policy policies rule guideline instruct permi allow danke frage bitte leider fachkraft hersteller richtlinie regel verständnis merci demande question désolé responsable règle consigne gracias pregunta favor siento consulte responsable fabricante regla norma спасибо вопрос пожалуйста извин обратитесь правил специалист"
+# Labels that name no language.
+NO_LANGUAGE = ("und", "mul", "mis", "zxx", "")
 # End of the fixed values.
 
 FIRST_PERSON = {"i", "me", "my", "mir", "ich", "mich", "je", "m", "me", "puedo", "prefiero", "siento", "я", "мне"}
 _WORD = re.compile(r"[^\W_]+")
-_CONTRACTED = [(re.compile(p), r) for p, r in ((r"\bcan['’]t\b|\bcannot\b", "can not"), (r"\bwon['’]t\b", "will not"), (r"n['’]t\b", " not"), (r"['’]m\b", " am"), (r"\bthat['’]s\b", "that is"), (r"\bit['’]s\b", "it is"))]
-_ORDER = {w: l for l, ws in FUNCTION.items() for w in ws.split()}
-_KINDS = {l: set(ws.split()) for l, ws in FUNCTION.items()}
-_ALL = set(_ORDER)
+_CONTRACTED = [(re.compile(p), r) for p, r in ((r"\bcan['’]t\b|\bcannot\b", "can not"), (r"\bwon['’]t\b", "will not"), (r"n['’]t\b", " not"), (r"['’]m\b", " am"), (r"\bthat['’]s\b", "that is"), (r"['’]d\b", " would"), (r"['’]ll\b", " will"), (r"['’]ve\b", " have"), (r"\bit['’]s\b", "it is"))]
+_ALL = {w for ws in FUNCTION.values() for w in ws.split()}
 _ASIDE = re.compile(r"\b(?:" + "|".join(ASIDES.split()) + ")")
-_LABEL = re.compile(rf"^[\s>*_#\"“«'-]*{LABELS}\s*(?:\*\*|__)?\s*(?:[:–—]|-(?=\s))[\s*_]*", re.I)
+_LABELS = [tuple(x.split()) for x in LABEL_WORDS]
+_LABEL = re.compile(rf"^[\s>*_#\"“«'-]*(?:{'|'.join(LABEL_WORDS)})\s*(?:\*\*|__)?\s*(?:[:–—]|-(?=\s))[\s*_]*", re.I)
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|\"[^\"]*\"|„[^“”]*[“”]|```.*?(?:```|$)|`[^`]*`", re.S)
 
 
@@ -136,31 +191,33 @@ def is_copy(question: str, answer: str) -> bool:
     q = tokens(question)
     if len(q) < 2:
         return False
-    a = tokens(_LABEL.sub("", answer))
-    while len(a) > 1.5 * len(q) and contained(q, a[: len(q)]) > 0.5:  # doubled: look at what follows the first copy
-        rest = a[len(q) :]
-        if contained(rest[: len(q)], q) < 0.5 and contained(tokens(_LABEL.sub("", " ".join(rest)))[: len(q)], q) < 0.5:
+    a, p = tokens(_LABEL.sub("", answer)), 0
+    while len(a) - p > 1.5 * len(q) and contained(q, a[p : p + len(q)]) > 0.5:  # doubled: look at what follows the first copy
+        then = p + len(q)
+        label = max((len(x) for x in _LABELS if tuple(a[then : then + len(x)]) == x), default=0)
+        if contained(a[then : then + len(q)], q) < 0.5 and contained(a[then + label : then + label + len(q)], q) < 0.5:
             break
-        a = rest
-    if not 0.6 * len(q) <= len(a) <= 1.35 * len(q) + 2 or contained(a, q) < 0.5 and contained(q, a) < 0.5:
+        p = then
+    n = len(a) - p
+    if not 0.6 * len(q) <= n <= 1.35 * len(q) + 2 or contained(a[p:], q) < 0.5 and contained(q, a[p:]) < 0.5:
         return False
-    same = lcs(a, q)
-    return same >= 0.75 * len(q) and same >= 0.75 * len(a)
+    same = lcs(a[p:], q)
+    return same >= 0.75 * len(q) and same >= 0.75 * n
 
 
-_TEMPLATES = [[("" if w == "*" else w) for w in t.split()] for t in REFUSALS]
+_TEMPLATES = [[w for w in t.split() if w != "*"] for t in (*REFUSALS, *(f"{h} {r}" for h in HEADS for r in REFUSED))]
+_OWN = [(t, frozenset(t)) for t in _TEMPLATES]
 
 
 def _refuses(c: list[str]) -> bool:
     """A clause's tokens align with a refusal template; what an answer states about pages doesn't."""
     if len(c) < 3 or not FIRST_PERSON & set(c) and not {"comment"} & set(c) or {"page", "pages", "seite", "seiten", "página", "páginas"} & set(c):
         return False
-    for t in _TEMPLATES:
-        sure = [w for w in t if w]
-        if contained(sure, c) < 0.5 and contained(c, sure) < 0.5:
+    own = set(c)
+    for sure, kinds in _OWN:
+        if len(kinds & own) < 0.8 * len(kinds) or contained(sure, c) < 0.5 and contained(c, sure) < 0.5:
             continue
-        n = lcs(sure, c)
-        if n >= 0.8 * len(sure) and (len(sure) > 3 or len(c) < 8):
+        if lcs(sure, c) >= 0.8 * len(sure) and (len(sure) > 3 or len(c) < 8):
             return True
     return False
 
@@ -176,37 +233,72 @@ def is_refusal(answer: str) -> bool:
     return 2 * content <= sum(map(len, clauses))
 
 
-def language(text: str, only: bool = False) -> tuple[str, float, Counter]:
-    """The language with most function words, its lead over the next, and the counts."""
-    text = canonical(_QUOTED.sub(" ", text))
-    ws = _WORD.findall(text.lower())
-    n: Counter = Counter()
-    for w in ws:
-        for l, kinds in _KINDS.items():
-            if w in kinds:
-                n[l] += 1
-    low = text.lower()
-    n["de"] += 2 * len(re.findall("ß", low)) + (len(re.findall("[äöü]", low)) > 2)
-    n["es"] += 2 * len(re.findall("[¿¡ñ]", low))
-    n["fr"] += 2 * len(re.findall(r"[çœ]|\b[ldjnsq]u?[’']", low))
-    n["ru"] += len(re.findall(r"\b[а-яё]{3,}", low))
-    top = n.most_common(2)
-    if not top or top[0][1] == 0:
-        return "", 0.0, n
-    return top[0][0], top[0][1] - (top[1][1] if len(top) > 1 else 0), n
-
-
-def is_other_language(question: str, answer: str) -> bool:
-    q, lead, _ = language(question)
-    a, ahead, n = language(answer)
-    if not q or not a or q == a or lead < 1 or ahead < 2:
+# --- languages -------------------------------------------------------------------------------------------------------
+
+#: Labelled texts of each language that the model is fitted on, at most, and the least; pairs that it is adapted to, at most.
+SAMPLE, FEWEST, PAIRS = 400, 5, 6000
+#: By how much a text of one language must be likelier than one of another, as logarithm of the ratio; for a whole answer, and
+#: for one sentence of it.
+SURE, SURE_SENTENCE = 8.0, 5.0
+#: Trigrams of all languages together that each language's own are smoothed with.
+POOL = 2000.0
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def trigrams(text: str) -> list[str]:
+    """The character trigrams of a text's words, their begins and ends marked. Capitalised words within a sentence are often
+    names, which say little, and are left out if others are there."""
+    ws = _LETTERS.findall(text)
+    small = [w for w in ws if w[0].islower()]
+    return [g for w in (small or ws) for p in (f" {w.lower()} ",) for g in (p[i : i + 3] for i in range(len(p) - 2))]
+
+
+class Languages:
+    """Naive Bayes over character trigrams, smoothed by those of all languages together."""
+
+    def __init__(self, labelled: list[tuple[str, str]]):
+        self.labelled = labelled
+        counts: dict[str, Counter] = {}
+        for lang, text in labelled:
+            counts.setdefault(lang, Counter()).update(trigrams(canonical(text)))
+        self.names = sorted(counts)
+        pooled: Counter = Counter()
+        for own in counts.values():
+            pooled.update(own)
+        whole, size = sum(pooled.values()), np.array([sum(counts[n].values()) for n in self.names])
+        self.known = {g: np.log((np.array([counts[n][g] for n in self.names]) + POOL * k / whole) / (size + POOL)) for g, k in pooled.items()}
+
+    def scores(self, text: str) -> np.ndarray:
+        """The log-likelihood of ``text`` in each language. What no language has says nothing."""
+        got = [v for g in trigrams(text) if (v := self.known.get(g)) is not None]
+        return np.sum(got, axis=0) if got else np.zeros(len(self.names))
+
+
+def adapted(model: Languages, pairs: list[tuple[str, str]]) -> Languages:
+    """``model`` fitted on question-answer pairs too, each under the language that its question surely has: by far most
+    answers are in that language, and the model learns how such pairs are worded."""
+    more = list(model.labelled)
+    for q, a in pairs:
+        s = np.sort(model.scores(canonical(q or "")))
+        if len(s) > 1 and s[-1] - s[-2] >= SURE:
+            more.append((model.names[int(model.scores(canonical(q)).argmax())], f"{q} {a or ''}"))
+    return Languages(more)
+
+
+def is_other_language(model: Languages, question: str, answer: str) -> bool:
+    """The whole answer is surely in another language than the question; quotations don't count."""
+    if len(model.names) < 2 or not question:
+        return False
+    said = canonical(_QUOTED.sub(" ", answer))
+    q, a = model.scores(canonical(_QUOTED.sub(" ", question))), model.scores(said)
+    own, other = int(q.argmax()), int(a.argmax())
+    if own == other or a[other] - a[own] < SURE or q[own] - q[other] < SURE / 2:
         return False
-    # The whole answer: no sentence of it is in the question's language.
-    for sentence in re.split(r"(?<=[.!?])\s+|\n", _QUOTED.sub(" ", answer)):
-        s, by, _ = language(sentence)
-        if s == q and by >= 2:
+    for sentence in re.split(r"(?<=[.!?])\s+|\n", said):
+        s = model.scores(sentence)
+        if s[own] - s[other] >= SURE_SENTENCE:
             return False
-    return n[a] >= 3 * n[q]
+    return True
 
 
 # --- breaks ---------------------------------------------------------------------------------------------------------
@@ -219,15 +311,6 @@ _FINAL = re.compile(r"[.!?…][\"'”»)\]*_]*$")
 DANGLING = set("the a an of and or to for with by from as that which if when while because nor than into between der die das ein eine einer einem einen und oder zu für mit von dass wenn weil le la les un une des du de et ou à pour avec par que qui si el los las del y o con por".split())
 
 
-def masked(pieces: list[str]) -> list[str]:
-    """Function words as they are, numbers as 0, capitalised words as N, others as *."""
-    out = ["^"]
-    for w in pieces:
-        low = w.lower()
-        out.append(w if not w[0].isalnum() else low if low in _ALL else "0" if w.isdigit() else "N" if w[0].isupper() and len(out) > 1 else "*")
-    return out
-
-
 def sentences(answer: str) -> Iterator[tuple[str, bool]]:
     """(sentence, whether it ends with its mark or line)."""
     text = re.sub(r"```.*?```", "\n", answer, flags=re.S)
@@ -239,10 +322,58 @@ def sentences(answer: str) -> Iterator[tuple[str, bool]]:
                 yield _REFERENCE.sub("", p), bool(_FINAL.search(p))
 
 
-def keys(pieces: list[str], m: list[str], i: int) -> list[str]:
-    """The contexts of the first ``i`` masked pieces, one for each of CONTEXTS."""
-    last = pieces[i - 2].lower() if m[i - 1] == "*" else m[i - 1]
-    return [f"{n}{'l' if kept else 'm'} " + " ".join(m[max(0, i - n) : i - kept]) + (" " + last if kept else "") for n, kept in CONTEXTS]
+_START = "^"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.array([xxh3_64_intdigest(f"place {k}") | 1 for k in range(16)], "u8")
+
+
+class Contexts:
+    """The contexts of words as 64-bit keys, for many sentences at once."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[int, int, int]] = {}
+        self.masks: list[int] = []
+        self.words: list[int] = []
+        self.begin = [0]
+
+    def add(self, pieces: list[str]) -> None:
+        """A sentence. Function words stand as they are, numbers as 0, capitalised words as N, others as *."""
+        start = _hash(_START)
+        self.masks.append(start)
+        self.words.append(start)
+        for k, w in enumerate(pieces):
+            got = self.known.get(w)
+            if got is None:
+                low = w.lower()
+                plain = w if not w[0].isalnum() else low if low in _ALL else "0" if w.isdigit() else None
+                first, later = plain or "*", plain or ("N" if w[0].isupper() else "*")
+                got = self.known[w] = (_hash(first), _hash(later), _hash(low))
+            mask = got[k > 0]
+            self.masks.append(mask)
+            self.words.append(got[2] if mask == _STAR else mask)
+        self.begin.append(len(self.masks))
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, place in its sentence, sentence) of each place, a row of ``keys`` for each of CONTEXTS: the last words up to
+        there, of which the very last is kept as it is or masked too."""
+        mask, word = np.array(self.masks, "u8"), np.array(self.words, "u8")
+        size = np.diff(self.begin)
+        place = np.arange(len(mask)) - np.repeat(self.begin[:-1], size)
+        out = np.zeros((len(CONTEXTS), len(mask)), "u8")
+        for level, (n, kept) in enumerate(CONTEXTS):
+            key = (word if kept else mask) * _FACTORS[0]
+            for k in range(1, n):
+                key[k:] += np.where(place[k:] >= k, mask[:-k] * _FACTORS[k], 0)
+            key ^= key >> np.uint64(29)
+            out[level] = (key + np.uint64(level + 1)) * _MIX
+        return out, place, np.repeat(np.arange(len(size)), size)
+
+
+def _hash(word: str) -> int:
+    return xxh3_64_intdigest(word)
+
+
+_STAR = _hash("*")
 
 
 def open_end(answer: str) -> str | None:
@@ -278,92 +409,132 @@ def open_end(answer: str) -> str | None:
     return s
 
 
-def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(model):
     """Each pair with its defect, or with its last sentence's contexts and last word if only the corpus can tell."""
-    for batch in batches:
-        out = {"request_id": batch.column(0), "defect": [], "contexts": [], "word": []}
-        for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            defect, contexts, word, q = None, None, None, q or ""
-            if is_empty(a):
-                defect = "empty"
-            elif is_copy(q, a):
-                defect = "copied_question"
-            elif is_refusal(a):
-                defect = "refusal"
-            elif is_other_language(q, a):
-                defect = "other_language"
-            else:
-                end = open_end(a)
-                if end == "":
-                    defect = "truncated"
-                elif end:
-                    pieces = _PIECE.findall(end)
-                    m = masked(pieces)
-                    contexts = keys(pieces, m, len(m))
-                    word = _WORD.findall(end)[-1]
-            out["defect"].append(defect)
-            out["contexts"].append(contexts)
-            out["word"].append(word)
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("request_id", pa.int64()), ("defect", pa.string()), ("contexts", pa.list_(pa.string())), ("word", pa.string())]))
-
-
-def _endings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n, ends): contexts of sentence ends and how often they end (kind c), whole words (kind w)."""
-    n: Counter = Counter()
-    ends: Counter = Counter()
-
-    def give() -> pa.RecordBatch:
-        keys = list(n)
-        rows = [k.partition("\t") for k in keys]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], ["kind", "key", "n", "ends"])
-
-    for batch in batches:
-        for a in batch.column(0).to_pylist():
-            a = canonical(a)
-            said = list(sentences(a))
-            for at, (s, marked) in enumerate(said):
-                last = at == len(said) - 1
-                pieces = _PIECE.findall(s)
-                m = masked(pieces)
-                for i in range(4, len(m) + 1):
-                    final = i == len(m)
-                    if final and last and not marked:
-                        break  # whether this one is whole is the question
-                    for k in keys(pieces, m, i):
-                        k = "c\t" + k
-                        n[k] += 1
-                        ends[k] += final
-                ws = _WORD.findall(s)
-                for w in ws[: len(ws) - (last and not marked)]:
-                    n["w\t" + w] += 1
-        if len(n) > 400_000:
-            yield give()
-            n.clear()
-            ends.clear()
-    yield give()
-
-
-def defects(pairs: DataFrame) -> DataFrame:
-    """(request_id, defect) of the defective ones of ``pairs`` (request_id BIGINT, question, answer).
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages = model.value
+        for batch in batches:
+            defects, words, said, of = [], [], Contexts(), []
+            for k, (q, a) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                defect, word, q = None, None, q or ""
+                if is_empty(a):
+                    defect = "empty"
+                elif is_copy(q, a):
+                    defect = "copied_question"
+                elif is_refusal(a):
+                    defect = "refusal"
+                elif is_other_language(languages, q, a):
+                    defect = "other_language"
+                else:
+                    end = open_end(a)
+                    if end == "":
+                        defect = "truncated"
+                    elif end:
+                        said.add(_PIECE.findall(end))
+                        of.append(k)
+                        word = _hash(_WORD.findall(end)[-1])
+                defects.append(defect)
+                words.append(word)
+            contexts: list = [None] * len(defects)
+            if of:
+                told = said.keys()[0][:, np.array(said.begin[1:]) - 1].view("i8").T.tolist()
+                for k, own in zip(of, told):
+                    contexts[k] = own
+            signed = [None if w is None else w - (1 << 64) if w >> 63 else w for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(defects, pa.string()), pa.array(contexts, pa.list_(pa.int64())), pa.array(signed, pa.int64())], ["request_id", "defect", "contexts", "word"])
+
+    return run
+
+
+#: The level of whole words beside those of CONTEXTS.
+WORD = len(CONTEXTS)
+
+
+def _endings(wanted):
+    """(level, key, n, ends): how often each context stands in sentences and how often it ends them, how often each word
+    stands; only of the wanted keys, if these are given."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = wanted.value if wanted is not None else None
+        for batch in batches:
+            said, count, words = Contexts(), [], []
+            for a in batch.column(0).to_pylist():
+                own = list(sentences(canonical(a)))
+                for at, (s, marked) in enumerate(own):
+                    unsure = at == len(own) - 1 and not marked  # whether this one is whole is the question
+                    said.add(_PIECE.findall(s))
+                    count.append(not unsure)
+                    ws = _WORD.findall(s)
+                    words += map(_hash, ws[: len(ws) - unsure])
+            if not count:
+                continue
+            keys, place, sentence = said.keys()
+            end = place == np.diff(said.begin)[sentence] - 1
+            use = (place >= 3) & (~end | np.array(count)[sentence])
+            for level in range(WORD + 1):
+                key, ends = (keys[level][use], end[use]) if level < WORD else (np.array(words, "u8"), np.zeros(len(words), bool))
+                if asked is not None:
+                    mine = asked[level]
+                    found = mine[np.minimum(np.searchsorted(mine, key), len(mine) - 1)] == key if len(mine) else np.zeros(len(key), bool)
+                    key, ends = key[found], ends[found]
+                kinds, at, n = np.unique(key, return_inverse=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), level, "i4")), pa.array(kinds.view("i8")), pa.array(n.astype("i8")), pa.array(np.bincount(at, ends, len(kinds)).astype("i8"))], ["level", "key", "n", "ends"])
+
+    return run
+
+
+#: Contexts up to which those that are asked for are sent to the tasks that count; beyond, all are counted and joined.
+MOST_SENT = 2 << 20
+
+
+def fit_languages(labelled: DataFrame) -> Languages:
+    """The model of languages of at most SAMPLE texts of each label of ``labelled`` (lang, text), chosen by hash; labels of
+    fewer than FEWEST texts are left out. Null and empty texts and null labels say nothing."""
+    given = labelled.where("lang IS NOT NULL AND length(text) > 0").where(~F.col("lang").isin(*NO_LANGUAGE)).select("lang", F.xxhash64("text").alias("h"))
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = given.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
+    kept = chosen.withColumn("most", F.count("*").over(Window.partitionBy("lang"))).where(F.col("most") >= FEWEST).select("lang", "h").distinct()
+    kept = maybe_broadcast(cut(kept), 40)
+    texts = labelled.where("length(text) > 0").withColumn("h", F.xxhash64("text")).join(kept, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return Languages([(r.lang, r.text) for r in texts.collect()])  # SAMPLE rows for each language
+
+
+def defects(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(request_id, defect) of the defective ones of ``pairs`` (request_id BIGINT, question, answer); ``labelled`` (lang, text)
+    has texts to tell languages by.
 
     A null or blank answer is ``empty``, a null question is like an empty one (nothing can copy it or be in another
-    language). A request that occurs twice counts once. Texts of any length are judged whole. Other columns are ignored.
+    language). A request that occurs twice counts once. Texts of any length are judged whole. Without labelled texts of two
+    languages no answer is in another one. Other columns are ignored.
     """
+    spark = pairs.sparkSession
     once = pairs.where("request_id IS NOT NULL").select(F.col("request_id").cast("long").alias("request_id"), "question", "answer").groupBy("request_id").agg(F.min(F.struct("question", "answer")).alias("p")).select("request_id", "p.question", "p.answer")
-    judged = cut(once.mapInArrow(_judge, "request_id long, defect string, contexts array<string>, word string"))
+    sample = once.orderBy(F.xxhash64("request_id"), "request_id").limit(PAIRS).select("question", "answer").collect()
+    told = adapted(fit_languages(labelled), [tuple(r) for r in sample])
+    told.labelled = []
+    model = spark.sparkContext.broadcast(told)
+    judged = cut(once.mapInArrow(_judge(model), "request_id long, defect string, contexts array<long>, word long"))
     sure = judged.where("defect IS NOT NULL").select("request_id", "defect")
     open_ = judged.where("contexts IS NOT NULL")
-    asked = open_.select("request_id", F.posexplode("contexts").alias("level", "key")).select("request_id", "level", "key").withColumn("kind", F.lit("c"))
-    asked = asked.unionByName(open_.select("request_id", F.lit(9).alias("level"), F.col("word").alias("key"), F.lit("w").alias("kind")))
-    wanted = maybe_broadcast(cut(asked.select("kind", "key").distinct()), 120)
-    corpus = once.where("answer IS NOT NULL").select("answer").mapInArrow(_endings, "kind string, key string, n long, ends long")
-    told = cut(corpus.join(wanted, ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
-    seen = asked.join(told, ["kind", "key"], "left").groupBy("request_id").agg(
-        *[F.max(F.when(F.col("level") == k, F.col(c))).alias(f"{c}{k}") for k in range(len(CONTEXTS)) for c in ("n", "ends")],
-        F.max(F.when(F.col("level") == 9, F.col("n"))).alias("word_n"),
+    asked = cut(open_.select("request_id", F.posexplode(F.array_append("contexts", F.col("word"))).alias("level", "key")))
+    kinds = cut(asked.select("level", "key").distinct())
+    small = kinds.limit(MOST_SENT + 1).count() <= MOST_SENT
+    wanted = None
+    if small:
+        rows = kinds.toPandas()
+        level, key = rows.level.to_numpy(), rows.key.to_numpy("i8").view("u8")
+        wanted = spark.sparkContext.broadcast([np.sort(key[level == k]) for k in range(WORD + 1)])
+    corpus = once.where("answer IS NOT NULL").select("answer").mapInArrow(_endings(wanted), "level int, key long, n long, ends long")
+    if not small:
+        corpus = corpus.join(kinds, ["level", "key"], "left_semi")
+    told = cut(corpus.groupBy("level", "key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+    seen = asked.join(maybe_broadcast(told, 40), ["level", "key"], "left").groupBy("request_id").agg(
+        *[F.max(F.when(F.col("level") == k, F.col(c))).alias(f"{c}{k}") for k in range(WORD) for c in ("n", "ends")],
+        F.max(F.when(F.col("level") == WORD, F.col("n"))).alias("word_n"),
     )
     share = F.lit(None).cast("double")
-    for k in range(len(CONTEXTS) - 1, -1, -1):
+    for k in range(WORD - 1, -1, -1):
         share = F.when(F.coalesce(F.col(f"n{k}"), F.lit(0)) >= 3, F.col(f"ends{k}") / F.col(f"n{k}")).otherwise(share)
     unknown = F.coalesce("word_n", F.lit(0)) == 0
     broken = seen.where((F.coalesce(share, F.lit(0.0)) < 0.5) | unknown).select("request_id", F.lit("truncated").alias("defect"))
@@ -371,4 +542,4 @@ def defects(pairs: DataFrame) -> DataFrame:
 
 
 def found(spark: SparkSession, base: str) -> DataFrame:
-    return defects(table(spark, base, "query_log", "request_id", "question", "answer"))
+    return defects(table(spark, base, "query_log", "request_id", "question", "answer"), table(spark, base, "documents", "lang", "text"))

@@ -10,6 +10,52 @@ def frame(spark, rows, schema):
 
 
 # --- 1 ---
+TOLD = {
+    "en": "The pump of the station rests beside the wall and the operators walk through the {} after the night shift. They check which of the valves is closed and why it does not open.",
+    "de": "Die Pumpe der Station ruht neben der Wand und die Leute gehen nach der Nachtschicht durch den {}. Sie prüfen, welches der Ventile geschlossen ist und warum es sich nicht öffnet.",
+    "fr": "La pompe de la station repose près du mur et les ouvriers traversent le {} après l’équipe de nuit. Ils vérifient quelle vanne est fermée et pourquoi elle ne doit pas être ouverte.",
+    "es": "La bomba de la estación descansa junto al muro y los obreros cruzan el {} después del turno de noche. Revisan qué válvula está cerrada y por qué no debe abrirse, salvo que lo haya dicho el jefe.",
+    "und": "The pump Die Pumpe La pompe La bomba {}.",
+}
+
+
+def labelled(spark):
+    return frame(spark, [(lang, t.format(x)) for lang, t in TOLD.items() for x in range(80)] + [(None, "x"), ("en", None), ("xx", "alone")], "lang string, text string")
+
+
+def test_languages(spark):
+    model = answer_defects.fit_languages(labelled(spark))
+    assert model.names == ["de", "en", "es", "fr"]  # und names none, and one text is too few
+    other = lambda q, a: answer_defects.is_other_language(model, q, a)
+    es, fr = "¿Por qué no debe abrirse la válvula de la estación después del turno de noche?", "La vanne de la station ne doit pas être ouverte après l’équipe de nuit, les ouvriers la vérifient."
+    assert other(es, fr) and not other(es, es) and not other(fr, fr) and not other(es, "73") and not other("", fr)
+    assert not other(es, fr + " La bomba de la estación descansa junto al muro después del turno de noche.")
+    assert not other(es, "«" + fr + "»") and not answer_defects.is_other_language(answer_defects.Languages([]), es, fr)
+
+
+def test_refusals_align_with_heads_and_what_is_refused():
+    for no in ("I'm not able to discuss the diaphragm, and I hope you understand.", "It would not be appropriate for me to advise on the clarifier.", "I'd rather not say.", "I won't discuss this topic.", "Unfortunately that request is something I have to turn down."):
+        assert answer_defects.is_refusal(no), no
+    for told in ("I could not find the scanner on the pages supplied; page 7 comes closest.", "I can confirm the following from page 166.", "Operators are not able to discuss the plan."):
+        assert not answer_defects.is_refusal(told), told
+
+
+def test_contexts_are_those_of_single_sentences():
+    told = [["The", "pump", "of", "Varna", "rests", "now"], ["A", "b"], ["Night", ",", "the", "2", "pumps", "of", "Varna", "rest", "beside", "the", "long", "wall", "of", "stone"]]
+    both = answer_defects.Contexts()
+    for t in told:
+        both.add(t)
+    keys, place, of = both.keys()
+    for k, t in enumerate(told):
+        alone = answer_defects.Contexts()
+        alone.add(t)
+        assert (alone.keys()[0] == keys[:, of == k]).all() and (place[of == k] == range(len(t) + 1)).all()
+    same = answer_defects.Contexts()
+    same.add(["The", "fan", "of", "Odo", "turns", "now"])
+    # Content words are masked but for the last: of the five keys at "now" all agree.
+    assert (same.keys()[0][:, -1] == keys[:, of == 0][:, -1]).all() and (same.keys()[0][0, -2] != keys[0, of == 0][-2])
+
+
 def test_defects(spark):
     said = "The pump of Varna rests beside the wall after the night shift."
     good = [(100 + i, f"Why does pump {i} rest?", said) for i in range(6)]
@@ -22,10 +68,11 @@ def test_defects(spark):
         (15, "Why does the pump stop at night?", "Why does the pump stop at night?\nWhy does the pump stop at night?"), (16, "Why does the pump stop?", said + " " + "The pump rests. " * 3000), (None, "q", None),
     ]
     df = frame(spark, [(*r, "clash") for r in rows], "request_id long, question string, answer string, defect string")
-    got = [tuple(r) for r in answer_defects.defects(df).collect()]
+    got = [tuple(r) for r in answer_defects.defects(df, labelled(spark)).collect()]
     want = {1: "empty", 2: "empty", 3: "empty", 4: "copied_question", 5: "refusal", 6: "other_language", 7: "truncated", 8: "truncated", 15: "copied_question"}
     assert dict(got) == want and len(got) == len(want)
-    assert answer_defects.defects(df.where("false")).count() == 0
+    assert answer_defects.defects(df.where("false"), labelled(spark)).count() == 0
+    assert {r.request_id for r in answer_defects.defects(df, labelled(spark).where("false")).collect()} == set(want) - {6}
 
 
 def test_long_refusals():
