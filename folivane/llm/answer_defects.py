@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from xxhash import xxh3_64_intdigest
 
 from folivane.llm.lookalike import canonical
+from folivane.plans.filters import key_filter, may_hold
 from folivane.plans.sizing import maybe_broadcast
 from folivane.plans.storage import cut
 from folivane.sources.tables import table
@@ -245,12 +246,17 @@ POOL = 2000.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def trigrams(text: str) -> list[str]:
-    """The character trigrams of a text's words, their begins and ends marked. Capitalised words within a sentence are often
-    names, which say little, and are left out if others are there."""
+def telling(text: str) -> list[str]:
+    """The words that tell a text's language, in lower case: capitalised ones within sentences are often names, which say
+    little, and are left out if others are there."""
     ws = _LETTERS.findall(text)
-    small = [w for w in ws if w[0].islower()]
-    return [g for w in (small or ws) for p in (f" {w.lower()} ",) for g in (p[i : i + 3] for i in range(len(p) - 2))]
+    return [w for w in ws if w[0].islower()] or [w.lower() for w in ws]
+
+
+def trigrams(word: str) -> list[str]:
+    """The character trigrams of a word, its begin and end marked."""
+    p = f" {word.lower()} "
+    return [p[i : i + 3] for i in range(len(p) - 2)]
 
 
 class Languages:
@@ -260,18 +266,29 @@ class Languages:
         self.labelled = labelled
         counts: dict[str, Counter] = {}
         for lang, text in labelled:
-            counts.setdefault(lang, Counter()).update(trigrams(canonical(text)))
+            counts.setdefault(lang, Counter()).update(g for w in telling(canonical(text)) for g in trigrams(w))
         self.names = sorted(counts)
         pooled: Counter = Counter()
         for own in counts.values():
             pooled.update(own)
         whole, size = sum(pooled.values()), np.array([sum(counts[n].values()) for n in self.names])
         self.known = {g: np.log((np.array([counts[n][g] for n in self.names]) + POOL * k / whole) / (size + POOL)) for g, k in pooled.items()}
+        self.words: dict[str, np.ndarray] = {}
+
+    def _word(self, word: str) -> np.ndarray:
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) > 100_000:
+                self.words.clear()
+            got = self.words[word] = sum((v for g in trigrams(word) if (v := self.known.get(g)) is not None), np.zeros(len(self.names)))
+        return got
 
     def scores(self, text: str) -> np.ndarray:
         """The log-likelihood of ``text`` in each language. What no language has says nothing."""
-        got = [v for g in trigrams(text) if (v := self.known.get(g)) is not None]
-        return np.sum(got, axis=0) if got else np.zeros(len(self.names))
+        out = np.zeros(len(self.names))
+        for w, n in Counter(telling(text)).items():
+            out += n * self._word(w)
+        return out
 
 
 def adapted(model: Languages, pairs: list[tuple[str, str]]) -> Languages:
@@ -453,10 +470,10 @@ WORD = len(CONTEXTS)
 
 def _endings(wanted):
     """(level, key, n, ends): how often each context stands in sentences and how often it ends them, how often each word
-    stands; only of the wanted keys, if these are given."""
+    stands; of keys that the filter lets pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = wanted.value if wanted is not None else None
+        asked = wanted.value
         for batch in batches:
             said, count, words = Contexts(), [], []
             for a in batch.column(0).to_pylist():
@@ -474,20 +491,14 @@ def _endings(wanted):
             use = (place >= 3) & (~end | np.array(count)[sentence])
             for level in range(WORD + 1):
                 key, ends = (keys[level][use], end[use]) if level < WORD else (np.array(words, "u8"), np.zeros(len(words), bool))
-                if asked is not None:
-                    mine = asked[level]
-                    found = mine[np.minimum(np.searchsorted(mine, key), len(mine) - 1)] == key if len(mine) else np.zeros(len(key), bool)
-                    key, ends = key[found], ends[found]
+                found = may_hold(asked, key)
+                key, ends = key[found], ends[found]
                 kinds, at, n = np.unique(key, return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), level, "i4")), pa.array(kinds.view("i8")), pa.array(n.astype("i8")), pa.array(np.bincount(at, ends, len(kinds)).astype("i8"))], ["level", "key", "n", "ends"])
 
     return run
 
 
-#: Contexts up to which those that are asked for are sent to the tasks that count; beyond, all are counted and joined.
-MOST_SENT = 2 << 20
-
-
 def fit_languages(labelled: DataFrame) -> Languages:
     """The model of languages of at most SAMPLE texts of each label of ``labelled`` (lang, text), chosen by hash; labels of
     fewer than FEWEST texts are left out. Null and empty texts and null labels say nothing."""
@@ -519,16 +530,9 @@ def defects(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
     open_ = judged.where("contexts IS NOT NULL")
     asked = cut(open_.select("request_id", F.posexplode(F.array_append("contexts", F.col("word"))).alias("level", "key")))
     kinds = cut(asked.select("level", "key").distinct())
-    small = kinds.limit(MOST_SENT + 1).count() <= MOST_SENT
-    wanted = None
-    if small:
-        rows = kinds.toPandas()
-        level, key = rows.level.to_numpy(), rows.key.to_numpy("i8").view("u8")
-        wanted = spark.sparkContext.broadcast([np.sort(key[level == k]) for k in range(WORD + 1)])
+    wanted = spark.sparkContext.broadcast(key_filter(kinds, F.col("key")))
     corpus = once.where("answer IS NOT NULL").select("answer").mapInArrow(_endings(wanted), "level int, key long, n long, ends long")
-    if not small:
-        corpus = corpus.join(kinds, ["level", "key"], "left_semi")
-    told = cut(corpus.groupBy("level", "key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+    told = cut(corpus.groupBy("level", "key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).join(maybe_broadcast(kinds, 40), ["level", "key"], "left_semi"))
     seen = asked.join(maybe_broadcast(told, 40), ["level", "key"], "left").groupBy("request_id").agg(
         *[F.max(F.when(F.col("level") == k, F.col(c))).alias(f"{c}{k}") for k in range(WORD) for c in ("n", "ends")],
         F.max(F.when(F.col("level") == WORD, F.col("n"))).alias("word_n"),
