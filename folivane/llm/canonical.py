@@ -20,7 +20,7 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _canonical_sql(column: str, source: str) -> str:
+def canonical_sql(column: str, source: str) -> str:
     """SQL that adds ``canonical`` to the rows of ``source``."""
     marks = "".join(L.INVISIBLE)
     mapped = f"translate(regexp_replace({column}, {_q('[' + marks + ']')}, '', 'g'), {_q(''.join(L.ONE))}, {_q(''.join(L.ONE.values()))})"
@@ -58,7 +58,7 @@ def _rewriter(columns: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterat
         import duckdb
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        sql = _canonical_sql("value", "part")
+        sql = canonical_sql("value", "part")
         for batch in batches:
             con.register("part", pa.Table.from_batches([batch]))
             out = con.sql(sql).to_arrow_table().select([*columns, "canonical"])
@@ -98,3 +98,9 @@ def clean(spark: SparkSession, base: str) -> DataFrame:
     done = canonicalise(_fields(table(spark, base, "chunks", "id", "text", "heading")))
     pick = lambda n: F.max(F.when(F.col("field") == n, F.col("canonical"))).alias(n)
     return done.groupBy(F.col("id").alias("chunk_id")).agg(pick("text"), pick("heading"))
+
+
+SQL_FOUND = f"""WITH fields AS (SELECT id AS chunk_id, 'text' AS field, text AS value FROM chunks UNION ALL SELECT id, 'heading', heading FROM chunks), told AS ({canonical_sql("value", "fields")})
+    SELECT DISTINCT chunk_id, field FROM told WHERE value <> canonical"""
+SQL_CLEAN = f"""WITH fields AS (SELECT id, 'text' AS field, text AS value FROM chunks UNION ALL SELECT id, 'heading', heading FROM chunks), told AS ({canonical_sql("value", "fields")})
+    SELECT id AS chunk_id, max(canonical) FILTER (WHERE field = 'text') AS text, max(canonical) FILTER (WHERE field = 'heading') AS heading FROM told GROUP BY id"""

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from folivane.llm.canonical import canonical_sql
 from folivane.llm.fm_index import FMIndex
 from folivane.llm.lookalike import words
 from folivane.plans.storage import cut
@@ -173,3 +174,16 @@ def summary(spans: DataFrame) -> DataFrame:
     before = F.max("end_word").over(Window.partitionBy("doc_id").orderBy("start_word", "end_word", "item_id").rowsBetween(Window.unboundedPreceding, -1))
     adds = F.greatest(F.lit(0), F.col("end_word") - F.greatest("start_word", F.coalesce(before, F.lit(0))))
     return spans.withColumn("adds", adds).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sum("adds").alias("leaked_words"))
+
+
+_SQL_SPANS = f"""own AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE text <> '' AND doc_id IS NOT NULL GROUP BY doc_id), plain AS ({canonical_sql("text", "own")}),
+    said AS (SELECT doc_id, regexp_extract_all(lower(canonical), '[\\pL\\pN]+') AS w FROM plain),
+    given AS (SELECT item_id, true AS whole, question AS text FROM golden UNION ALL SELECT item_id, false, passage FROM golden), flat AS ({canonical_sql("text", "given")}),
+    asked AS (SELECT item_id, whole, regexp_extract_all(lower(canonical), '[\\pL\\pN]+') AS w FROM flat WHERE canonical IS NOT NULL),
+    phrases AS (SELECT DISTINCT item_id, w AS p FROM asked WHERE whole AND length(w) > 0 UNION SELECT DISTINCT item_id, w[i : i + {WINDOW} - 1] FROM (SELECT item_id, w, unnest(range(1, length(w) - {WINDOW} + 2)) AS i FROM asked WHERE NOT whole)),
+    sizes AS (SELECT DISTINCT length(p) AS n FROM phrases),
+    parts AS (SELECT doc_id, i, n, w[i : i + n - 1] AS p FROM (SELECT doc_id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM said, sizes WHERE n <= length(w))),
+    met AS (SELECT doc_id, item_id, i, n FROM parts JOIN phrases USING (p))"""
+SQL_FOUND = f"WITH {_SQL_SPANS} SELECT DISTINCT doc_id, item_id FROM met"
+SQL_REPORT = f"""WITH {_SQL_SPANS}, covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM met)
+    SELECT doc_id, items, leaked_words FROM (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM met GROUP BY doc_id) JOIN (SELECT doc_id, count(*) AS leaked_words FROM covered GROUP BY doc_id) USING (doc_id)"""

@@ -26,4 +26,14 @@ QUERIES = {
     "p9_clean": shared_spans.clean,
 }
 
-SQL = {"p2_found": repeated_lines.SQL_FOUND, "p5_found": splitting.SQL_FOUND, "p9_found": shared_spans.SQL_FOUND, "p9_shared": shared_spans.SQL_SHARED}
+SQL = {
+    "p2_found": repeated_lines.SQL_FOUND,
+    "p4_found": canonical.SQL_FOUND,
+    "p4_clean": canonical.SQL_CLEAN,
+    "p5_found": splitting.SQL_FOUND,
+    "p6_found": near_duplicates.SQL_FOUND,
+    "p7_found": leakage.SQL_FOUND,
+    "p7_report": leakage.SQL_REPORT,
+    "p9_found": shared_spans.SQL_FOUND,
+    "p9_shared": shared_spans.SQL_SHARED,
+}

@@ -313,12 +313,14 @@ def found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b, of the documents with ``least`` characters in common."""
+    """(doc_a, doc_b), doc_a < doc_b, of the documents with ``least`` characters in common. Of more than COPIES documents of
+    equal text each is paired with the first, which stands for all of them in pairs with others."""
     docs = cut(classes(documents))
     members = docs.where(F.col("n_chars") >= least)
     links = cut(linked(held(documents, docs, least)))
     other = members.select(F.col("doc_id").alias("doc2"), F.col("class").alias("class2"))
-    across = links.join(members, "class").join(other, "class2").select("doc_id", "doc2")
+    listed = members.where((F.col("copies") <= COPIES) | (F.col("doc_id") == F.col("class")))
+    across = links.join(listed, "class").join(listed.select(F.col("doc_id").alias("doc2"), F.col("class").alias("class2")), "class2").select("doc_id", "doc2")
     same = members.where((F.col("copies") > 1) & (F.col("copies") <= COPIES)).join(other.withColumnRenamed("class2", "class"), "class").select("doc_id", "doc2")
     star = members.where(F.col("copies") > COPIES).select(F.col("class").alias("doc_id"), F.col("doc_id").alias("doc2"))
     both = across.unionByName(same.unionByName(star).where("doc_id < doc2"))

@@ -33,9 +33,11 @@ def brute(rows):
     return {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b]) - 1e-9}
 
 
-@pytest.mark.parametrize("boundary", [None, 90, 10**6])
-def test_alike(spark, boundary, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "LIST", 4)  # lists are split from 4 entries
+@pytest.mark.parametrize("boundary,longest", [(None, 16), (90, 4), (10**6, 10**6)])
+def test_alike(spark, boundary, longest, monkeypatch):
+    # Lists are split from 4 entries; their lengths are told beforehand, or taken down where they would meet.
+    monkeypatch.setattr(near_duplicates, "LIST", 4)
+    monkeypatch.setattr(near_duplicates, "LONGEST_LIST", longest)
     rng = random.Random(5)
     rows = []
     for g in range(12):
@@ -58,6 +60,32 @@ def test_boundary_by_cost():
     assert near_duplicates.choose_boundary({}, 1.0) == 0
 
 
+def test_long_lists_are_taken_down(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "LONGEST_LIST", 3)
+    role = near_duplicates._PROBE | near_duplicates._INDEX
+    rows = [(m, 10 * m + k, 50 << 32 | role) for m, n in ((1, 2), (2, 9), (3, 3), (4, 4), (5, 2), (6, 11)) for k in range(n)]
+    for size in (1, 2, 3, 5, 40):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + size])], ["member", "class", "packed"]) for a in range(0, len(rows), size)]
+        out = [r for b in near_duplicates._meet(0.6)(iter(batches)) for r in b.to_pylist()]
+        assert sorted((r["class"], r["n"]) for r in out if r["class2"] is None) == [(2, 9), (4, 4), (6, 11)]
+        assert {(r["class"], r["class2"]) for r in out if r["class2"] is not None} == {(11, 10), (31, 30), (32, 30), (32, 31), (51, 50)}
+
+
+def test_many_copies_and_equal_hashes(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "COPIES", 3)
+    rng = random.Random(12)
+    base = text(rng, 60)
+    rows = [(f"a{i}", base) for i in range(5)] + [("b", base + " end"), ("c", base + " stop")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    # Five copies are paired with the first, which stands for them in other pairs.
+    assert {tuple(r) for r in near_duplicates.pairs(df).collect()} == {("a0", f"a{i}") for i in range(1, 5)} | {("a0", "b"), ("a0", "c"), ("b", "c")}
+    told = {r.chunk_id: r for r in near_duplicates.grouped(df).collect()}
+    assert len({r.group_id for r in told.values()}) == 1 and told["a3"].links == 2
+    real = near_duplicates.F.xxhash64
+    monkeypatch.setattr(near_duplicates.F, "xxhash64", lambda *c: near_duplicates.F.lit(7).cast("long") if [type(x) for x in c] == [str] else real(*c))
+    assert {tuple(r) for r in near_duplicates.pairs(df).collect()} == {("a0", f"a{i}") for i in range(1, 5)} | {("a0", "b"), ("a0", "c"), ("b", "c")}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101)]
     ways = spark.createDataFrame(chain + [(b, a) for a, b in chain], "class long, class2 long")
