@@ -309,7 +309,9 @@ def cache_misses(spark: SparkSession, base: str) -> DataFrame:
 
 
 def markdown_blocks(spark: SparkSession, base: str) -> DataFrame:
-    return blocks.markdown_blocks(_pages(spark, base), "page_key", "markdown")
+    b = blocks.markdown_blocks(_pages(spark, base), "page_key", "markdown")
+    rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n")
+    return b.select(F.col("key").alias("page_key"), "pos", "kind", "text", "title", F.array_join("items", "\n").alias("items"), F.array_join("headers", "|").alias("headers"), rows.alias("rows"))
 
 
 QUERIES = {
@@ -392,6 +394,18 @@ def _windows(size: int, step: int) -> str:
     FROM (SELECT *, unnest(range(0, greatest(ceil((length(words) - {size}) / {step}::DOUBLE), 0)::BIGINT + 1)) AS k FROM worded WHERE length(words) >= 4))"""
 
 
+_BLOCKS = rf"""{_PAGES}, texts AS (SELECT page_key, regexp_split_to_array(regexp_replace(coalesce(markdown, ''), '(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}])$', ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM pages),
+lines AS (SELECT *, {_strip("line")} AS s FROM (SELECT page_key, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM texts)),
+fenced AS (SELECT *, sum(starts_with(s, '```')::INT) OVER (PARTITION BY page_key ORDER BY n) % 2 = 1 AS odd FROM lines),
+kinds AS (SELECT *, CASE WHEN odd OR starts_with(s, '```') THEN 'fence' WHEN regexp_matches(s, '^<!--\s*meta:[^=]+=.*-->$') THEN 'meta' WHEN starts_with(s, '<!--') THEN CASE WHEN contains(s, 'pagebreak') THEN 'pagebreak' ELSE 'comment' END
+    WHEN s LIKE '>%' THEN 'quote' WHEN s LIKE '|%' THEN 'pipe' WHEN regexp_matches(s, '^[*-]\s') THEN 'bullets' WHEN regexp_matches(s, '^[0-9]+[.)]\s') THEN 'numbers' WHEN s LIKE '#%' THEN 'heading' WHEN s IN ('---', '***', '___') THEN 'rule' WHEN s = '' THEN 'blank' ELSE 'p' END AS one FROM fenced),
+beside AS (SELECT *, coalesce(one <> lag(one) OVER w, true)::INT AS turns, CASE one WHEN 'quote' THEN regexp_matches(s, '^>\s*\[!\w+\]') WHEN 'pipe' THEN coalesce(regexp_matches(lead(s) OVER w, '^[|][\s:|-]+[|]$'), false) ELSE false END AS mark FROM kinds WINDOW w AS (PARTITION BY page_key ORDER BY n)),
+parts AS (SELECT *, sum(turns) OVER (PARTITION BY page_key ORDER BY n) AS run FROM beside),
+marked AS (SELECT *, CASE WHEN one IN ('quote', 'pipe') THEN CASE WHEN bool_or(mark) OVER (PARTITION BY page_key, run ORDER BY n) THEN CASE one WHEN 'quote' THEN 'callout' ELSE 'table' END ELSE 'p' END ELSE one END AS kind FROM parts),
+main AS (SELECT *, lag(kind) OVER w AS k0, lag(run) OVER w AS r0, lead(n) OVER w AS following FROM marked WHERE kind NOT IN ('meta', 'comment') WINDOW w AS (PARTITION BY page_key ORDER BY n)),
+cut AS (SELECT *, sum(CASE WHEN kind = k0 AND (kind = 'p' OR kind = 'fence' AND NOT (odd AND starts_with(s, '```')) OR kind IN ('callout', 'table', 'bullets', 'numbers') AND run = r0) THEN 0 ELSE 1 END) OVER (PARTITION BY page_key ORDER BY n) AS block FROM main),
+blocks AS (SELECT page_key, CASE WHEN min_by(kind, n) = 'p' THEN coalesce(max_by(coalesce(following, 1 << 30), n), 0) - 0.5::DOUBLE ELSE min(n)::DOUBLE END AS place, min_by(kind, n) AS kind, list(line ORDER BY n) AS l, list(s ORDER BY n) AS s, regexp_extract(min_by(s, n), '^>\s*\[!(\w+)\]', 1) AS named FROM cut WHERE kind <> 'blank' GROUP BY page_key, block
+    UNION ALL SELECT page_key, n::DOUBLE, kind, [line], [s], '' FROM marked WHERE kind = 'meta')"""
 _FIGURES = f"""shown AS (SELECT page_key, doc_id, page, coalesce(page_summary, '') AS summary, figures, markdown, coalesce(array_to_string(list_transform(figures, lambda f: {_strip("array_to_string(list_filter([coalesce(f.caption, ''), coalesce(f.description, '')], lambda p: p <> ''), chr(10))")}), chr(10) || chr(10)), '') AS told FROM pages),
 page_images AS (SELECT doc_id || ':p' || page || ':i0' AS id, CASE WHEN summary <> '' OR told <> '' THEN array_to_string(list_filter([summary, told], lambda p: p <> ''), chr(10) || chr(10)) ELSE array_to_string(list_filter(regexp_split_to_array(coalesce(markdown, ''), '{_BLANKS}+'), lambda w: w <> '')[1:120], ' ') END AS text,
     CASE WHEN length(figures) > 0 THEN coalesce(figures[1].caption, '') ELSE summary END AS heading FROM shown)"""
@@ -458,5 +472,16 @@ SQL = {
     "upsert_points": """WITH last AS (SELECT id, max(ingested_at) AS ingested_at FROM chunks GROUP BY id, doc_id)
         SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex((('0x' || substr(h, 17, 1))::INT & 3) | 8)) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id, id, ingested_at
         FROM (SELECT *, sha1(unhex('6f1c9d0e3f5a4b2e9a770d5b1c2e3f40') || encode(id)) AS h FROM last)""",
+    "markdown_blocks": f"""WITH {_BLOCKS} SELECT page_key, (row_number() OVER (PARTITION BY page_key ORDER BY place) - 1)::INT AS pos,
+        CASE kind WHEN 'fence' THEN CASE WHEN starts_with(lower(info), 'diagram') THEN 'diagram' ELSE 'code' END
+            WHEN 'heading' THEN CASE WHEN level = 1 AND count(*) FILTER (WHERE kind <> 'meta') OVER (PARTITION BY page_key ORDER BY place) = 1 THEN 'title' ELSE 'h' || least(level, 3) END ELSE kind END AS kind,
+        CASE kind WHEN 'p' THEN array_to_string(s, ' ') WHEN 'fence' THEN array_to_string(list_filter(l, lambda x: NOT starts_with({_strip("x")}, '```')), chr(10)) WHEN 'heading' THEN {_strip("ltrim(s[1], '#')")}
+            WHEN 'callout' THEN {_strip("array_to_string(list_transform(s[2:], lambda x: " + _strip("ltrim(x, '>')") + "), ' ')")} WHEN 'meta' THEN regexp_extract(s[1], '^<!--\\s*meta:[^=]+=\\s*(.*?)\\s*-->$', 1) END AS text,
+        CASE kind WHEN 'fence' THEN CASE WHEN starts_with(lower(info), 'diagram') THEN coalesce(nullif({_strip("substr(info, 8)")}, ''), 'Diagram') END
+            WHEN 'callout' THEN CASE WHEN lower(named) IN ('key', 'warn', 'info', 'tip') THEN lower(named) ELSE 'info' END || ': ' || {_strip("regexp_replace(s[1], '^>[^]]*]', '')")} WHEN 'meta' THEN regexp_extract(s[1], '^<!--\\s*meta:\\s*([^=]+?)\\s*=', 1) END AS title,
+        CASE WHEN kind IN ('bullets', 'numbers') THEN array_to_string(list_transform(s, lambda x: regexp_replace(x, '^([*-]|[0-9]+[.)])\\s+', '')), chr(10)) END AS items,
+        CASE kind WHEN 'table' THEN array_to_string(head, '|') END AS headers,
+        CASE kind WHEN 'table' THEN array_to_string(list_transform(s[3:], lambda x: array_to_string((list_transform(string_split(trim(x, '|'), '|'), lambda c: {_strip("c")}) || list_transform(head, lambda c: ''))[:length(head)], '|')), chr(10)) END AS rows
+        FROM (SELECT *, {_strip("substr(s[1], 4)")} AS info, length(regexp_extract(s[1], '^#+')) AS level, list_transform(string_split(trim(s[1], '|'), '|'), lambda c: {_strip("c")}) AS head FROM blocks)""",
     "cache_misses": f"WITH {_CORPUS} SELECT DISTINCT doc_id, page FROM corpus c WHERE NOT EXISTS (SELECT 1 FROM page_transcripts p WHERE p.doc_id = c.doc_id AND p.page = c.page)",
 }

@@ -39,13 +39,34 @@ def test_manifests(spark, tmp_path):
     assert ingest.manifest_chunks(back).first().text == "é"
 
 
-def test_blocks():
+def told(spark, *texts):
+    df = blocks.markdown_blocks(spark.createDataFrame(list(enumerate(texts)), "key long, md string"), "key", "md")
+    return df, [tuple(r)[2:] for r in df.orderBy("key", "pos").collect()]
+
+
+def test_blocks(spark):
     md = "# T\n<!-- meta: by = me -->\npara one\ngoes on\n\n## Sub\n- a\n* b\n1. x\n2) y\n> [!WARN] Mind\n> this\n| a | b |\n|---|---|\n| 1 |\n---\n```diagram Flow\nx\n```\n<!-- pagebreak -->\n```py\ncode"
-    assert blocks.blocks(md) == [
-        ("title", "T"), ("meta", ("by", "me")), ("p", "para one goes on"), ("h2", "Sub"), ("bullets", ["a", "b"]), ("numbers", ["x", "y"]), ("callout", {"kind": "warn", "title": "Mind", "text": "this"}),
-        ("table", {"headers": ["a", "b"], "rows": [["1", ""]]}), ("rule", None), ("diagram", {"caption": "Flow", "text": "x"}), ("pagebreak", None), ("code", "code"),
+    df, got = told(spark, md)
+    n = None
+    assert got == [
+        ("title", "T", n, n, n, n), ("meta", "me", "by", n, n, n), ("p", "para one goes on", n, n, n, n), ("h2", "Sub", n, n, n, n), ("bullets", n, n, ["a", "b"], n, n), ("numbers", n, n, ["x", "y"], n, n),
+        ("callout", "this", "warn: Mind", n, n, n), ("table", n, n, n, ["a", "b"], [["1", ""]]), ("rule", n, n, n, n, n), ("diagram", "x", "Flow", n, n, n), ("pagebreak", n, n, n, n, n), ("code", "code", n, n, n, n),
+    ]
+    whole = [tuple(r)[1:6] for r in blocks.wrapped(df, "S").orderBy("pos").collect()]
+    assert whole[:3] == [(0, "cover", "T", "S", ["by: me"]), (1, "pagebreak", n, n, n), (2, "title", "T", n, n)] and len(whole) == len(got) + 2
+    assert told(spark, None, "")[1] == []
+
+
+def test_blocks_where_rules_meet(spark):
+    n = None
+    md = "one\n<!-- note -->\ntwo\n<!-- meta: a = b = c -->\nthree\n> quoted\n| no table |\nfour\n# Late\n### Deep\n##### Deeper\n- a\n<!-- x -->\n- b\n> before\n> [!other] T\n>> in\n> [!key] still in\n|a|\n|b|c|\n|:-|-:|\n|1|2|3|\n```\n# not a heading\n\n> nor this\n```\n```\n```\nlast"
+    assert told(spark, md)[1] == [
+        ("meta", "b = c", "a", n, n, n), ("p", "one two three > quoted | no table | four", n, n, n, n), ("h1", "Late", n, n, n, n), ("h3", "Deep", n, n, n, n), ("h3", "Deeper", n, n, n, n),
+        ("bullets", n, n, ["a"], n, n), ("bullets", n, n, ["b"], n, n), ("p", "> before", n, n, n, n), ("callout", "in [!key] still in", "info: T", n, n, n), ("p", "|a|", n, n, n, n),
+        ("table", n, n, n, ["b", "c"], [["1", "2"]]), ("code", "# not a heading\n\n> nor this", n, n, n, n), ("code", "", n, n, n, n), ("p", "last", n, n, n, n),
     ]
-    assert blocks.blocks(None) == []
+    assert told(spark, "\n\n".join(f"# {k}" for k in range(2)))[1] == [("title", "0", n, n, n, n), ("h1", "1", n, n, n, n)]
+    assert [r[0] for r in told(spark, "a\n---\nb\r\n***\n- - -\n-x\n1.y\n```diagram\nd")[1]] == ["p", "rule", "p", "rule", "bullets", "p", "diagram"]
 
 
 def test_providers(spark):
