@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folivane.functions import text as T
-from folivane.operators import answer, blocks, chunking, evaluate, index, ingest, search
+from folivane.operators import answer, blocks, chunking, collection, evaluate, index, ingest, search
+from folivane.plans.sizing import maybe_broadcast
+from folivane.plans.storage import cut
 from folivane.settings import DEFAULT
 from folivane.sources.tables import table
 
@@ -24,7 +26,13 @@ STEP = 100
 
 def _corpus(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "chunks", "id", "doc_id", "page", "kind", "text", "heading", "image_path", "ingested_at")
-    return rows.groupBy("id").agg(F.min_by(F.struct("doc_id", "page", "kind", "text", "heading", "image_path"), "ingested_at").alias("c")).select("id", "c.*")
+    return ingest.earliest(rows, "id", "ingested_at").drop("ingested_at")
+
+
+def _snapshot(spark: SparkSession, base: str) -> collection.Snapshot:
+    """The collection of the test tables: built by the first query that needs it, read by the others."""
+    version = collection.source_version(spark, table(spark, base, "chunks"), table(spark, base, "embeddings"))
+    return collection.snapshot(spark, version, lambda: _corpus(spark, base), lambda chunks: _vectors(spark, base, chunks))
 
 
 def _golden(spark: SparkSession, base: str) -> DataFrame:
@@ -67,8 +75,8 @@ def _stated_vectors(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, base: str, asked: DataFrame, top_text: int = 0, top_images: int = 0) -> DataFrame:
-    corpus = _corpus(spark, base)
-    return search.hybrid(index.keyword_index(corpus), _vectors(spark, base, corpus), asked, corpus, top_text, top_images)
+    kept = _snapshot(spark, base)
+    return search.hybrid(kept.index, kept.vectors, asked, kept.chunks, top_text, top_images)
 
 
 def tokenize_stats(spark: SparkSession, base: str) -> DataFrame:
@@ -76,27 +84,34 @@ def tokenize_stats(spark: SparkSession, base: str) -> DataFrame:
     return toks.groupBy("kind").agg(F.count("*").alias("chunks"), F.sum(F.size("t")).alias("tokens"), F.round(F.avg(F.size("t")), 6).alias("avg_tokens"))
 
 
+def build_index(spark: SparkSession, base: str) -> DataFrame:
+    """What the collection's keyword index holds, once it is built."""
+    kept = _snapshot(spark, base).index
+    sums = kept.postings.agg(F.count("*").alias("postings"), F.sum("tf").cast("long").alias("words"))
+    return kept.totals.select("n", F.round("avgdl", 6).alias("avgdl")).join(F.broadcast(sums)).join(F.broadcast(kept.vocab.agg(F.count("*").alias("vocabulary"))))  # one row each
+
+
 def bm25_vocab(spark: SparkSession, base: str) -> DataFrame:
-    return index.keyword_index(_corpus(spark, base)).vocab.select("tok", "df", F.round("idf", 6).alias("idf"))
+    return _snapshot(spark, base).index.vocab.select("tok", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, base: str) -> DataFrame:
-    return search.bm25(index.keyword_index(_corpus(spark, base)), _question(spark), DEFAULT.candidates).select("id", "score", "rank")
+    return search.bm25(_snapshot(spark, base).index, _question(spark), DEFAULT.candidates).select("id", "score", "rank")
 
 
 def dense_topk(spark: SparkSession, base: str) -> DataFrame:
-    vectors = _vectors(spark, base, _corpus(spark, base))
+    vectors = _snapshot(spark, base).vectors
     return search.dense(vectors, _asked(spark, base, _question(spark)), DEFAULT.candidates).select("id", "score", "rank")
 
 
 def dense_topk_kind(spark: SparkSession, base: str) -> DataFrame:
-    vectors = _vectors(spark, base, _corpus(spark, base))
+    vectors = _snapshot(spark, base).vectors
     return search.dense(vectors, _asked(spark, base, _question(spark)), DEFAULT.candidates, kind="image").select("id", "score", "rank")
 
 
 def rrf_fusion(spark: SparkSession, base: str) -> DataFrame:
-    corpus = _corpus(spark, base)
-    lists = {"dense": search.dense(_vectors(spark, base, corpus), _asked(spark, base, _question(spark)), DEFAULT.candidates), "bm25": search.bm25(index.keyword_index(corpus), _question(spark), DEFAULT.candidates)}
+    kept = _snapshot(spark, base)
+    lists = {"dense": search.dense(kept.vectors, _asked(spark, base, _question(spark)), DEFAULT.candidates), "bm25": search.bm25(kept.index, _question(spark), DEFAULT.candidates)}
     return search.fuse(lists).select("id", F.round("score", 6).alias("score"), F.array_join("found_by", "+").alias("found_by"), "dense_rank", "bm25_rank")
 
 
@@ -106,22 +121,22 @@ def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
 
 
 def bm25_topk_asked(spark: SparkSession, base: str) -> DataFrame:
-    return search.bm25(index.keyword_index(_corpus(spark, base)), _stated(spark, base), DEFAULT.candidates).select("qid", "id", "score", "rank")
+    return search.bm25(_snapshot(spark, base).index, _stated(spark, base), DEFAULT.candidates).select("qid", "id", "score", "rank")
 
 
 def dense_topk_asked(spark: SparkSession, base: str) -> DataFrame:
-    vectors = _vectors(spark, base, _corpus(spark, base))
+    vectors = _snapshot(spark, base).vectors
     return search.dense(vectors, _stated_vectors(spark, base), DEFAULT.candidates).select("qid", "id", "score", "rank")
 
 
 def dense_topk_kind_asked(spark: SparkSession, base: str) -> DataFrame:
-    vectors = _vectors(spark, base, _corpus(spark, base))
+    vectors = _snapshot(spark, base).vectors
     return search.dense(vectors, _stated_vectors(spark, base), DEFAULT.candidates, kind="image").select("qid", "id", "score", "rank")
 
 
 def rrf_fusion_asked(spark: SparkSession, base: str) -> DataFrame:
-    corpus, asked = _corpus(spark, base), _stated(spark, base)
-    lists = {"dense": search.dense(_vectors(spark, base, corpus), _asked(spark, base, asked), DEFAULT.candidates), "bm25": search.bm25(index.keyword_index(corpus), asked, DEFAULT.candidates)}
+    kept, asked = _snapshot(spark, base), _stated(spark, base)
+    lists = {"dense": search.dense(kept.vectors, _asked(spark, base, asked), DEFAULT.candidates), "bm25": search.bm25(kept.index, asked, DEFAULT.candidates)}
     return search.fuse(lists).select("qid", "id", F.round("score", 6).alias("score"), F.array_join("found_by", "+").alias("found_by"), "dense_rank", "bm25_rank")
 
 
@@ -192,15 +207,21 @@ def page_profile(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, base: str, mode: str) -> tuple[DataFrame, DataFrame]:
-    corpus, golden = _corpus(spark, base), _golden(spark, base)
+    kept, golden = _snapshot(spark, base), _golden(spark, base)
     asked = _asked(spark, base, golden)
     if mode == "bm25":
-        hits = search.bm25(index.keyword_index(corpus), golden, 2 * TOP)
+        hits = search.bm25(kept.index, golden, 2 * TOP)
     elif mode == "dense":
-        hits = search.dense(_vectors(spark, base, corpus), asked, 2 * TOP)
+        hits = search.dense(kept.vectors, asked, 2 * TOP)
     else:
         hits = evaluate.texts_then_images(_hits(spark, base, asked, TOP, TOP))
-    return hits.select("qid", "id", "rank").join(corpus.select("id", "page", "doc_id"), "id"), golden
+    return _with_chunks(hits.select("qid", "id", "rank"), kept.chunks.select("id", "page", "doc_id")), golden
+
+
+def _with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The hits with the fields of their chunks, of which no others are read."""
+    hits = cut(hits)
+    return maybe_broadcast(hits, 160).join(collection.fetch(chunks, hits, "id"), "id")
 
 
 def eval_hit_mrr(spark: SparkSession, base: str) -> DataFrame:
@@ -224,9 +245,8 @@ def golden_sample(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _asked_hits(spark: SparkSession, base: str) -> DataFrame:
-    corpus = _corpus(spark, base)
     hits = _hits(spark, base, _asked(spark, base, _question(spark)))
-    return hits.drop("kind").join(corpus, "id").withColumn("question", F.lit(QUESTION))
+    return _with_chunks(hits.drop("kind"), _snapshot(spark, base).chunks).withColumn("question", F.lit(QUESTION))
 
 
 def build_prompt(spark: SparkSession, base: str) -> DataFrame:
@@ -239,12 +259,13 @@ def diagram_context(spark: SparkSession, base: str) -> DataFrame:
 
 def _request_hits(spark: SparkSession, base: str) -> DataFrame:
     """The hits of each stated request, as many of each kind as it asks for; a request without hits has a null kind."""
-    corpus, asked = _corpus(spark, base), _requests(spark, base).select("qid", "question", "top_text", "top_images")
+    asked = _requests(spark, base).select("qid", "question", "top_text", "top_images")
     every = 2 * DEFAULT.candidates
     hits = _hits(spark, base, _asked(spark, base, asked), every, every).join(asked.select("qid", "top_text", "top_images"), "qid")
     own = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(default))
     most = F.when(F.col("kind") == "text", own("top_text", DEFAULT.top_text)).otherwise(own("top_images", DEFAULT.top_images))
-    hits = hits.where(F.col("kind_rank") <= most).drop("kind", "top_text", "top_images").join(corpus, "id")
+    hits = hits.where(F.col("kind_rank") <= most).drop("kind", "top_text", "top_images")
+    hits = _with_chunks(hits, _snapshot(spark, base).chunks)
     return asked.select("qid", "question").join(hits, "qid", "left")
 
 
@@ -317,7 +338,7 @@ def markdown_blocks(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_stats, bm25_vocab, bm25_topk, dense_topk, dense_topk_kind, rrf_fusion, hybrid_search, page_route, heading_sections, chunk_windows, transcript_chunks, figure_texts, dedup_first_seen, slug, point_id,
+        tokenize_stats, build_index, bm25_vocab, bm25_topk, dense_topk, dense_topk_kind, rrf_fusion, hybrid_search, page_route, heading_sections, chunk_windows, transcript_chunks, figure_texts, dedup_first_seen, slug, point_id,
         kind_counts, doc_catalog, document_totals, page_profile, eval_hit_mrr, eval_strict, eval_compare, golden_sample, build_prompt, diagram_context, shaped_answers, answer_pages, draw_intent, dot_check, retry_hint,
         bm25_topk_asked, dense_topk_asked, dense_topk_kind_asked, rrf_fusion_asked, hybrid_search_asked, build_prompt_asked, diagram_context_asked,
         embedding_texts, image_urls, upsert_points, cache_misses, markdown_blocks,
@@ -419,6 +440,7 @@ told AS (SELECT h.qid, h.kind_rank, c.* FROM hits h JOIN corpus c USING (id) JOI
 
 SQL = {
     "tokenize_stats": f"WITH {_CORPUS}, {_TOKS} SELECT kind, count(*) AS chunks, sum(length(t))::BIGINT AS tokens, round(avg(length(t)), 6) AS avg_tokens FROM toks GROUP BY kind",
+    "build_index": f"WITH {_INDEX} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM postings) AS postings, (SELECT sum(tf)::BIGINT FROM postings) AS words, (SELECT count(*) FROM vocab) AS vocabulary FROM totals",
     "bm25_vocab": f"WITH {_INDEX} SELECT tok, df, round(idf, 6) AS idf FROM vocab",
     "bm25_topk": f"WITH {_bm25(_ONE, 40)} SELECT id, score, rank::INT AS rank FROM sparse",
     "dense_topk": f"WITH {_CORPUS}, {_ONE}, {_dense(40)} SELECT id, score, rank::INT AS rank FROM dense",

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from folivane.functions.text import strip, text_or_empty
+from folivane.operators.asking import ask
+from folivane.providers import Chain
+from folivane.settings import DEFAULT, GOLDEN, Settings
 
 
 def first_match(results: DataFrame, golden: DataFrame, strict: bool = False) -> DataFrame:
@@ -47,3 +52,31 @@ def stratified_sample(chunks: DataFrame, wanted: int, order: Column) -> DataFram
         part = chunks.where(F.col("kind") == kind).orderBy(order, "id").limit(share)
         picked = part if picked is None else picked.unionByName(part)
     return picked
+
+
+WRITE = 'Write one question in your own words that this excerpt answers. Reply as JSON: {"question": "..."}.\n\n'
+
+
+def question_prompts(sample: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(qid, prompt) of sampled chunks (qid, page, heading, text)."""
+    heading = F.when(text_or_empty(F.col("heading")) == "", "(none)").otherwise(F.col("heading"))
+    body = F.substring(text_or_empty(F.col("text")), 1, settings.question_chars)
+    return sample.select("qid", F.concat(F.lit(f'{WRITE}Excerpt (page '), "page", F.lit(', section "'), heading, F.lit('"):\n'), body).alias("prompt"))
+
+
+def golden_questions(sample: DataFrame, chain: Chain, settings: Settings = DEFAULT) -> DataFrame:
+    """(question, expect_page, expect_chunk_id, expect_kind, doc_id): a question that a model writes about each of ``sample``
+    (chunks). Chunks for which it fails, or gives a blank one, have none."""
+    told = sample.withColumn("qid", F.xxhash64("id"))
+    said = ask(question_prompts(told, settings), chain).select("qid", strip(text_or_empty(F.get_json_object("said", "$.question"))).alias("question")).where("question <> ''")
+    return told.join(said, "qid").select("question", F.col("page").alias("expect_page"), F.col("id").alias("expect_chunk_id"), F.col("kind").alias("expect_kind"), "doc_id")
+
+
+def write_golden(golden: DataFrame, path: str) -> None:
+    golden.write.mode("overwrite").json(path)
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """The held-out questions of JSON lines; blank lines are none."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    return lines.select(F.from_json("value", GOLDEN).alias("g")).select("g.*")

@@ -37,15 +37,16 @@ def keyword_index(chunks: DataFrame, settings: Settings = DEFAULT) -> KeywordInd
     return KeywordIndex(postings, told.join(F.broadcast(mean)).select("tok", "df", idf.alias("idf")), totals)
 
 
-def write_index(index: KeywordIndex, path: str, version: str) -> None:
-    """A snapshot of the index under its version; the version is of the content, so equal counts don't hide a change."""
-    index.postings.repartition("tok").write.mode("overwrite").parquet(f"{path}/{version}/postings")
-    index.vocab.write.mode("overwrite").parquet(f"{path}/{version}/vocab")
-    index.totals.write.mode("overwrite").parquet(f"{path}/{version}/totals")
+def write_index(index: KeywordIndex, path: str) -> None:
+    """The index as tables below ``path``. Postings are in ranges of words and ids, so the list of a frequent word is spread
+    over several files, and sorted, so a reader of few words skips the rest."""
+    index.postings.repartitionByRange("tok", "id").sortWithinPartitions("tok", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.vocab.repartitionByRange("tok").sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{path}/vocab")
+    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def read_index(spark: SparkSession, path: str, version: str) -> KeywordIndex:
-    return KeywordIndex(*(spark.read.parquet(f"{path}/{version}/{n}") for n in ("postings", "vocab", "totals")))
+def read_index(spark: SparkSession, path: str) -> KeywordIndex:
+    return KeywordIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "vocab", "totals")))
 
 
 def content_version(chunks: DataFrame) -> str:

@@ -8,13 +8,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType
 
-from folivane.functions.text import figure_text, split_words, strip, text_or_empty
+from folivane.functions.text import figure_text, route, split_words, strip, text_or_empty
+from folivane.plans.sizing import maybe_broadcast
+from folivane.plans.storage import cut, exists
 from folivane.settings import DEFAULT, MANIFEST, Settings
 
 
-def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, content) of a folder's PDF files."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder).select("path", "length", "content")
+def pdf_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, length, content) of the PDF files that are named or in the folders named; paths that aren't there are skipped.
+    Whether a file is one is told by its name."""
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "path string, length long, content binary")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(there).select("path", "length", "content")
+
+
+def markdown_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, text) of markdown files, each whole."""
+    return spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def spans_to_markdown(spans: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -88,8 +99,26 @@ def transcribed_pages(pages: DataFrame) -> DataFrame:
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row of each key, the last by ``order``."""
+    return _one(rows, key, order, F.max_by)
+
+
+def earliest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row of each key, the first by ``order``."""
+    return _one(rows, key, order, F.min_by)
+
+
+def _one(rows: DataFrame, key: str, order: str, pick) -> DataFrame:
+    """Keys alone tell which occur again; only the rows of those are moved."""
     others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("r")).select(key, "r.*")
+    again = maybe_broadcast(cut(rows.groupBy(key).count().where("count > 1").select(key)), 80)
+    several = rows.join(again, key, "left_semi").groupBy(key).agg(pick(F.struct(*others), order).alias("r")).select(key, "r.*")
+    return rows.join(again, key, "left_anti").select(key, *others).unionByName(several)
+
+
+def page_totals(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(doc_id, pages, text_pages, vision_pages) of ``pages`` (doc_id, text), by their routes."""
+    kind = route(F.col("text"), settings.text_page_min_chars)
+    return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(kind == "text").alias("text_pages"), F.count_if(kind == "vision").alias("vision_pages"))
 
 
 def totals(chunks: DataFrame) -> DataFrame:
@@ -121,15 +150,20 @@ def to_manifests(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def write_blobs(rows: DataFrame) -> DataFrame:
-    """(path, bytes): writes ``rows`` (path, content) to the paths, which all executors must share; run by an action."""
+    """(path, bytes): writes ``rows`` (path, content) to the paths, run by an action. Paths may name any file system that
+    pyarrow knows, as hdfs:// or s3://; those without a scheme are in a folder that all executors share."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pathlib import Path
+        from os.path import abspath
+
+        from pyarrow.fs import FileSystem
 
         for part in parts:
             for path, content in zip(part["path"], part["content"]):
-                Path(path).parent.mkdir(parents=True, exist_ok=True)
-                Path(path).write_bytes(content)
+                files, at = FileSystem.from_uri(path if "://" in path else "file://" + abspath(path))
+                files.create_dir(at.rpartition("/")[0], recursive=True)
+                with files.open_output_stream(at) as out:
+                    out.write(content)
             yield pd.DataFrame({"path": part["path"], "bytes": part["content"].map(len)})
 
     return rows.select("path", "content").mapInPandas(run, "path string, bytes long")

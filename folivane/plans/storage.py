@@ -14,6 +14,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     a real cluster without the setting is refused, since a machine-local folder would lose data with its machine.
     """
     sc = spark.sparkContext
+    # Checkpoints are removed once nothing refers to them.
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         if not sc.getCheckpointDir():
@@ -26,6 +28,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and kept in the shared folder."""
     checkpoint_dir(df.sparkSession)

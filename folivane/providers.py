@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
 import math
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -11,8 +13,9 @@ from hashlib import blake2b
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from folivane.plans.storage import exists
 from folivane.settings import DEFAULT, Settings
 
 
@@ -47,6 +50,10 @@ class Chain:
                 failures.append(f"{p.name}: {e}")
         raise AllFailed("; ".join(failures) or "no provider fits")
 
+    @staticmethod
+    def dump(said: dict) -> str:
+        return json.dumps(said, ensure_ascii=False)
+
     def ask_json(self, prompt: str, images: Sequence[bytes] | None = None, needs_vision: bool = False) -> tuple[dict, str]:
         return self.ask(prompt, images, needs_vision, json.loads)  # type: ignore[return-value]
 
@@ -75,10 +82,21 @@ def hashed_vector(text: str, dim: int) -> list[float]:
     return [x / n for x in v]
 
 
-def embed(rows: DataFrame, text: str, dim: int, batch: int = 16, pause: float = 0.0, attempts: int = 6, model: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
-    """``rows`` with a vector of each text. A failing batch is tried again, never with another model, since vectors of
-    different models can't be compared."""
-    model = model or (lambda texts: [hashed_vector(t, dim) for t in texts])
+def wait_seconds(failure: object, fallback: float) -> float:
+    """How long to wait after a failure: as long as the service says and two seconds more, but 120 at most, or the fallback."""
+    said = re.search(r"retry in ([0-9.]+)\s*s", str(failure), re.I)
+    return min(float(said.group(1)) + 2.0, 120.0) if said else fallback
+
+
+#: A model of texts: their vectors for a task, 'document' or 'query', which a model may embed differently.
+Model = Callable[[list[str], str], list[list[float]]]
+
+
+def embed(rows: DataFrame, text: str, dim: int, batch: int = 16, pause: float = 0.0, attempts: int = 6, model: Model | None = None, task: str = "document", sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``rows`` with a vector of length 1 of each text. A failing batch is tried again, after as long as the service says or
+    1, 2, 4, ... seconds, never with another model, since vectors of different models can't be compared. ``pause`` seconds
+    pass between batches."""
+    model = model or (lambda texts, task: [hashed_vector(t, dim) for t in texts])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -87,17 +105,17 @@ def embed(rows: DataFrame, text: str, dim: int, batch: int = 16, pause: float =
             for i in range(0, len(texts), batch):
                 for n in range(attempts):
                     try:
-                        got = model(texts[i : i + batch])
+                        got = model(texts[i : i + batch], task)
                         break
-                    except Exception:
+                    except Exception as e:
                         if n == attempts - 1:
                             raise
-                        time.sleep(pause * 2**n)
+                        sleep(wait_seconds(e, 2.0**n))
                 if any(len(v) != dim for v in got):
                     raise ValueError(f"vectors of other than {dim} dimensions")
-                vectors += got
+                vectors += [[x / (math.sqrt(sum(y * y for y in v)) or 1.0) for x in v] for v in got]
                 if pause:
-                    time.sleep(pause)
+                    sleep(pause)
             yield part.assign(vector=vectors)
 
     schema = rows.withColumn("vector", F.array(F.lit(0.0))).schema
@@ -124,3 +142,61 @@ def ask_missing(wanted: DataFrame, cache: DataFrame, keys: list[str], ask: Calla
 
     new = missing(wanted, cache, keys).mapInPandas(run, wanted.select(*keys).withColumn("result", F.lit("")).schema)
     return cache.select(*keys, "result").unionByName(new)
+
+
+def answers(wanted: DataFrame, cache: DataFrame, keys: list[str], chain: Chain, pause: float = 0.0) -> DataFrame:
+    """The cache with what a provider that sees says of every image of ``wanted`` (keys, prompt, image) that isn't in it,
+    ``pause`` seconds apart. An image that no provider can be asked about has a null result and isn't cached."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            said = []
+            for prompt, image in zip(part["prompt"], part["image"]):
+                try:
+                    said.append(chain.dump(chain.ask_json(prompt, [bytes(image)], needs_vision=True)[0]))
+                except AllFailed:
+                    said.append(None)
+                if pause:
+                    time.sleep(pause)
+            yield part[keys].assign(result=said)
+
+    new = missing(wanted, cache, keys).mapInPandas(run, wanted.select(*keys).withColumn("result", F.lit(None).cast("string")).schema)
+    return cache.select(*keys, "result").unionByName(new)
+
+
+def keep_answers(spark: SparkSession, wanted: DataFrame, path: str, keys: list[str], chain: Chain, blocks: int = 1, pause: float = 0.0) -> DataFrame:
+    """``answers`` for a cache of parquet files at ``path``, written after each of ``blocks`` parts of ``wanted``, so that a
+    job that ends early asks for nothing twice."""
+    schema = wanted.select(*keys).withColumn("result", F.lit(None).cast("string")).schema
+    for k in range(blocks):
+        part = wanted.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == k)
+        cache = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+        new = missing(part, cache, keys)
+        answers(new, spark.createDataFrame([], schema), keys, chain, pause).where("result IS NOT NULL").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def load_scaled(path: str, most: int = DEFAULT.answer_image_px) -> bytes:
+    """A picture as PNG, no side longer than ``most``; as it is where no imaging library is there."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    try:
+        from PIL import Image
+    except ImportError:
+        return raw
+    picture = Image.open(io.BytesIO(raw)).convert("RGB")
+    picture.thumbnail((most, most))
+    out = io.BytesIO()
+    picture.save(out, format="PNG")
+    return out.getvalue()
+
+
+def self_test(chain: Chain) -> dict[str, str]:
+    """Each provider's name with 'ok' or why it doesn't answer."""
+    out = {}
+    for p in chain.providers:
+        try:
+            out[p.name] = "ok" if p.ask("Reply with one word.") else "empty reply"
+        except Exception as e:  # noqa: BLE001 - the failure is the result
+            out[p.name] = str(e)
+    return out

@@ -9,6 +9,8 @@ CHUNK = "id string, doc_id string, page int, kind string, text string, heading s
 FIGURE = "struct<caption:string,description:string,kind:string>"
 TRANSCRIPT = f"markdown string, page_summary string, figures array<{FIGURE}>"
 ANSWER = "answer string, used_image_ids array<string>, used_pages array<int>"
+FIGURE_DESCRIPTION = "caption string, description string, extracted_text string, kind string"
+DIAGRAM = "title string, dot string, explanation string"
 MANIFEST = f"doc_id string, source string, pages int, text_pages int, vision_pages int, images int, chunk_count int, chunks array<struct<id:string,doc_id:string,page:int,kind:string,text:string,heading:string,image_path:string>>"
 GOLDEN = "question string, expect_page int, expect_chunk_id string, expect_kind string, doc_id string"
 
@@ -35,6 +37,8 @@ class Settings:
     rrf_k: int = 60
     prompt_chars: int = 1800
     context_chars: int = 1500
+    question_chars: int = 2000
+    answer_image_px: int = 1280
     diagram_chunks: int = 6
     bm25_k1: float = 1.5
     bm25_b: float = 0.75

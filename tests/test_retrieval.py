@@ -63,8 +63,8 @@ def test_upsert_and_version(spark):
 
 def test_index_snapshot(spark, tmp_path):
     ix = index.keyword_index(chunks(spark, ["pump seal", "seal"]))
-    index.write_index(ix, str(tmp_path), "v1")
-    back = index.read_index(spark, str(tmp_path), "v1")
+    index.write_index(ix, str(tmp_path))
+    back = index.read_index(spark, str(tmp_path))
     assert sorted(map(tuple, back.vocab.collect())) == sorted(map(tuple, ix.vocab.collect()))
 
 
