@@ -9,12 +9,15 @@ The searches of one example question are kept as their SQL has them. Those named
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folivane.functions import text as T
-from folivane.operators import answer, blocks, chunking, collection, evaluate, index, ingest, search
+from folivane.operators import answer, asking, blocks, chunking, collection, evaluate, index, ingest, pages, search
 from folivane.plans.sizing import maybe_broadcast
 from folivane.plans.storage import cut
+from folivane.providers import Chain, Scripted, missing
 from folivane.settings import DEFAULT
 from folivane.sources.tables import table
 
@@ -146,8 +149,8 @@ def hybrid_search_asked(spark: SparkSession, base: str) -> DataFrame:
 
 
 def page_route(spark: SparkSession, base: str) -> DataFrame:
-    pages = ingest.latest(table(spark, base, "page_transcripts", "page_key", "markdown", "transcribed_at"), "page_key", "transcribed_at")
-    return pages.select("page_key", T.route(F.col("markdown")).alias("route"))
+    given = ingest.latest(table(spark, base, "page_transcripts", "page_key", "markdown", "transcribed_at"), "page_key", "transcribed_at")
+    return given.select("page_key", T.route(F.col("markdown")).alias("route"))
 
 
 def _pages(spark: SparkSession, base: str) -> DataFrame:
@@ -165,8 +168,8 @@ def chunk_windows(spark: SparkSession, base: str) -> DataFrame:
 
 
 def transcript_chunks(spark: SparkSession, base: str) -> DataFrame:
-    pages = _pages(spark, base)
-    both = chunking.page_chunks(pages).unionByName(ingest.transcribed_pages(pages))
+    given = _pages(spark, base)
+    both = chunking.page_chunks(given).unionByName(ingest.transcribed_pages(given))
     return both.select("id", "kind", F.md5("text").alias("text_md5"), "heading")
 
 
@@ -202,8 +205,7 @@ def document_totals(spark: SparkSession, base: str) -> DataFrame:
 
 
 def page_profile(spark: SparkSession, base: str) -> DataFrame:
-    pages = _pages(spark, base).select("doc_id", F.col("markdown").alias("text"), F.coalesce(F.size("figures"), F.lit(0)).alias("images"))
-    return ingest.profile(pages)
+    return ingest.profile(_pages(spark, base).select("doc_id", F.col("markdown").alias("text"), F.coalesce(F.size("figures"), F.lit(0)).alias("images")))
 
 
 def _results(spark: SparkSession, base: str, mode: str) -> tuple[DataFrame, DataFrame]:
@@ -283,6 +285,62 @@ def shaped_answers(spark: SparkSession, base: str) -> DataFrame:
     return answer.shaped(said, _request_hits(spark, base))
 
 
+def _stand_in(prompt: str) -> str:
+    """What the stand-in for a model says: it depends on the kind and the length of the prompt only."""
+    n = len(prompt)
+    if prompt.startswith(asking.INTENT):
+        return json.dumps({"intent": "draw" if n % 2 else "find"})
+    if prompt.startswith(asking.DRAW):
+        return json.dumps({"dot": f'```dot\ndigraph G {{ "{n}" }}\n```', "explanation": "as asked"})
+    if prompt.startswith(evaluate.WRITE):
+        return json.dumps({"question": f" What do {n} characters say? " if n % 7 else " "})
+    return json.dumps({"answer": f" {n} characters ", "used_image_ids": ["image-1 "], "used_pages": None})
+
+
+def _chain() -> Chain:
+    return Chain([Scripted("silent", answer=lambda prompt: ""), Scripted("stand-in", answer=_stand_in)])
+
+
+def _drawn(spark: SparkSession, base: str) -> DataFrame:
+    """The stated requests, of which every other one asks for a drawing."""
+    wants = F.floor(F.col("qid") / STEP) % 2 == 0
+    return _stated(spark, base).withColumn("question", F.when(wants, F.concat(F.lit("Draw a diagram: "), "question")).otherwise(F.col("question")))
+
+
+def answer_questions(spark: SparkSession, base: str) -> DataFrame:
+    """The stated requests answered end to end, drawings included, by a stand-in for the model."""
+    requests = _drawn(spark, base)
+    hits = _with_chunks(_hits(spark, base, _asked(spark, base, requests)).drop("kind"), _snapshot(spark, base).chunks).withColumn("question", F.lit(None).cast("string"))
+    out = asking.answer_questions(requests, hits, _chain())
+    pages_ = lambda c: F.array_join(c, ",")
+    shown = F.array_join(F.transform("images", lambda x: F.concat_ws(" ", x["label"], x["id"], x["page"], x["cited_by_model"].cast("string"))), ";")
+    sources = F.array_join(F.transform("text_sources", lambda x: F.concat_ws(" ", x["page"], F.array_join(x["found_by"], "+"))), ";")
+    return out.select("qid", "answer", "model", "intent", "saw_images", pages_(F.col("used_pages")).alias("used_pages"), shown.alias("images"), sources.alias("text_sources"), "diagram.source", pages_(F.col("diagram.pages_used")).alias("pages_drawn"))
+
+
+def golden_questions(spark: SparkSession, base: str) -> DataFrame:
+    sample = evaluate.stratified_sample(_snapshot(spark, base).chunks, 40, F.md5(F.concat("id", F.lit("#7"))))
+    return evaluate.golden_questions(sample, _chain())
+
+
+def page_totals(spark: SparkSession, base: str) -> DataFrame:
+    return ingest.page_totals(_pages(spark, base).select("doc_id", F.col("markdown").alias("text")))
+
+
+def routed_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """Pages of even number have a text layer, whose lines with # are set larger; the transcripts of the others are cached."""
+    given = _pages(spark, base)
+    lines = F.split(F.coalesce("markdown", F.lit("")), "\n", -1)
+    size = lambda x: F.when(F.startswith(F.trim(x), F.lit("#")), 14.0).otherwise(10.0)
+    span = lambda x, n: F.struct(F.lit(0).alias("block"), n.alias("line"), F.lit(0).alias("span"), size(x).alias("size"), x.alias("text"))
+    none = F.array().cast("array<struct<idx:int,width:int,height:int,pixels:binary,png:binary>>")
+    read = given.select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("source"), "page", F.when(F.col("page") % 2 == 0, F.col("markdown")).alias("text"), F.transform(lines, span).alias("spans"), F.lit(b"").alias("render"), none.alias("images"))
+    kept = F.to_json(F.struct("markdown", "page_summary", "figures"))
+    cache = given.select("doc_id", F.concat(F.lit("page:"), "page").alias("cache_key"), kept.alias("result"))
+    chunks, _ = pages.chunk_documents(read, cache, None)
+    return chunks.select("id", "kind", F.md5("text").alias("text_md5"), "heading", "image_path")
+
+
 def answer_pages(spark: SparkSession, base: str) -> DataFrame:
     log = ingest.latest(table(spark, base, "query_log", "request_id", "used_pages", "used_image_ids", "received_at"), "request_id", "received_at")
     return log.select("request_id", F.array_join(answer.used_pages(F.col("used_pages"), F.lit(None).cast("array<int>")), ",").alias("pages"), F.array_join(answer.cited_labels(F.col("used_image_ids")), ",").alias("cited"))
@@ -325,8 +383,8 @@ def upsert_points(spark: SparkSession, base: str) -> DataFrame:
 
 def cache_misses(spark: SparkSession, base: str) -> DataFrame:
     """Pages with chunks but without a transcript."""
-    pages = _corpus(spark, base).select("doc_id", "page").distinct()
-    return pages.join(table(spark, base, "page_transcripts", "doc_id", "page"), ["doc_id", "page"], "left_anti")
+    wanted = _snapshot(spark, base).chunks.select("doc_id", "page").distinct()
+    return missing(wanted, table(spark, base, "page_transcripts", "doc_id", "page").withColumn("result", F.lit("")), ["doc_id", "page"])
 
 
 def markdown_blocks(spark: SparkSession, base: str) -> DataFrame:
@@ -341,7 +399,7 @@ QUERIES = {
         tokenize_stats, build_index, bm25_vocab, bm25_topk, dense_topk, dense_topk_kind, rrf_fusion, hybrid_search, page_route, heading_sections, chunk_windows, transcript_chunks, figure_texts, dedup_first_seen, slug, point_id,
         kind_counts, doc_catalog, document_totals, page_profile, eval_hit_mrr, eval_strict, eval_compare, golden_sample, build_prompt, diagram_context, shaped_answers, answer_pages, draw_intent, dot_check, retry_hint,
         bm25_topk_asked, dense_topk_asked, dense_topk_kind_asked, rrf_fusion_asked, hybrid_search_asked, build_prompt_asked, diagram_context_asked,
-        embedding_texts, image_urls, upsert_points, cache_misses, markdown_blocks,
+        embedding_texts, image_urls, upsert_points, cache_misses, markdown_blocks, answer_questions, golden_questions, page_totals, routed_chunks,
     )
 }
 
@@ -434,11 +492,42 @@ _BODY = "left(coalesce(text, ''), 1800)"
 _HITS = f"{_HYBRID}, told AS (SELECT h.kind_rank, h.score, h.found_by, c.* FROM hits h JOIN corpus c USING (id))"
 _RULE = "'" + "=" * 60 + "'"
 
+# Written out once more, so that the SQL doesn't lean on the engine's own values.
+_DRAWING = r"(?i)\b(draw|sketch|diagram|flow chart|flowchart|visualise|visualize|visualisation|visualization|chart|graph|mindmap|mind map|(create|generate|make) an image|illustrate|plot)\b"
+_LAST = 'Answer the question. In used_image_ids list only the figure labels you actually relied on (for example ["IMAGE-1"]); use an empty list if the text alone was enough.'
+
 _FOUND_ASKED = f"{_bm25(_STATED, 40)}, {_dense(40)}, {_FUSED}"
 _HITS_ASKED = f"""{_FOUND_ASKED}, {_quota(80, 80)},
 told AS (SELECT h.qid, h.kind_rank, c.* FROM hits h JOIN corpus c USING (id) JOIN asked a USING (qid) WHERE h.kind_rank <= CASE h.kind WHEN 'text' THEN coalesce(nullif(a.top_text, 0), 8) ELSE coalesce(nullif(a.top_images, 0), 3) END)"""
 
+_DRAWN = _STATED.replace("coalesce(question, '') AS question", f"CASE WHEN request_id // {STEP} % 2 = 0 THEN 'Draw a diagram: ' ELSE '' END || coalesce(question, '') AS question")
+_ANSWERED = f"""{_bm25(_DRAWN, 40)}, {_dense(40)}, {_FUSED}, {_quota(8, 3)}, told AS (SELECT h.qid, h.kind_rank, h.found_by, c.* FROM hits h JOIN corpus c USING (id)),
+parts AS (SELECT a.qid, any_value(a.question) AS question,
+    coalesce(string_agg(chr(10) || '[T' || kind_rank || '] page ' || page || ' - ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'text'), '(none)') AS texts,
+    coalesce(string_agg(chr(10) || '[IMAGE-' || kind_rank || '] page ' || page || ' - ' || coalesce(nullif(heading, ''), 'figure') || chr(10) || 'Description: ' || {_BODY}, chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'image'), '(none)') AS images,
+    coalesce(string_agg('[page ' || page || '] ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) || chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'text' AND kind_rank <= 6), '(no relevant text found)') AS context,
+    string_agg('IMAGE-' || kind_rank || ' ' || id || ' ' || page || ' ' || (kind_rank = 1), ';' ORDER BY kind_rank) FILTER (WHERE kind = 'image') AS shown, string_agg(page || ' ' || found_by, ';' ORDER BY kind_rank) FILTER (WHERE kind = 'text') AS sources,
+    coalesce(max(page) FILTER (WHERE kind = 'image' AND kind_rank = 1)::VARCHAR, '') AS cited, array_to_string(list_sort(list(DISTINCT page) FILTER (WHERE kind = 'text' AND kind_rank <= 6)), ',') AS pages
+    FROM asked a LEFT JOIN told t ON t.qid = a.qid WHERE {_strip("a.question")} <> '' GROUP BY a.qid),
+said AS (SELECT *, length(array_to_string(['{asking.RULES.replace("'", "''")}', '', {_RULE}, 'TEXT EXCERPTS', {_RULE}, texts, '', {_RULE}, 'FIGURES', {_RULE}, images, '', {_RULE}, 'QUESTION: ' || question, {_RULE}, '', '{_LAST}'], chr(10))) AS n,
+    regexp_matches(question, '{_DRAWING}') AND ({len(asking.INTENT)} + length(question)) % 2 = 1 AS draws, {len(asking.DRAW)} + length(context) + length(chr(10) || chr(10) || 'Request: ' || question) AS m FROM parts)"""
+_ROUTED = f"""{_PAGES.replace("pages AS (", "given AS (", 1)}, set_lines AS (SELECT page_key, {_strip("line")} AS line, n, CASE WHEN trim(line, ' ') LIKE '#%' THEN 14.0::DOUBLE ELSE 10.0::DOUBLE END AS size FROM (SELECT page_key, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT page_key, string_split(coalesce(markdown, ''), chr(10)) AS l FROM given))),
+body AS (SELECT page_key, median(size) AS mid FROM set_lines GROUP BY page_key),
+layered AS (SELECT page_key, string_agg(CASE WHEN size >= mid * 1.15::DOUBLE AND length(line) < 80 THEN '## ' || line ELSE line END, chr(10) ORDER BY n) || chr(10) AS text FROM set_lines JOIN body USING (page_key) WHERE line <> '' GROUP BY page_key),
+told AS (SELECT g.*, CASE WHEN page % 2 = 0 AND length({_strip("coalesce(markdown, '')")}) >= 200 THEN 'text' ELSE 'vision' END AS route, l.text AS layer FROM given g LEFT JOIN layered l USING (page_key)),
+pages AS (SELECT * EXCLUDE (markdown, layer), CASE route WHEN 'text' THEN layer ELSE markdown END AS markdown FROM told)"""
+
 SQL = {
+    "answer_questions": f"""WITH {_ANSWERED} SELECT qid, n || ' characters' AS answer, 'stand-in' AS model, CASE WHEN draws THEN 'draw' ELSE 'find' END AS intent, false AS saw_images, cited AS used_pages, shown AS images, sources AS text_sources,
+        CASE WHEN draws THEN 'digraph G {{ "' || m || '" }}' END AS source, CASE WHEN draws THEN pages END AS pages_drawn FROM said""",
+    "golden_questions": f"""WITH {_CORPUS}, n AS (SELECT count(*) FILTER (WHERE kind = 'text') AS t, count(*) FILTER (WHERE kind = 'image') AS i FROM corpus),
+        picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5(id || '#7'), id) AS r FROM corpus), n WHERE r <= CASE kind WHEN 'image' THEN least(i, 10) WHEN 'text' THEN least(t, 40 - least(i, 10)) END),
+        said AS (SELECT *, {len(evaluate.WRITE)} + length('Excerpt (page ' || page || ', section "' || coalesce(nullif(heading, ''), '(none)') || '"):' || chr(10) || left(coalesce(text, ''), 2000)) AS m FROM picked)
+        SELECT 'What do ' || m || ' characters say?' AS question, page AS expect_page, id AS expect_chunk_id, kind AS expect_kind, doc_id FROM said WHERE m % 7 <> 0""",
+    "page_totals": f"""WITH {_PAGES}, routed AS (SELECT doc_id, length({_strip("coalesce(markdown, '')")}) >= 200 AS layer FROM pages) SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE layer) AS text_pages, count(*) FILTER (WHERE NOT layer) AS vision_pages FROM routed GROUP BY doc_id""",
+    "routed_chunks": f"""WITH {_SECTIONS.replace(_PAGES, _ROUTED)}, {_windows(700, 620)}, {_FIGURES.replace("heading FROM shown)", "heading, doc_id, page FROM shown WHERE route = 'vision')").replace("markdown, coalesce(array", "markdown, route, coalesce(array")}
+        SELECT p.doc_id || ':p' || p.page || ':t' || idx AS id, 'text' AS kind, md5(w.text) AS text_md5, heading, NULL AS image_path FROM windows w JOIN pages p USING (page_key)
+        UNION ALL SELECT id, 'image', md5(text), heading, 'artifacts/' || doc_id || '/page_' || CASE WHEN page < 1000 THEN right('00' || page, 3) ELSE page::VARCHAR END || '.png' FROM page_images""",
     "tokenize_stats": f"WITH {_CORPUS}, {_TOKS} SELECT kind, count(*) AS chunks, sum(length(t))::BIGINT AS tokens, round(avg(length(t)), 6) AS avg_tokens FROM toks GROUP BY kind",
     "build_index": f"WITH {_INDEX} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM postings) AS postings, (SELECT sum(tf)::BIGINT FROM postings) AS words, (SELECT count(*) FROM vocab) AS vocabulary FROM totals",
     "bm25_vocab": f"WITH {_INDEX} SELECT tok, df, round(idf, 6) AS idf FROM vocab",
@@ -470,7 +559,7 @@ SQL = {
     "build_prompt": f"""WITH {_HITS} SELECT array_to_string(['Answer from the excerpts.', '', {_RULE}, 'TEXT EXCERPTS', {_RULE},
         (SELECT coalesce(string_agg(chr(10) || '[T' || kind_rank || '] page ' || page || ' - ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) ORDER BY kind_rank), '(none)') FROM told WHERE kind = 'text'), '', {_RULE}, 'FIGURES', {_RULE},
         (SELECT coalesce(string_agg(chr(10) || '[IMAGE-' || kind_rank || '] page ' || page || ' - ' || coalesce(nullif(heading, ''), 'figure') || chr(10) || 'Description: ' || {_BODY}, chr(10) ORDER BY kind_rank), '(none)') FROM told WHERE kind = 'image'),
-        '', {_RULE}, 'QUESTION: {QUESTION}', {_RULE}, '', '{answer.CLOSING}'], chr(10)) AS prompt""",
+        '', {_RULE}, 'QUESTION: {QUESTION}', {_RULE}, '', '{_LAST}'], chr(10)) AS prompt""",
     "diagram_context": f"""WITH {_HITS} SELECT coalesce(string_agg('[page ' || page || '] ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) || chr(10) ORDER BY kind_rank), '(no relevant text found)') AS context FROM told WHERE kind = 'text' AND kind_rank <= 6""",
     "bm25_topk_asked": f"WITH {_bm25(_STATED, 40)} SELECT qid, id, score, rank::INT AS rank FROM sparse",
     "dense_topk_asked": f"WITH {_CORPUS}, {_STATED_VECTORS}, {_dense(40)} SELECT qid, id, score, rank::INT AS rank FROM dense",
@@ -481,11 +570,11 @@ SQL = {
         coalesce(string_agg(chr(10) || '[T' || kind_rank || '] page ' || page || ' - ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'text'), '(none)') AS texts,
         coalesce(string_agg(chr(10) || '[IMAGE-' || kind_rank || '] page ' || page || ' - ' || coalesce(nullif(heading, ''), 'figure') || chr(10) || 'Description: ' || {_BODY}, chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'image'), '(none)') AS images
         FROM asked a LEFT JOIN told t ON t.qid = a.qid GROUP BY a.qid)
-        SELECT qid, array_to_string(['Answer from the excerpts.', '', {_RULE}, 'TEXT EXCERPTS', {_RULE}, texts, '', {_RULE}, 'FIGURES', {_RULE}, images, '', {_RULE}, 'QUESTION: ' || question, {_RULE}, '', '{answer.CLOSING}'], chr(10)) AS prompt FROM parts""",
+        SELECT qid, array_to_string(['Answer from the excerpts.', '', {_RULE}, 'TEXT EXCERPTS', {_RULE}, texts, '', {_RULE}, 'FIGURES', {_RULE}, images, '', {_RULE}, 'QUESTION: ' || question, {_RULE}, '', '{_LAST}'], chr(10)) AS prompt FROM parts""",
     "diagram_context_asked": f"""WITH {_HITS_ASKED} SELECT a.qid, coalesce(string_agg('[page ' || page || '] ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) || chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'text' AND kind_rank <= 6), '(no relevant text found)') AS context
         FROM asked a LEFT JOIN told t ON t.qid = a.qid GROUP BY a.qid""",
     "answer_pages": f"WITH {_LOG} SELECT request_id, array_to_string(list_sort(list_distinct(coalesce(used_pages, []))), ',') AS pages, array_to_string(list_transform(coalesce(used_image_ids, []), lambda x: upper(trim(x))), ',') AS cited FROM log",
-    "draw_intent": f"""WITH {_LOG} SELECT request_id, regexp_matches(concat_ws(' ', question, answer), '{T.DRAW_WORDS}') AS draws FROM log""",
+    "draw_intent": f"""WITH {_LOG} SELECT request_id, regexp_matches(concat_ws(' ', question, answer), '{_DRAWING}') AS draws FROM log""",
     "dot_check": f"""WITH {_LOG}, made AS (SELECT request_id, '```dot' || chr(10) || 'digraph {{' || coalesce(answer, '') || '}}' || chr(10) || '```' AS s FROM log)
         SELECT request_id, length(s) - length(replace(s, '{{', '')) = length(s) - length(replace(s, '}}', '')) AS fits, md5(substr(s, 8, length(s) - 11)) AS cleaned_md5 FROM made""",
     "retry_hint": "SELECT DISTINCT request_id, CASE WHEN request_id % 2 = 0 THEN least(request_id / 10::DOUBLE + 2, 120) ELSE 30 END AS seconds FROM query_log",
