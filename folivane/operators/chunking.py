@@ -1,40 +1,62 @@
-"""Pages to chunks: sections under headings, then overlapping windows of words."""
+"""Pages to chunks: sections under headings, then overlapping windows of words. All of a page is worked on in its own row,
+by expressions on arrays, so pages are never moved."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folivane.functions.text import LINE_BREAK, split_words, strip, tidy_markdown
 from folivane.settings import DEFAULT, Settings, or_default
 
+#: The blanks that a line can begin with; line breaks are \\n alone once a page is tidied.
+_INDENT = r"[\s\x1c-\x1f&&[^\n]]*"
+
+
+def section_array(markdown: Column) -> Column:
+    """The sections with text lines: an array of (section, heading, body). A line whose first character that isn't blank is
+    # begins a section; hashes are only taken off at the line's very start. Sections count their headings from the page's
+    begin."""
+    lines = F.regexp_replace(tidy_markdown(markdown), LINE_BREAK, "\n")
+    parts = F.split(lines, rf"(?U)(?:^|(?<=\n))(?={_INDENT}#)", -1)
+    headed = lambda p: p.rlike(rf"(?U)^{_INDENT}#")
+
+    def told(p: Column, n: Column, all_: Column) -> Column:
+        # The break in front of the next heading is no line of its own.
+        own = F.when(n + 1 < F.size(all_), F.regexp_replace(p, r"\n\z", "")).otherwise(p)
+        first = F.regexp_extract(own, r"^[^\n]*", 0)
+        has_lines = ~headed(own) | F.contains(own, F.lit("\n"))
+        body = F.when(headed(own), F.substr(own, F.length(first) + 2)).otherwise(own)
+        heading = F.when(headed(own), strip(F.regexp_replace(first, "^#+", ""))).otherwise("")
+        number = n + F.when(headed(F.get(all_, F.lit(0))), 1).otherwise(0)
+        return F.struct(number.cast("int").alias("section"), heading.alias("heading"), strip(body).alias("body"), has_lines.alias("has_lines"))
+
+    # An array of one, so that the parts are found once.
+    return F.filter(F.flatten(F.transform(F.array(parts), lambda a: F.transform(a, lambda p, n: told(p, n, a)))), lambda s: s["has_lines"])
+
 
 def sections(pages: DataFrame, key: str, markdown: str) -> DataFrame:
-    """(key, section, heading, body) of each section with text lines. A line whose first character that isn't blank is #
-    begins a section; hashes are only taken off at the line's very start."""
-    lines = pages.select(F.col(key).alias("key"), F.posexplode(F.split(tidy_markdown(F.col(markdown)), LINE_BREAK)).alias("line_no", "line"))
-    is_head = F.col("line").rlike(r"(?U)^[\s\x1c-\x1f]*#")
-    by = Window.partitionBy("key").orderBy("line_no")
-    lines = lines.withColumn("is_head", is_head).withColumn("section", F.sum(F.col("is_head").cast("int")).over(by))
-    text = F.expr("transform(sort_array(collect_list(CASE WHEN NOT is_head THEN struct(line_no, line) END)), x -> x.line)")
-    head = F.max(F.when(F.col("is_head"), strip(F.regexp_replace("line", "^#+", ""))))
-    found = lines.groupBy("key", "section").agg(F.coalesce(head, F.lit("")).alias("heading"), text.alias("lines"))
-    return found.where(F.size("lines") > 0).select("key", F.col("section").cast("int").alias("section"), "heading", strip(F.array_join("lines", "\n")).alias("body"))
-
-
-def windows(found: DataFrame, size: int | None = None, overlap: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """(key, idx, heading, text) of each section's windows; idx counts a page's chunks from 0. 0 stands for the default."""
+    """(key, section, heading, body) of each section with text lines, see ``section_array``."""
+    found = pages.select(F.col(key).alias("key"), F.explode(section_array(F.col(markdown))).alias("s"))
+    return found.select("key", "s.section", "s.heading", "s.body")
+
+
+def windows(found: Column, size: int | None = None, overlap: int | None = None, settings: Settings = DEFAULT) -> Column:
+    """The windows (heading, text) of an array of sections, in order. 0 stands for the default."""
     size, overlap = or_default(size, settings.chunk_words), or_default(overlap, settings.chunk_overlap_words)
     step = max(size - overlap, 1)
-    w = found.withColumn("words", split_words(F.col("body"))).where(F.size("words") >= settings.min_section_words)
-    last = F.greatest(F.ceil((F.size("words") - size) / F.lit(float(step))), F.lit(0)).cast("int")
-    w = w.select("key", "section", "heading", "words", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    piece = F.array_join(F.slice("words", F.col("k") * step + 1, size), " ")
-    order = Window.partitionBy("key").orderBy("section", "k")
-    return w.select("key", (F.row_number().over(order) - 1).alias("idx"), "heading", piece.alias("text"))
+
+    def of(heading: Column, words: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(words) - size) / F.lit(float(step))), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(heading.alias("heading"), F.array_join(F.slice(words, k * step + 1, F.lit(size)), " ").alias("text")))
+
+    worded = F.filter(F.transform(found, lambda s: F.struct(s["heading"].alias("heading"), split_words(s["body"]).alias("words"))), lambda s: F.size(s["words"]) >= settings.min_section_words)
+    return F.flatten(F.transform(worded, lambda s: of(s["heading"], s["words"])))
 
 
 def chunk_pages(pages: DataFrame, key: str, markdown: str, size: int | None = None, overlap: int | None = None) -> DataFrame:
-    return windows(sections(pages, key, markdown), size, overlap)
+    """(key, idx, heading, text) of each page's windows; idx counts a page's chunks from 0."""
+    found = pages.select(F.col(key).alias("key"), F.posexplode(windows(section_array(F.col(markdown)), size, overlap)).alias("idx", "w"))
+    return found.select("key", "idx", "w.heading", "w.text")
 
 
 def page_chunks(pages: DataFrame) -> DataFrame:

@@ -102,10 +102,11 @@ def test_stream(spark, tmp_path):
     from folivane.streaming.incremental import keep_current, read_version
 
     schema = "id string, doc_id string, text string, heading string"
-    for n, rows in enumerate(([("a", "d", "1", ""), ("b", "d", "1", "")], [("b", "d", "2", "")])):
+    for n, rows in enumerate(([("a", "d", "1", ""), ("b", "d", "1", "")], [("b", "d", "2", "")], [("c", "d", "1", "")], [("a", "d", "4", "")])):
         spark.createDataFrame(rows, schema).write.mode("append").json(f"{tmp_path}/in")
-        q = keep_current(spark.readStream.schema(schema).json(f"{tmp_path}/in"), f"{tmp_path}/points", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q = keep_current(spark.readStream.schema(schema).json(f"{tmp_path}/in"), f"{tmp_path}/points", f"{tmp_path}/cp", 3).trigger(availableNow=True).start()
         q.awaitTermination(60)
-    assert sorted((r.id, r.text) for r in read_version(spark, f"{tmp_path}/points").collect()) == [("a", "1"), ("b", "2")]
+    assert sorted((r.id, r.text) for r in read_version(spark, f"{tmp_path}/points").collect()) == [("a", "4"), ("b", "2"), ("c", "1")]
+    assert {p.name for p in (tmp_path / "points").iterdir()} == {"0-0", "1-1", "2-2", "0-2", "3-3"}  # three parts were put into one
     assert read_version(spark, f"{tmp_path}/none") is None
     assert spark.range(1).select(F.lit(1)).count() == 1
