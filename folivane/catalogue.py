@@ -282,7 +282,10 @@ def diagram_context_asked(spark: SparkSession, base: str) -> DataFrame:
 def shaped_answers(spark: SparkSession, base: str) -> DataFrame:
     """The answers that query_log has to the stated requests, each with the hits of its question."""
     said = _requests(spark, base).select("qid", "answer", "used_image_ids", "used_pages", "model", F.col("attach_images").alias("attached"))
-    return answer.shaped(said, _request_hits(spark, base))
+    out = answer.shaped(said, _request_hits(spark, base))
+    shown = F.array_join(F.transform("images", lambda x: F.concat_ws(" ", x["label"], x["id"], x["page"], x["caption"], F.coalesce(x["path"], F.lit("-")), F.format_string("%.5f", x["score"]), F.array_join(x["found_by"], "+"), x["cited_by_model"].cast("string"))), "\n")
+    sources = F.array_join(F.transform("text_sources", lambda x: F.concat_ws(" ", x["page"], x["heading"], F.format_string("%.5f", x["score"]), F.array_join(x["found_by"], "+"))), "\n")
+    return out.select("qid", "answer", "model", "saw_images", F.array_join("used_pages", ",").alias("used_pages"), shown.alias("images"), sources.alias("text_sources"))
 
 
 def _stand_in(prompt: str) -> str:
@@ -573,6 +576,12 @@ SQL = {
         SELECT qid, array_to_string(['Answer from the excerpts.', '', {_RULE}, 'TEXT EXCERPTS', {_RULE}, texts, '', {_RULE}, 'FIGURES', {_RULE}, images, '', {_RULE}, 'QUESTION: ' || question, {_RULE}, '', '{_LAST}'], chr(10)) AS prompt FROM parts""",
     "diagram_context_asked": f"""WITH {_HITS_ASKED} SELECT a.qid, coalesce(string_agg('[page ' || page || '] ' || coalesce(nullif(heading, ''), '(no heading)') || chr(10) || {_BODY}, chr(10) || chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'text' AND kind_rank <= 6), '(no relevant text found)') AS context
         FROM asked a LEFT JOIN told t ON t.qid = a.qid GROUP BY a.qid""",
+    "shaped_answers": f"""WITH {_HITS_ASKED.replace("h.kind_rank, c.*", "h.kind_rank, h.score, h.found_by, c.*")}, log AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY received_at DESC) AS n FROM query_log WHERE request_id % {STEP} = 0) WHERE n = 1),
+        seen AS (SELECT t.*, list_contains(list_transform(coalesce(l.used_image_ids, []), lambda x: upper(trim(x))), 'IMAGE-' || kind_rank) AS cited FROM told t JOIN log l ON l.request_id = t.qid),
+        per AS (SELECT qid, string_agg(concat_ws(' ', 'IMAGE-' || kind_rank, id, page, coalesce(nullif(heading, ''), 'figure'), coalesce(image_path, '-'), printf('%.5f', round(score, 5)), found_by, cited), chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'image') AS images,
+            string_agg(concat_ws(' ', page, coalesce(heading, ''), printf('%.5f', round(score, 5)), found_by), chr(10) ORDER BY kind_rank) FILTER (WHERE kind = 'text') AS text_sources, list(DISTINCT page) FILTER (WHERE kind = 'image' AND cited) AS pages FROM seen GROUP BY qid)
+        SELECT request_id AS qid, trim(coalesce(answer, ''), ' ') AS answer, model, attach_images AND starts_with(model, 'gemini') AS saw_images,
+            array_to_string(list_sort(list_distinct(CASE WHEN length(coalesce(used_pages, [])) > 0 THEN used_pages ELSE coalesce(pages, []) END)), ',') AS used_pages, images, text_sources FROM log LEFT JOIN per ON qid = request_id""",
     "answer_pages": f"WITH {_LOG} SELECT request_id, array_to_string(list_sort(list_distinct(coalesce(used_pages, []))), ',') AS pages, array_to_string(list_transform(coalesce(used_image_ids, []), lambda x: upper(trim(x))), ',') AS cited FROM log",
     "draw_intent": f"""WITH {_LOG} SELECT request_id, regexp_matches(concat_ws(' ', question, answer), '{_DRAWING}') AS draws FROM log""",
     "dot_check": f"""WITH {_LOG}, made AS (SELECT request_id, '```dot' || chr(10) || 'digraph {{' || coalesce(answer, '') || '}}' || chr(10) || '```' AS s FROM log)
