@@ -28,6 +28,7 @@ QUERIES = {
 
 SQL = {
     "p2_found": repeated_lines.SQL_FOUND,
+    "p2_clean": repeated_lines.SQL_CLEAN,
     "p4_found": canonical.SQL_FOUND,
     "p4_clean": canonical.SQL_CLEAN,
     "p5_found": splitting.SQL_FOUND,

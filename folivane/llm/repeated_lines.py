@@ -196,14 +196,14 @@ def without_lines(records: DataFrame, source: str, key: str, text: str, least: i
     return once.join(gone, "key", "left").select("key", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
 
 
-SQL_FOUND = """
-WITH lines AS (
+_SQL_REPEATED = """lines AS (
     SELECT DISTINCT doc_id, id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
     FROM chunks WHERE kind = 'text' AND text IS NOT NULL AND doc_id IS NOT NULL
 ), told AS (
     SELECT doc_id, id, line_no, regexp_replace(lower(regexp_replace(line, '[\\s\\pZ\\x1c-\\x1f\\x{85}\\x0b]+', '', 'g')), '\\p{Nd}+', '#', 'g') AS t FROM lines
 ), counted AS (
     SELECT doc_id, t FROM told WHERE length(regexp_replace(t, '\\PL+', '', 'g')) >= 10 GROUP BY 1, 2 HAVING count(DISTINCT id) >= 8
-)
-SELECT DISTINCT id AS chunk_id, line_no::INT AS line_no FROM told SEMI JOIN counted USING (doc_id, t)
-"""
+), gone AS (SELECT DISTINCT id, line_no::INT AS line_no FROM told SEMI JOIN counted USING (doc_id, t))"""
+SQL_FOUND = f"WITH {_SQL_REPEATED} SELECT id AS chunk_id, line_no FROM gone"
+SQL_CLEAN = f"""WITH {_SQL_REPEATED}, own AS (SELECT id, max(text) AS text FROM chunks WHERE kind = 'text' GROUP BY id), per AS (SELECT id, list(line_no) AS l FROM gone GROUP BY id)
+    SELECT id AS chunk_id, CASE WHEN l IS NULL THEN text ELSE array_to_string([x FOR x, i IN string_split(text, chr(10)) IF NOT list_contains(l, i::INT)], chr(10)) END AS text, coalesce(length(l), 0)::INT AS removed FROM own LEFT JOIN per USING (id)"""
