@@ -22,6 +22,22 @@ def key_filter(df: DataFrame, key: Column) -> np.ndarray:
     return out
 
 
+class Passing(dict):
+    """Whether the filter of ``xxhash64`` of strings lets a string pass; what was asked is remembered, up to ``most``."""
+
+    def __init__(self, filter_: np.ndarray, most: int = 1 << 20):
+        self.bits, self.most = filter_, most
+
+    def __missing__(self, word: str) -> bool:
+        from xxhash import xxh64_intdigest
+
+        p = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) & (1 << BITS) - 1  # the seed of Spark's function
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = got = bool(self.bits[p >> 3] >> (p & 7) & 1)
+        return got
+
+
 def may_hold(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of ``keys`` (unsigned 64 bits) the filter lets pass; all that were put in do."""
     p = keys & np.uint64((1 << BITS) - 1)
