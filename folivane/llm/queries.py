@@ -33,8 +33,10 @@ SQL = {
     "p4_clean": canonical.SQL_CLEAN,
     "p5_found": splitting.SQL_FOUND,
     "p6_found": near_duplicates.SQL_FOUND,
+    "p6_groups": near_duplicates.SQL_GROUPS,
     "p7_found": leakage.SQL_FOUND,
     "p7_report": leakage.SQL_REPORT,
     "p9_found": shared_spans.SQL_FOUND,
     "p9_shared": shared_spans.SQL_SHARED,
+    "p9_stretches": shared_spans.SQL_STRETCHES,
 }

@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from folivane.plans.filters import key_filter, may_hold
 from folivane.plans.sizing import maybe_broadcast
 from folivane.plans.storage import cut
 from folivane.sources.tables import table
@@ -32,8 +33,6 @@ SLOT = "\0"
 GENERAL_TOKENS = 4
 #: Leaves of a task's trees before they are given on to be merged.
 LEAVES = 1 << 18
-#: Leaves up to which those that cover many records are sent to the tasks; beyond, the lines are joined with them.
-MOST_SENT = 1 << 17
 
 _DIGITS = re.compile(r"\d+")
 _NO_LETTER = re.compile(r"[\W\d_]+")
@@ -129,22 +128,20 @@ def _grow(general: bool):
 
 
 def _parse(general: bool, sent):
-    """(key, line_no, node, high, low): each line with its leaves; only those of ``sent``, if that is given."""
+    """(key, line_no, node, high, low): each line with its leaves; only those that the filter lets pass, if one is given."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value if sent is not None else None
         for batch in batches:
             keys, nos, leaves = [], [], []
             for s, k, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for no, line in templates(t):
                     nodes, tokens = path(line)
                     own = [leaf((s, *nodes), line)] + ([leaf((s, len(tokens)), m) for m in siblings(tokens)] if general else [])
-                    if wanted is not None:
-                        own = next(([x] for x in own if x in wanted), [])
                     leaves += own
                     keys += [k] * len(own)
                     nos += [no] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(nos, pa.int32()), *_columns(leaves)], ["key", "line_no", "node", "high", "low"])
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(nos, pa.int32()), *_columns(leaves)], ["key", "line_no", "node", "high", "low"])
+            yield out if sent is None else out.filter(pa.array(may_hold(sent.value, out.column(4).to_numpy().view("u8"))))
 
     return run
 
@@ -169,12 +166,9 @@ def repeated(records: DataFrame, source: str, key: str, text: str, least: int =
     others = given.join(again, ["s", "k"], "left_semi").select("s", "k", "t").mapInArrow(_parse(general, None), _LINES).select(*_LEAF, F.xxhash64("key").alias("record")).distinct()
     merged = grown.unionByName(others.select(*_LEAF, F.lit(1).cast("long").alias("n"))).groupBy(*_LEAF).agg(F.sum("n").alias("n"))
     covering = cut(merged.where(F.col("n") >= least).select(*_LEAF))
-    small = covering.limit(MOST_SENT + 1).count() <= MOST_SENT
-    unsigned = lambda x: x & (1 << 64) - 1
-    sent = spark.sparkContext.broadcast({tuple(map(unsigned, r)) for r in covering.collect()}) if small else None
+    sent = spark.sparkContext.broadcast(key_filter(covering, F.col("low")))
     lines = given.mapInArrow(_parse(general, sent), _LINES)
-    told = lines if small else lines.join(covering, _LEAF, "left_semi")
-    return told.select("key", "line_no").distinct()
+    return lines.join(maybe_broadcast(covering, 40), _LEAF, "left_semi").select("key", "line_no").distinct()
 
 
 def found(spark: SparkSession, base: str) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from folivane.llm.lookalike import canonical
+from folivane.plans.filters import Passing, key_filter
 from folivane.plans.sizing import maybe_broadcast
 from folivane.plans.storage import cut
 from folivane.sources.tables import table
@@ -30,9 +31,6 @@ from folivane.sources.tables import table
 RATIO = 12
 #: The share of a misread form's occurrences that stand in scanned items, at least.
 SCANNED = 0.5
-#: Misread forms up to which they are given to all tasks; beyond, the words of scanned lines are joined with them.
-MOST_SUSPECTS = 200_000
-
 # Glyph forms (right to left of each pair) that scanning confuses, in lower case.
 CONFUSED = "i=1 l=1 i=l l=i o=0 s=5 g=9 b=6 z=2 b=8 a=4 e=c c=e t=f f=t m=rn n=ri n=ii h=li d=cl u=ii w=vv li=h cl=d rn=m ri=n ii=u ii=n vv=w q=9 q=g g=q b=h h=b i=! l=| i=| m=iii k=lc t=7 u=v v=u a=o o=a y=v"
 STROKES = {"m": "rri", "n": "ri", "h": "ii", "d": "ci", "u": "ii", "w": "vv", "k": "ic", "l": "i", "1": "i", "|": "i", "!": "i", "0": "o", "5": "s", "9": "g", "q": "g", "6": "b", "8": "b", "2": "z", "e": "c", "f": "t", "7": "t"}
@@ -277,11 +275,11 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _beside(words):
-    """(word, doc, beside, n) of ``words``, all words if it is None: how often each stands in a document before (beside
-    begins with >) or after (<) which word; and once for each text that holds it, with beside null."""
+    """(word, doc, beside, n) of the words that the filter lets pass: how often each stands before (beside begins with >) or
+    after (<) which word; and once for each text that holds it, with its document and beside null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words.value if words is not None else None
+        known = Passing(words.value)
         out: Counter = Counter()
 
         def give() -> pa.RecordBatch:
@@ -292,7 +290,7 @@ def _beside(words):
         for batch in batches:
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 said = _words_of(t)
-                own = set(said) if known is None else known.intersection(said)
+                own = {w for w in set(said) if known[w]}
                 if not own:
                     continue
                 out.update((w, doc, None) for w in own)
@@ -333,10 +331,9 @@ def survey(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def contexts(items: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word, docs), in how many documents of ``items`` each of ``words`` stands (an item without one is its own), and
     (word, beside, n), how often beside which words."""
-    small = words.limit(MOST_SUSPECTS + 1).count() <= MOST_SUSPECTS
-    known = items.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in words.select("word").collect())) if small else None
+    known = items.sparkSession.sparkContext.broadcast(key_filter(words, F.xxhash64("word")))
     seen = items.select(F.coalesce(F.col("doc_id"), F.concat(F.lit("\0"), "item_key")).alias("doc"), "value").mapInArrow(_beside(known), "word string, doc string, beside string, n long")
-    told = seen if small else seen.join(words.select("word"), "word", "left_semi")
+    told = seen.join(maybe_broadcast(words.select("word"), 80), "word", "left_semi")
     told = cut(told.groupBy("word", "doc", "beside").agg(F.sum("n").alias("n")))
     return told.where("beside IS NULL").groupBy("word").agg(F.count("*").alias("docs")), told.where("beside IS NOT NULL").select("word", "beside", "n")
 
@@ -379,12 +376,12 @@ _ROWS = "item_table string, item_key string, line_no int, noise string, word str
 
 
 def _lines(suspects):
-    """Rows of scanned items (see _ROWS). 'word': a word to be looked up among the misread forms (if ``suspects`` is given,
-    only those in it); 'broken': a word over a line end, joined and as compound; 'title': a line that is a running header if
+    """Rows of scanned items (see _ROWS). 'word': a word to be looked up among the misread forms, whose filter lets it pass;
+    'broken': a word over a line end, joined and as compound; 'title': a line that is a running header if
     its document has that form as one. doc and form are given for the words of such lines too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = suspects.value if suspects is not None else None
+        known = Passing(suspects.value)
         for batch in batches:
             out: list[tuple] = []
             for tab, key, doc, page, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -406,15 +403,14 @@ def _lines(suspects):
                 for i, j, a, hyphen, b, _ in _broken(lines, role):
                     whole, compound = (a + b).lower(), f"{a}-{b}".lower()
                     out.append((tab, key, i + 1, "broken", whole, compound if hyphen == "-" else None, None, None))
-                    if known is None or whole in known:
+                    if known[whole]:
                         out.append((tab, key, i + 1, "word", whole, f"{j + 1} {a.lower()}", None, None))
                     halves.setdefault(i, set()).add(a.split("-")[-1].lower())
                     halves.setdefault(j, set()).add(b.split("-")[0].lower())
                 for i, s in enumerate(lines):
                     if role[i] in ("text", "title") and " " in s.strip():
-                        said = set(_words_of(s))
-                        for w in said if known is None else known.intersection(said):
-                            if len(w) > 1 and w not in halves.get(i, ()):
+                        for w in set(_words_of(s)):
+                            if known[w] and len(w) > 1 and w not in halves.get(i, ()):
                                 out.append((tab, key, i + 1, "word", w, None, *title.get(i, (None, None))))
             cols = list(zip(*out)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.string()) for k, c in enumerate(cols)], ["item_table", "item_key", "line_no", "noise", "word", "other", "doc", "form"])
@@ -449,25 +445,24 @@ def noise(items: DataFrame) -> DataFrame:
     return _judged(_rows(items))
 
 
-def _rows(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
-    """What _lines gives, the words' counts, the misread forms, and whether these are few."""
+def _rows(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What _lines gives, the words' counts, and the misread forms."""
     given = once(items)
     words, headers = survey(given)
     forms = cut(misread_forms(words, given))
-    small = forms.limit(MOST_SUSPECTS + 1).count() <= MOST_SUSPECTS
-    suspects = items.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in forms.select("word").collect())) if small else None
+    suspects = items.sparkSession.sparkContext.broadcast(key_filter(forms, F.xxhash64("word")))
     rows = cut(given.select("item_table", "item_key", "doc_id", "page", "value").mapInArrow(_lines(suspects), _ROWS).distinct())
     # Of lines of a title's shape: running headers, whose words are no case of their own, or text.
     shaped, others = rows.where("form IS NOT NULL"), rows.where("form IS NULL").drop("doc", "form")
     told = shaped.join(maybe_broadcast(headers.withColumn("header", F.lit(True)), 160), ["doc", "form"], "left").drop("doc", "form")
     header = told.where("header AND noise = 'title'").drop("header").withColumn("noise", F.lit("running_header"))
-    return cut(others.unionByName(header).unionByName(told.where("header IS NULL AND noise <> 'title'").drop("header"))), words, forms, small
+    return cut(others.unionByName(header).unionByName(told.where("header IS NULL AND noise <> 'title'").drop("header"))), words, forms
 
 
-def _judged(told: tuple[DataFrame, DataFrame, DataFrame, bool]) -> DataFrame:
-    rows, words, forms, small = told
+def _judged(told: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    rows, words, forms = told
     sure = rows.where(F.col("noise").isin("running_header", "page_number")).select("item_table", "item_key", "line_no", "noise", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("right"))
-    seen = rows.where("noise = 'word'").join(F.broadcast(forms) if small else forms, "word")
+    seen = rows.where("noise = 'word'").join(maybe_broadcast(forms, 120), "word")
     # A misread word over a line end belongs to the line whose half differs from the right form.
     second = F.col("other").isNotNull() & F.startswith("right", F.substring_index("other", " ", -1))
     misread = seen.select("item_table", "item_key", F.when(second, F.substring_index("other", " ", 1).cast("int")).otherwise(F.col("line_no")).alias("line_no"), F.lit("misread").alias("noise"), "word", "right")

@@ -445,3 +445,9 @@ SQL_SHARED = f"""WITH {_SQL_WINDOWS}, several AS (SELECT w FROM parts GROUP BY w
     equal AS (SELECT text, min(doc_id) AS class_id, count(*) AS copies FROM own WHERE text IS NOT NULL GROUP BY text)
     SELECT o.doc_id, coalesce(class_id, o.doc_id) AS class_id, coalesce(copies, 1) AS copies, coalesce(chars, 0) AS shared_chars, coalesce(chars, 0) / greatest(coalesce(length(o.text), 0), 1)::DOUBLE AS shared_portion
     FROM own o LEFT JOIN equal e ON o.text = e.text LEFT JOIN cover c ON c.doc_id = o.doc_id"""
+SQL_STRETCHES = f"""WITH {_SQL_WINDOWS}, equal AS (SELECT text, min(doc_id) AS class, count(*) AS copies FROM own WHERE text IS NOT NULL GROUP BY text),
+    docs AS (SELECT doc_id, class, copies, length(text) AS n FROM own JOIN equal USING (text)),
+    held AS (SELECT w, min(class) AS first, count(DISTINCT class) AS texts FROM parts JOIN docs USING (doc_id) GROUP BY w HAVING count(DISTINCT class) > 1),
+    marked AS (SELECT doc_id, first, texts, pos, pos - row_number() OVER (PARTITION BY doc_id, first ORDER BY pos) AS stretch FROM parts JOIN held USING (w))
+    SELECT doc_id, (min(pos) - 1)::INT AS begin, (count(*) + {LEAST} - 1)::INT AS length, first AS first_doc, max(texts) AS texts FROM marked GROUP BY doc_id, first, stretch
+    UNION ALL SELECT doc_id, 0, n::INT, class, 1 FROM docs WHERE copies > 1 AND n >= {LEAST}"""

@@ -80,7 +80,10 @@ def test_many_copies_and_equal_hashes(spark, monkeypatch):
     # Five copies are paired with the first, which stands for them in other pairs.
     assert {tuple(r) for r in near_duplicates.pairs(df).collect()} == {("a0", f"a{i}") for i in range(1, 5)} | {("a0", "b"), ("a0", "c"), ("b", "c")}
     told = {r.chunk_id: r for r in near_duplicates.grouped(df).collect()}
-    assert len({r.group_id for r in told.values()}) == 1 and told["a3"].links == 2
+    assert {r.group_id for r in told.values()} == {"a0"} and told["a3"].links == 2
+    short = spark.createDataFrame([("s1", "a b c"), ("s2", "a b c"), ("n1", None), ("n2", None), ("l1", "w " * 39 + "x" * 40), ("l2", "w " * 39 + "x" * 40), (None, base)], "id string, text string")
+    assert {(r.chunk_id, r.group_id, r.links) for r in near_duplicates.grouped(short.where("id NOT LIKE 'l%'")).collect()} == {(k, k, 0) for k in ("s1", "s2", "n1", "n2")}
+    assert {(r.chunk_id, r.group_id) for r in near_duplicates.grouped(short.where("id LIKE 'l%'")).collect()} == {("l1", "l1"), ("l2", "l1")}
     real = near_duplicates.F.xxhash64
     monkeypatch.setattr(near_duplicates.F, "xxhash64", lambda *c: near_duplicates.F.lit(7).cast("long") if [type(x) for x in c] == [str] else real(*c))
     assert {tuple(r) for r in near_duplicates.pairs(df).collect()} == {("a0", f"a{i}") for i in range(1, 5)} | {("a0", "b"), ("a0", "c"), ("b", "c")}
