@@ -26,12 +26,11 @@ SEED = 20250101
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _counter(path: str):
+def _counter(vocabulary):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         encode = tiktoken.Encoding("counting", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column(2).to_pylist()]
@@ -41,8 +40,11 @@ def _counter(path: str):
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens) of each row; a null text has none."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(_counter(tokenizer), "doc_id long, source string, tokens long")
+    """(doc_id, source, tokens) of each row; a null text has none. The vocabulary file is read where the job is started and
+    sent to the tasks, so the machines they run on need none."""
+    with open(tokenizer, "rb") as f:
+        sent = documents.sparkSession.sparkContext.broadcast(f.read())
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(_counter(sent), "doc_id long, source string, tokens long")
 
 
 def rates(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, float]:

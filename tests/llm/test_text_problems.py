@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from folivane.llm import answer_defects, canonical, lookalike, repeated_lines, scan_noise, splitting
 
@@ -224,6 +225,18 @@ def test_canonical(spark):
     assert canonical.canonicalise(df.where("false")).count() == 0 and canonical.canonicalise(df).columns == ["value", "canonical"]
 
 
+def test_both_canonical_forms_agree(spark):
+    base = "/root/testdata/sf0.01"
+    values = None
+    for name, column in (("chunks", "text"), ("chunks", "heading"), ("page_transcripts", "markdown"), ("documents", "text"), ("query_log", "answer"), ("golden", "passage")):
+        one = spark.read.parquet(f"{base}/{name}.parquet").select(F.col(column).alias("value")).where(F.col("value").rlike(r"[^\x00-\x7F]"))
+        values = one if values is None else values.unionByName(one)
+    rows = canonical.canonicalise(values.distinct()).collect()
+    assert len(rows) > 500 and all(lookalike.canonical(r.value) == r.canonical for r in rows)
+    odd = "a\U000e0041b\U000e0101c\ufe0fd"  # tags and variation marks
+    assert lookalike.canonical(odd) == "abcd" == canonical.canonicalise(frame(spark, [(odd,)], "value string")).first().canonical
+
+
 # --- 5 ---
 @pytest.mark.parametrize("text", ["word " * 3000, "x" * 9001, "A sentence ends. " * 900, "# H\n\npara one two\n\n" * 400, "a\n" * 5000, "é́" * 6000, "😀" * 4001])
 def test_pieces_round_trip(text):
