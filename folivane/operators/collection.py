@@ -13,7 +13,7 @@ from hashlib import blake2b
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folivane.operators.index import KeywordIndex, content_version, keyword_index, read_index, upsert, write_index
+from folivane.operators.index import KeywordIndex, content_version, read_index, upsert, write_index
 from folivane.plans.sizing import maybe_broadcast
 from folivane.plans.storage import checkpoint_dir, exists
 from folivane.settings import CHUNK
@@ -52,7 +52,7 @@ def snapshot(spark: SparkSession, version: str, chunks: Callable[[], DataFrame],
         rows.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/chunks")
         kept = spark.read.parquet(f"{path}/chunks")
         vectors(kept).write.mode("overwrite").parquet(f"{path}/vectors")
-        write_index(keyword_index(kept), path)
+        write_index(kept, path)
         spark.range(0).write.mode("overwrite").parquet(f"{path}/complete")
     return Snapshot(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"), read_index(spark, path))
 

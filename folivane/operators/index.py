@@ -20,13 +20,18 @@ class KeywordIndex:
     totals: DataFrame
 
 
-def keyword_index(chunks: DataFrame, settings: Settings = DEFAULT) -> KeywordIndex:
-    """Index of ``chunks`` (id, heading, text). Idf below zero becomes epsilon times the mean idf of all words.
+#: Parts of a word's postings that are written apart, so that a frequent word isn't one task's.
+SALTS = 16
 
-    The postings are computed once and kept, since the vocabulary and every search read them.
-    """
-    toks = chunks.select("id", tokens(keyword_text(F.col("heading"), F.col("text"))).alias("toks"))
-    postings = cut(toks.select("id", F.size("toks").alias("len"), F.explode("toks").alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
+
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """(id, tok, tf, len) of ``chunks`` (id, heading, text). The chunks are moved, not their words: words are counted where
+    their chunk is."""
+    toks = chunks.select("id", "heading", "text").repartition("id").select("id", tokens(keyword_text(F.col("heading"), F.col("text"))).alias("toks"))
+    return toks.select("id", F.size("toks").alias("len"), F.explode("toks").alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+
+
+def _with_statistics(chunks: DataFrame, postings: DataFrame, settings: Settings) -> KeywordIndex:
     count, words = chunks.agg(F.count("*").alias("n")), postings.agg(F.sum("tf").alias("words"))
     totals = count.join(F.broadcast(words)).select("n", (F.coalesce("words", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl"))  # one row each
     df = postings.groupBy("tok").agg(F.count("*").alias("df"))
@@ -37,12 +42,22 @@ def keyword_index(chunks: DataFrame, settings: Settings = DEFAULT) -> KeywordInd
     return KeywordIndex(postings, told.join(F.broadcast(mean)).select("tok", "df", idf.alias("idf")), totals)
 
 
-def write_index(index: KeywordIndex, path: str) -> None:
-    """The index as tables below ``path``. Postings are in ranges of words and ids, so the list of a frequent word is spread
-    over several files, and sorted, so a reader of few words skips the rest."""
-    index.postings.repartitionByRange("tok", "id").sortWithinPartitions("tok", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.vocab.repartitionByRange("tok").sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{path}/vocab")
-    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
+def keyword_index(chunks: DataFrame, settings: Settings = DEFAULT) -> KeywordIndex:
+    """Index of ``chunks`` (id, heading, text). Idf below zero becomes epsilon times the mean idf of all words.
+
+    The postings are computed once and kept, since the vocabulary and every search read them.
+    """
+    return _with_statistics(chunks, cut(postings_of(chunks)), settings)
+
+
+def write_index(chunks: DataFrame, path: str, settings: Settings = DEFAULT) -> None:
+    """The index of ``chunks`` as tables below ``path``. Postings are sorted by word, so a reader of few words skips the rest;
+    those of one word are spread over up to SALTS files."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    postings_of(chunks).repartition("tok", salt).sortWithinPartitions("tok", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    made = _with_statistics(chunks, chunks.sparkSession.read.parquet(f"{path}/postings"), settings)
+    made.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    made.vocab.sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{path}/vocab")
 
 
 def read_index(spark: SparkSession, path: str) -> KeywordIndex:

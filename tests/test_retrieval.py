@@ -62,9 +62,11 @@ def test_upsert_and_version(spark):
 
 
 def test_index_snapshot(spark, tmp_path):
-    ix = index.keyword_index(chunks(spark, ["pump seal", "seal"]))
-    index.write_index(ix, str(tmp_path))
+    given = chunks(spark, ["pump seal", "seal"])
+    ix = index.keyword_index(given)
+    index.write_index(given, str(tmp_path))
     back = index.read_index(spark, str(tmp_path))
+    assert sorted(map(tuple, back.postings.collect())) == sorted(map(tuple, ix.postings.collect())) and back.totals.first() == ix.totals.first()
     assert sorted(map(tuple, back.vocab.collect())) == sorted(map(tuple, ix.vocab.collect()))
 
 
