@@ -18,6 +18,8 @@ from folivane.plans.sizing import maybe_broadcast
 from folivane.plans.storage import checkpoint_dir, exists
 from folivane.settings import CHUNK
 
+#: Counts the layouts of snapshots, so that none of another layout is read.
+LAYOUT = 2
 #: Ids or words up to which they are pushed down to the scan; more are joined.
 PUSHED = 2000
 
@@ -46,7 +48,7 @@ def source_version(spark: SparkSession, *tables: DataFrame) -> str:
 
 def snapshot(spark: SparkSession, version: str, chunks: Callable[[], DataFrame], vectors: Callable[[DataFrame], DataFrame], root: str | None = None) -> Snapshot:
     """The snapshot of ``version``, built of ``chunks`` (CHUNK's fields) and ``vectors`` (id, kind, vector) if it isn't there."""
-    path = f"{root or checkpoint_dir(spark) + '/collections'}/{version}"
+    path = f"{root or checkpoint_dir(spark) + '/collections'}/{version}-{LAYOUT}"
     if not exists(spark, f"{path}/complete/_SUCCESS"):
         rows = chunks()
         rows.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/chunks")

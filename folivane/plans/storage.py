@@ -25,7 +25,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="folivane-")
     sc.setCheckpointDir(own)
-    return own
+    return sc.getCheckpointDir()
 
 
 def exists(spark: SparkSession, path: str) -> bool:
