@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,30 @@ def test_long_lists_are_taken_down(monkeypatch):
         assert {(r["class"], r["class2"]) for r in out if r["class2"] is not None} == {(11, 10), (31, 30), (32, 30), (32, 31), (51, 50)}
 
 
+def peak(run, batch):
+    """MB that ``run`` allocates over ``batch`` at most, beside what it gives out."""
+    tracemalloc.start()
+    for _ in run(iter([batch])):
+        pass
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return most
+
+
+def test_memory_of_tasks():
+    # Batches as full as Arrow makes them of large inputs; a task has some 250 MB.
+    rng = random.Random(3)
+    texts = pa.array([text(rng, 140) for _ in range(3000)])
+    ids = pa.array(range(3000), pa.int64())
+    pairs = pa.RecordBatch.from_arrays([ids, pa.array(range(3000, 6000), pa.int64()), texts, texts.take(pa.array(list(reversed(range(3000)))))], ["class", "class2", "text", "text2"])
+    assert peak(near_duplicates._compare, pairs) < 60
+    list_ = pa.RecordBatch.from_arrays([pa.array(np.zeros(4000, "i8")), pa.array(range(4000), pa.int64()), pa.array(np.full(4000, 50 << 32 | near_duplicates._PROBE | near_duplicates._INDEX))], ["member", "class", "packed"])
+    assert peak(near_duplicates._meet(0.6), list_) < 60
+    hints = type("Sent", (), {"value": (np.zeros(0, "u8"), np.zeros(0), 0.0, np.zeros(0, "u8"), np.zeros(0, "i8"))})
+    many = pa.RecordBatch.from_arrays([pa.array(range(30_000), pa.int64()), pa.chunked_array([texts] * 10).combine_chunks()], ["class", "text"])
+    assert peak(near_duplicates._members(hints, 0.6, 40, 0), many) < 120
+
+
 def test_many_copies_and_equal_hashes(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "COPIES", 3)
     rng = random.Random(12)
