@@ -1,5 +1,8 @@
 import math
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +38,52 @@ def test_bm25_by_formula(spark):
     assert search.bm25(empty, search.questions(spark, [(1, "pump")]), 10).count() == 0
 
 
+def test_bm25_moves_the_best_only(spark, monkeypatch):
+    ix = index.keyword_index(chunks(spark, [f"pump seal{i % 3}" for i in range(600)] + ["rotor"] * 900))
+    moved, top = [], search._top
+    monkeypatch.setattr(search, "_top", lambda scored, *a: moved.append(scored.count()) or top(scored, *a))
+    got = search.bm25(ix, search.questions(spark, [(1, "pump seal1"), (2, "pump")]), 5)
+    assert moved[0] <= 2 * 5 * 2 * spark.sparkContext.defaultParallelism
+    assert [r.id for r in got.where("qid = 1").orderBy("rank").collect()] == ["c1", "c10", "c100", "c103", "c106"]
+    assert [r.id for r in got.where("qid = 2").orderBy("rank").collect()] == ["c0", "c1", "c10", "c100", "c101"]
+
+
+def test_index_is_written_where_chunks_are(spark):
+    assert "Exchange" not in index.blocks_of(chunks(spark, ["pump seal"]))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_are_scored_as_one_index():
+    rng = random.Random(1)
+    texts = [[f"w{rng.randrange(30)}" for _ in range(rng.randrange(12))] for _ in range(300)]
+    avg = sum(map(len, texts)) / len(texts)
+    cuts = [(0, 1), (1, 120), (120, 121), (121, 300)]
+    rows = [index._segment(k, pa.array([f"c{i}" for i in range(a, b)]), pa.array(texts[a:b], pa.list_(pa.string()))) for k, (a, b) in enumerate(cuts)]
+    assert sum(len(r) for r in rows) == sum(1 + len({w for t in texts[a:b] for w in t}) for a, b in cuts)
+    terms = {"w3": ([0, 1], [1.5, 2.0]), "w7": ([1], [-0.5]), "none": ([0], [9.0])}
+    sent = type("Sent", (), {"value": (np.array([10, 11]), terms, avg)})
+    whole = pa.Table.from_batches(rows).combine_chunks()
+    for size in (1, 7, 10_000):
+        got = {(r["qid"], r["id"]): r["score"] for b in search._scored(sent, 400, 1.5, 0.75)(iter(whole.to_batches(size))) for r in b.to_pylist()}
+        want = {}
+        for q, weights in ((10, {"w3": 1.5}), (11, {"w3": 2.0, "w7": -0.5})):
+            for i, t in enumerate(texts):
+                s = sum(w * t.count(x) * 2.5 / (t.count(x) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for x, w in weights.items())
+                if s > 0:
+                    want[q, f"c{i}"] = s
+        assert got == pytest.approx(want)
+
+
+def test_first_of_ties():
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randrange(1, 60)
+        ids = np.array(rng.sample([f"c{i}" for i in range(100)], n), object)
+        s = np.array([rng.choice([0.1, 0.2, 0.2 + 1e-13, 0.2000004, 0.30000050001]) for _ in range(n)])
+        order = lambda i, s: sorted(zip(-np.round(s, 6), i))[:5]
+        got = search._first(ids, s, 5)
+        assert order(*got) == order(ids, s) and len(got[0]) <= 5 + int((s > 0.3).sum())
+
+
 def test_fusion_ties_keep_list_order(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "qid long, id string, rank int")
     b = spark.createDataFrame([(1, "z", 1), (1, "y", 2)], "qid long, id string, rank int")
