@@ -4,8 +4,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from compare import both
 from pyspark.sql import functions as F
 
+from folivane import catalogue
 from folivane.operators import answer, evaluate, index, search
 
 
@@ -141,3 +143,9 @@ def test_answers(spark):
     none = spark.createDataFrame([(1, "q", None, None, None, None, None, None, None, None, None)], hits.schema)
     assert answer.prompts(none, "R").first().prompt.count("(none)") == 2
     assert answer.diagram_context(none).first().context == "(no relevant text found)"
+
+
+def test_more_words_than_are_pushed_down(spark, monkeypatch):
+    monkeypatch.setattr(search, "PUSHED", 1)
+    ours, theirs = both(spark, catalogue.QUERIES["bm25_topk"], catalogue.SQL["bm25_topk"])
+    assert ours == theirs and ours
