@@ -2,6 +2,7 @@ import pytest
 from compare import BASE, both
 
 from folivane import catalogue
+from folivane.operators import search
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
@@ -31,3 +32,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["bm25_topk_asked", "rrf_fusion_asked", "hybrid_search_asked", "build_prompt_asked", "diagram_context_asked"])
+def test_every_request_is_asked(spark, name):
+    requests = {r[0] for r in spark.read.parquet(f"{BASE}/query_log.parquet").select("request_id").distinct().collect()}
+    assert len(requests) > 100
+    assert {r[0] for r in catalogue.QUERIES[name](spark, BASE).select("qid").distinct().collect()} == requests
+
+
+def test_many_questions(spark, monkeypatch):
+    monkeypatch.setattr(search, "ASKED", 1)
+    monkeypatch.setattr(search, "CHUNKS_AT_ONCE", 100)
+    ours, theirs = both(spark, catalogue.QUERIES["bm25_topk_asked"], catalogue.SQL["bm25_topk_asked"])
+    assert ours == theirs and ours
